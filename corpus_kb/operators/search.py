@@ -36,27 +36,23 @@ def anchors(dictionary: DataFrame, postings: DataFrame) -> DataFrame:
     """Grams through which each term is looked up: ``term, gram``.
 
     A term of three or more characters uses its rarest gram, so frequent grams seldom enter the join.
-    A shorter term uses every indexed gram it is a prefix of.
+    A shorter term uses every indexed gram it is a prefix of. Both meet the gram vocabulary, counted
+    once with map-side combine, by equality on a probe string.
     """
-    long_terms = dictionary.filter(F.length("term") >= GRAM).select(
-        "term", F.explode(F.array_distinct(Q.ngrams(F.col("term"), GRAM))).alias("gram")
-    )
-    frequency = (
-        postings.join(long_terms.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    )
-    rarest = (
-        long_terms.join(frequency, "gram").groupBy("term").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
-    )
-    vocabulary = postings.select("gram").distinct()
-    prefixes = vocabulary.select(
-        "gram", F.explode(F.array(F.left("gram", F.lit(1)), F.left("gram", F.lit(2)))).alias("term")
+    probes = F.when(F.length("term") >= GRAM, F.array_distinct(Q.ngrams(F.col("term"), GRAM))).otherwise(F.array("term"))
+    wanted = dictionary.select("term", F.explode(probes).alias("probe"))
+    vocabulary = postings.groupBy("gram").agg(F.count("*").alias("df"))
+    keys = F.array("gram", F.left("gram", F.lit(2)), F.left("gram", F.lit(1)))
+    found = wanted.join(vocabulary.select("gram", "df", F.explode(keys).alias("probe")), "probe")
+    by_rarity = W.partitionBy("term").orderBy("df", "gram")
+    return (
+        found.withColumn("pos", F.row_number().over(by_rarity))
+        .filter((F.length("term") < GRAM) | (F.col("pos") == 1)).select("term", "gram")
     )
-    short = dictionary.filter(F.length("term") < GRAM).join(prefixes, "term").select("term", "gram")
-    return rarest.unionByName(short)
 
 
 def match_terms(dictionary: DataFrame, items: DataFrame, id_col: str, head: list[str], body: list[str], postings: DataFrame | None = None) -> DataFrame:
-    """Every (term, item) with the term as a substring: ``term, id, tf, in_head, doc_len``.
+    """Every (term, item) with the term as a substring: ``term, id, doc_len, in_head, tf``.
 
     ``postings`` is a written :func:`gram_sets` index of the items; without one it is derived from them.
     """
@@ -69,11 +65,11 @@ def match_terms(dictionary: DataFrame, items: DataFrame, id_col: str, head: list
         F.lower(F.concat_ws("\n", *body)).alias("_body") if body else F.lit("").alias("_body"),
         doc_length(head + body).alias("doc_len"),
     )
-    checked = candidates.join(texts, id_col).select(
-        "term", id_col, "doc_len", F.contains("_head", "term").alias("in_head"),
-        (Q.occurrences(F.col("_head"), F.col("term")) + Q.occurrences(F.col("_body"), F.col("term"))).alias("tf"),
-    )
-    return checked.filter(F.col("tf") > 0)
+    head_text, body_text, term = F.col("_head"), F.col("_body"), F.col("term")
+    verified = candidates.join(texts, id_col).filter(F.contains(head_text, term) | F.contains(body_text, term))
+    # only terms of indexable length are weighted by their count
+    count = F.when(F.length(term) >= GRAM, Q.occurrences(head_text, term) + Q.occurrences(body_text, term)).otherwise(F.lit(1))
+    return verified.select("term", id_col, "doc_len", F.contains(head_text, term).alias("in_head"), count.cast("bigint").alias("tf"))
 
 
 def bm25_hits(terms: DataFrame, matches: DataFrame, items: DataFrame, id_col: str, columns: list[str], limit: int) -> DataFrame:

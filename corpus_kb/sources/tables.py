@@ -14,13 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer splits than cores over all of them.
+
+    A small single-row-group file would otherwise keep all per-row text work in one task; inputs that
+    already have enough splits pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def doc_path(source: Column, doc_id: Column) -> Column:
     return F.concat(F.lit("d/"), source, F.lit("/"), doc_id.cast("string"), F.lit(".md"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wiki pages: ``path, body, lang, source, doc_id, n_chars``."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         doc_path(F.col("source"), F.col("doc_id")).alias("path"), F.col("text").alias("body"),
         "lang", "source", "doc_id", "n_chars",
     )
@@ -42,7 +52,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files with their text: each line of prose becomes a declaration, comment or plain line by its number."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     ext = F.element_at(F.array(*[F.lit(e) for e in (".rs", ".ts", ".py", ".go", ".bin")]), (F.col("doc_id") % 5 + 1).cast("int"))
 
     def code_line(line: Column, i: Column) -> Column:

@@ -39,16 +39,19 @@ def _rows(names: list[str], rows) -> list[tuple]:
 
 def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bool, str]:
     df = fn(spark, sf_dir)
-    got = _rows(df.columns, df.collect())
+    start = time.time()
+    collected = df.collect()
+    note = f"spark {time.time() - start:.1f}s"
+    got = _rows(df.columns, collected)
     if sql is None:
-        return True, f"{len(got)} rows (no SQL)"
+        return True, f"{note} {len(got)} rows (no SQL)"
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
     want = _rows(names, cur.fetchall())
     if sorted(names) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(names)}"
     if got == want:
-        return True, f"{len(got)} rows"
+        return True, f"{note} {len(got)} rows"
     missing = [r for r in want if r not in set(got)][:3] if len(want) < 200000 else []
     extra = [r for r in got if r not in set(want)][:3] if len(got) < 200000 else []
     return False, f"rows {len(got)} vs {len(want)}\n   only SQL: {str(missing)[:700]}\n   only Spark: {str(extra)[:700]}"
