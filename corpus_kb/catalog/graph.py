@@ -100,8 +100,8 @@ ENTRIES = {
         with_views("""SELECT s.seed, e.* FROM (SELECT 'region:' || r_name AS seed FROM region UNION ALL SELECT 'nation:' || n_name FROM nation) s JOIN f_edges e ON e.src = s.seed OR e.dst = s.seed"""),
     ),
     "G3_one_neighbourhood": (
-        lambda s, d: G.neighbourhood(T.edges(s, d), "nation:FRANCE", 100),
-        with_views("SELECT * FROM f_edges WHERE src = 'nation:FRANCE' OR dst = 'nation:FRANCE' ORDER BY src, dst, rel LIMIT 100"),
+        lambda s, d: G.neighbourhood(T.edges(s, d), "nation:NATION_3", 100),
+        with_views("SELECT * FROM f_edges WHERE src = 'nation:NATION_3' OR dst = 'nation:NATION_3' ORDER BY src, dst, rel LIMIT 100"),
     ),
     "G4_L11_export_edges": (
         lambda s, d: G.export_edges(T.edges(s, d)), with_views("SELECT * FROM f_edges ORDER BY src, dst, rel LIMIT 5000"),
