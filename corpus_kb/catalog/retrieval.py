@@ -206,8 +206,8 @@ ENTRIES = {
         _sql("SELECT query_id, pos, kind, id, title, summary, page_path, round(score, 6) AS score FROM detailed", _BENCH, *_ALL),
     ),
     "K6_F14_hits_json": (
-        lambda s, d: C.hits_json(hits(s, d).withColumn("score", F.lit(1)).filter(F.col("kind") != "chunk")),
-        _sql("""SELECT query_id, pos, concat('{"kind":"', kind, '","id":"', id, '","title":"', title, '","summary":"', summary, '","score":1}') AS json FROM detailed WHERE kind <> 'chunk'""", _BENCH, *_ALL),
+        lambda s, d: C.hits_json(hits(s, d), ("kind", "id", "page_path", "start_line", "end_line")),
+        _sql("""SELECT query_id, pos, concat('{"kind":"', kind, '","id":"', id, '","page_path":"', page_path, '","start_line":', start_line, ',"end_line":', end_line, '}') AS json FROM detailed""", _BENCH, *_ALL),
     ),
     "R10_latest_question": (
         lambda s, d: C.latest_questions(T.turns(s, d)),
