@@ -56,11 +56,6 @@ def typed_pages(spark, d):
 _TYPED = "SELECT path, lang, CASE doc_id % 6 WHEN 0 THEN 'Reference' WHEN 1 THEN 'Workflow' WHEN 2 THEN 'Business' WHEN 3 THEN 'Architecture' WHEN 4 THEN 'Data Model' ELSE 'API Reference' END AS page_type FROM f_docs"
 
 
-def call_log(spark, d):
-    c = T.calls(spark, d)
-    return c.filter(F.col("stage") == "R").unionByName(c.filter(F.col("stage") != "R"))
-
-
 ENTRIES = {
     "A1_table_counts": (
         lambda s, d: U.table_counts(pages=T.docs(s, d), chunks=T.chunks(s, d), entities=T.entities(s, d).filter(F.col("status") == "active"), runs=T.runs(s, d)),
@@ -113,10 +108,6 @@ ENTRIES = {
         with_views("""SELECT run_id, status, CASE WHEN status <> 'running' AND run_id % 2 = 0 THEN 'new' ELSE 'h' || run_id END AS git_head, strftime(created_at, '%Y-%m-%d') AS created_at,
             CASE WHEN status <> 'running' THEN strftime(created_at + INTERVAL 1 DAY, '%Y-%m-%d') END AS finished_at FROM f_runs"""),
     ),
-    "U11_call_log_append": (
-        lambda s, d: call_log(s, d).groupBy("stage").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens")),
-        with_views("SELECT stage, count(*) AS calls, sum(prompt_tokens)::bigint AS prompt_tokens FROM f_calls GROUP BY stage"),
-    ),
     "T2_heartbeat_staleness_batch": (
         heartbeats,
         "SELECT user_id, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR AS stale FROM events GROUP BY user_id",
