@@ -10,6 +10,10 @@ from corpus_kb.functions.transcripts import DRAFT_MARKER
 from corpus_kb.operators import delta as D
 from corpus_kb.operators import index as I
 from corpus_kb.operators import segment as G
+from corpus_kb.plans import evidence as E
+from corpus_kb.plans import maintenance as N
+from corpus_kb.session import shared_dir
+from corpus_kb.sources import files as R
 from corpus_kb.sources import sinks as K
 from corpus_kb.sources import tables as T
 
@@ -114,7 +118,64 @@ def plan_pages(spark, d):
     return T.docs(spark, d).select("path", F.left("body", F.lit(12)).alias("title"), F.lit("Reference").alias("page_type"), F.col("lang").alias("description"), F.array("lang", "source").alias("tags"), "body")
 
 
+def finalized(spark, d):
+    pages = T.linked_docs(spark, d).withColumns({"title": F.col("path"), "description": F.lit("")})
+    files = T.docs(spark, d).filter(F.col("lang") == "en")
+    chunks = T.chunks(spark, d)
+    return N.finalize(pages, chunks, I.gram_sets(chunks, "chunk_id", ["body"]), files)["summary"]
+
+
+def evidence(spark, d):
+    """Evidence of one page per language folder and one per repository; sizes and hashes stand for the texts."""
+    texts = T.source_texts(spark, d).filter(F.col("language").isNull() | F.col("language").isin("rust", "python"))
+    plan = texts.select("repo", F.split_part("rel", F.lit("/"), F.lit(2)).alias("lang")).distinct().select(
+        "repo", F.concat("repo", F.lit("/"), "lang", F.lit(".md")).alias("path"), F.col("lang").alias("title"), F.lit("d").alias("description"),
+        F.when(F.col("lang") != "en", F.concat("repo", F.lit("/"), "lang")).alias("module"),
+    )
+    readmes = texts.groupBy("repo").agg(F.min("rel").alias("excerpt"))
+    return E.evidence(plan, texts, readmes)
+
+
+def claims_round_trip(spark, d):
+    """Sidecars written as JSON and read back with the tolerant reader."""
+    out = shared_dir(spark, "claims")
+    K.write_claims(G.claims(claim_docs(spark, d)), out)
+    return R.read_claims(spark, out).select("page_path", "statement", F.array_join("evidence", ",").alias("evidence"), "status")
+
+
+def chunk_sink(spark, d):
+    """Chunk table written by page bucket, then the buckets of one language's pages written again."""
+    out, c = shared_dir(spark, "chunks"), T.chunks(spark, d)
+    D.write_chunks_by_page(c, out, buckets=8)
+    stored = spark.read.parquet(out)
+    touched = T.docs(spark, d).filter(F.col("lang") == "es").select(F.col("path").alias("page_path"))
+    bucket = F.pmod(F.xxhash64("page_path"), F.lit(8)).cast("int")
+    hit = touched.select(bucket.alias("page_bucket")).distinct()
+    whole = stored.join(hit, "page_bucket", "left_semi").drop("page_bucket")
+    new = c.join(touched, "page_path", "left_semi").filter(F.col("ord") == 0).withColumn("source", F.lit("new"))
+    from corpus_kb.session import materialize
+
+    D.write_chunks_by_page(materialize(D.replace_by_page(whole, new), "touched"), out, buckets=8)
+    return spark.read.parquet(out).groupBy("source").agg(F.count("*").alias("chunks"), F.sum("end_line").alias("lines"))
+
+
 ENTRIES = {
+    "I5_run_finalisation": (
+        finalized,
+        with_views("""SELECT 'pages' AS "table", count(*) AS rows FROM f_docs WHERE lang = 'en' UNION ALL SELECT 'pruned', count(*) FROM f_docs WHERE lang <> 'en'
+            UNION ALL SELECT 'chunks', count(*) FROM f_cut WHERE page_path IN (SELECT path FROM f_docs WHERE lang = 'en')
+            UNION ALL SELECT 'problems', 3 + count(*) FROM f_mdlinks WHERE from_path IN (SELECT path FROM f_docs WHERE lang = 'en') AND to_path NOT IN (SELECT path FROM f_docs WHERE lang = 'en')"""),
+    ),
+    "I6_evidence_bundle": (evidence, None),
+    "S8_claims_round_trip": (
+        claims_round_trip,
+        with_views("SELECT page_path, statement, concat('kb://', page_path) AS evidence, 'active' AS status FROM claims", claims=_CLAIMS),
+    ),
+    "K7_chunk_sink_by_bucket": (
+        chunk_sink,
+        with_views("""SELECT CASE WHEN lang = 'es' THEN 'new' ELSE 'structural|hybrid|512|llm=false' END AS source, count(*) AS chunks, sum(end_line)::bigint AS lines
+            FROM f_cut c JOIN f_docs d ON c.page_path = d.path WHERE lang <> 'es' OR ord = 0 GROUP BY 1"""),
+    ),
     "U2_upsert_pages": (
         page_versions,
         with_views("SELECT path, CASE WHEN lang IN ('de', 'fr') THEN 'h' ELSE sha256(body) END AS body_hash, CASE WHEN lang IN ('de', 'fr') THEN 'run-2' ELSE 'run-0' END AS run_id FROM f_docs"),

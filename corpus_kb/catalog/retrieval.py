@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpus_kb.catalog.base import with_views
-from corpus_kb.functions.terms import SEPARATORS, cosine, match_expression, query_terms
+from corpus_kb.functions.terms import SEPARATORS, match_expression, query_terms
 from corpus_kb.operators import index as I
 from corpus_kb.operators import recall as C
 from corpus_kb.operators import search as S
+from corpus_kb.session import materialize, shared_dir
 from corpus_kb.sources import tables as T
 
 LIMIT = 10
@@ -88,7 +89,8 @@ def entities(spark, d):
 def _matches(spark, d):
     terms = S.query_terms(T.questions(spark, d))
     chunks = T.chunks(spark, d)
-    return terms, chunks, S.match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"])
+    found = S.match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"])
+    return terms, chunks, materialize(found, "matches")
 
 
 def bm25(spark, d):
@@ -130,8 +132,6 @@ def index_gap(spark, d):
 
 def stored_index(spark, d):
     """Search over a written index instead of grams derived on the fly."""
-    from corpus_kb.session import shared_dir
-
     chunks = T.chunks(spark, d)
     path = shared_dir(spark, "index")
     I.write_index(I.gram_sets(chunks, "chunk_id", S.CHUNK_TEXT), path, buckets=8)

@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from corpus_kb.functions.markdown import link_targets
 from corpus_kb.functions.text import basename, dirname, normalize_path
-from corpus_kb.operators.index import gram_sets
 from corpus_kb.operators.scan import module_representatives
 from corpus_kb.operators.search import match_terms
 from corpus_kb.session import materialize
@@ -213,8 +212,7 @@ def chunk_mentions(chunks: DataFrame, entities: DataFrame, min_chars: int = 3, p
     names = entities.filter((F.col("status") == "active") & (F.length("name") >= min_chars)).select(
         F.col("id").alias("entity_id"), F.lower("name").alias("term")
     )
-    index = postings if postings is not None else gram_sets(chunks, "chunk_id", ["title", "summary", "body"])
-    found = match_terms(names.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"], index)
+    found = match_terms(names.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"], postings)
     return found.join(names, "term").groupBy("chunk_id", "entity_id").agg(F.sum("tf").alias("mentions"))
 
 

@@ -22,6 +22,13 @@ HEAD_BOOST, BODY_BOOST = 0.1, 0.05
 CHUNK_TEXT = ["title", "summary", "body"]
 ENTITY_TEXT = ["name", "canonical_key"]
 MODES = ("auto", "fts5", "like")
+# terms are at most a few hundred bytes each, so a broadcast dictionary stays in the tens of megabytes
+MAX_BROADCAST_TERMS = 100_000
+
+
+def broadcast_if_within(df: DataFrame, measured: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint when ``measured``, which bounds its row count, has at most ``max_rows`` rows."""
+    return F.broadcast(df) if measured.limit(max_rows + 1).count() <= max_rows else df
 
 
 def query_terms(queries: DataFrame, compat: bool = False) -> DataFrame:
@@ -51,25 +58,59 @@ def anchors(dictionary: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
-def match_terms(dictionary: DataFrame, items: DataFrame, id_col: str, head: list[str], body: list[str], postings: DataFrame | None = None) -> DataFrame:
+def _texts(items: DataFrame, id_col: str, head: list[str], body: list[str]) -> DataFrame:
+    """``id, doc_len, _head, _text`` with both texts lower-cased; ``_text`` holds head and body."""
+    return items.select(
+        id_col, doc_length(head + body).alias("doc_len"), F.lower(F.concat_ws("\n", *head)).alias("_head"),
+        F.lower(F.concat_ws("\n", *head, *body)).alias("_text"),
+    )
+
+
+def _verified(candidates: DataFrame, id_col: str) -> DataFrame:
+    text, term = F.col("_text"), F.col("term")
+    found = candidates.filter(F.contains(text, term))
+    # only terms of indexable length are weighted by their count
+    count = F.when(F.length(term) >= GRAM, Q.occurrences(text, term)).otherwise(F.lit(1))
+    return found.select("term", id_col, "doc_len", F.contains("_head", term).alias("in_head"), count.cast("bigint").alias("tf"))
+
+
+def _match_by_scan(dictionary: DataFrame, shortest: int, texts: DataFrame, id_col: str) -> DataFrame:
+    """One pass over the texts and no shuffle: each text's distinct grams probe a broadcast dictionary.
+
+    A long term is keyed by the one of its grams that fewest other terms share, a short one by itself.
+    Explode, probe and verification run in one generated loop, so texts are not copied per gram.
+    """
+    probes = F.when(F.length("term") >= GRAM, F.array_distinct(Q.ngrams(F.col("term"), GRAM))).otherwise(F.array("term"))
+    keyed = dictionary.select("term", F.explode(probes).alias("gram"))
+    shared = keyed.groupBy("gram").agg(F.count("*").alias("n"))
+    chosen = keyed.join(shared, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    grams = F.array_distinct(F.concat(*[Q.ngrams(F.col("_text"), n) for n in range(max(1, min(shortest, GRAM)), GRAM + 1)]))
+    return _verified(texts.withColumn("gram", F.explode(grams)).join(F.broadcast(chosen), "gram"), id_col)
+
+
+def _match_by_index(dictionary: DataFrame, index: DataFrame, texts: DataFrame, id_col: str) -> DataFrame:
+    """Candidates from the gram index, then their texts. For stored indexes and dictionaries of any size."""
+    candidates = index.join(anchors(dictionary, index), "gram").select("term", id_col).distinct()
+    return _verified(candidates.join(texts, id_col), id_col)
+
+
+def match_terms(
+    dictionary: DataFrame, items: DataFrame, id_col: str, head: list[str], body: list[str], postings: DataFrame | None = None,
+    max_broadcast_terms: int = MAX_BROADCAST_TERMS,
+) -> DataFrame:
     """Every (term, item) with the term as a substring: ``term, id, doc_len, in_head, tf``.
 
-    ``postings`` is a written :func:`gram_sets` index of the items; without one it is derived from them.
+    ``postings`` is a written :func:`gram_sets` index of the items. Without one, a dictionary whose
+    counted size is within ``max_broadcast_terms`` is matched in a single scan; a larger one goes through
+    grams derived from the items.
     """
-    index = postings if postings is not None else gram_sets(items, id_col, head + body)
-    found = anchors(dictionary, index)
-    candidates = index.join(found, "gram").select("term", id_col).distinct()
-    texts = items.select(
-        id_col,
-        F.lower(F.concat_ws("\n", *head)).alias("_head"),
-        F.lower(F.concat_ws("\n", *body)).alias("_body") if body else F.lit("").alias("_body"),
-        doc_length(head + body).alias("doc_len"),
-    )
-    head_text, body_text, term = F.col("_head"), F.col("_body"), F.col("term")
-    verified = candidates.join(texts, id_col).filter(F.contains(head_text, term) | F.contains(body_text, term))
-    # only terms of indexable length are weighted by their count
-    count = F.when(F.length(term) >= GRAM, Q.occurrences(head_text, term) + Q.occurrences(body_text, term)).otherwise(F.lit(1))
-    return verified.select("term", id_col, "doc_len", F.contains(head_text, term).alias("in_head"), count.cast("bigint").alias("tf"))
+    texts = _texts(items, id_col, head, body)
+    if postings is not None:
+        return _match_by_index(dictionary, postings, texts, id_col)
+    size = dictionary.limit(max_broadcast_terms + 1).agg(F.count("*").alias("n"), F.min(F.length("term")).alias("shortest")).first()
+    if size["n"] <= max_broadcast_terms:
+        return _match_by_scan(dictionary, size["shortest"] or GRAM, texts, id_col)
+    return _match_by_index(dictionary, gram_sets(items, id_col, head + body), texts, id_col)
 
 
 def bm25_hits(terms: DataFrame, matches: DataFrame, items: DataFrame, id_col: str, columns: list[str], limit: int) -> DataFrame:
@@ -82,9 +123,11 @@ def bm25_hits(terms: DataFrame, matches: DataFrame, items: DataFrame, id_col: st
     long_matches = matches.filter(F.length("term") >= GRAM)
     df = long_matches.groupBy("term").agg(F.count("*").alias("df"))
     weighted_terms = df.join(terms.select("term", "query_id"), "term").withColumn("idf", Q.bm25_idf(n_docs, F.col("df")))
+    # matches stay where they were produced; a chunk's terms are then summed before any shuffle
+    weighted_terms = broadcast_if_within(weighted_terms, terms, MAX_BROADCAST_TERMS)
     weight = Q.bm25_weight(F.col("idf"), F.col("tf"), F.col("doc_len"), avg_len)
     scored = (
-        long_matches.join(weighted_terms, "term").groupBy("query_id", id_col)
+        long_matches.select("term", id_col, "tf", "doc_len").join(weighted_terms, "term").groupBy("query_id", id_col)
         .agg(F.round(F.sum(weight), Q.SCORE_DIGITS).alias("strength"))
     )
     best = W.partitionBy("query_id").orderBy(F.desc("strength"), id_col)
