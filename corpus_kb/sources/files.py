@@ -90,8 +90,8 @@ def bounded_excerpt(text: Column, max_chars: int) -> Column:
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """Markdown pages ``path, body`` below ``root``; hidden files are no pages."""
     return (
-        spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).option("wholetext", True)
-        .text(root)
+        spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True)
+        .text(root, wholetext=True)
         .select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("body"))
         .filter(~F.col("path").startswith("."))
     )
