@@ -80,5 +80,8 @@ def with_views(body: str, **extra: str) -> str:
     for sql in (*extra.values(), body):
         need(sql)
     ctes = [f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in ordered]
-    ctes += [f"{name} AS MATERIALIZED ({sql})" for name, sql in extra.items()]
-    return (f"WITH {', '.join(ctes)} " if ctes else "") + body
+    # a view that refers to itself is a recursion
+    recursive = {name for name, sql in extra.items() if re.search(rf"\b{name}\b", sql)}
+    ctes += [f"{name} AS ({sql})" if name in recursive else f"{name} AS MATERIALIZED ({sql})" for name, sql in extra.items()]
+    keyword = "WITH RECURSIVE" if recursive else "WITH"
+    return (f"{keyword} {', '.join(ctes)} " if ctes else "") + body

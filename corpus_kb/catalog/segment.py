@@ -27,6 +27,28 @@ _COLLAPSED = """SELECT path, string_agg(CASE WHEN trim(line) = '' THEN '' ELSE l
     WHERE line_no BETWEEN lo AND hi AND NOT (trim(line) = '' AND coalesce(pb, false)) GROUP BY path"""
 
 
+# the greedy split is a recursion over the lines of each page: a piece closes once it reaches the target outside a fence
+_WALK = """SELECT path, line_no, line, 1 AS seg, CASE WHEN NOT in_fence AND starts_with(line, '#') THEN trim(ltrim(line, '#')) ELSE 'Overview' END AS title,
+      length(line) + 1 AS chars, length(line) // 3 + 1 >= 512 AND NOT in_fence AS full_ FROM f_fence WHERE line_no = 1
+    UNION ALL SELECT path, line_no, line, seg, title, chars, (chars - 1) // 3 + 1 >= 512 AND NOT in_fence AS full_ FROM
+      (SELECT l.path, l.line_no, l.line, l.in_fence, w.seg + CASE WHEN w.full_ OR (NOT l.in_fence AND starts_with(l.line, '#')) THEN 1 ELSE 0 END AS seg,
+         CASE WHEN NOT l.in_fence AND starts_with(l.line, '#') THEN trim(ltrim(l.line, '#')) ELSE w.title END AS title,
+         CASE WHEN w.full_ OR (NOT l.in_fence AND starts_with(l.line, '#')) THEN 0 ELSE w.chars END + length(l.line) + 1 AS chars
+       FROM walk w JOIN f_fence l ON l.path = w.path AND l.line_no = w.line_no + 1)"""
+_WS = "chr(32)||chr(9)||chr(10)||chr(13)"
+_PIECES = f"""SELECT *, row_number() OVER (PARTITION BY path ORDER BY seg) AS k, lag(body) OVER (PARTITION BY path ORDER BY seg) AS prev FROM
+    (SELECT path, seg, any_value(title) AS title, min(line_no) AS start_line, max(line_no) AS end_line, string_agg(line, chr(10) ORDER BY line_no) AS body FROM walk GROUP BY path, seg)
+    WHERE trim(body, {_WS}) <> ''"""
+_GROUPED = f"""SELECT *, row_number() OVER (PARTITION BY path, g ORDER BY seg) AS i, count(*) OVER (PARTITION BY path, g) AS n FROM
+    (SELECT *, sum(CASE WHEN prev IS NULL OR length(trim(body, {_WS})) >= 400 OR ends_with(rtrim(prev, {_WS}), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY seg) AS g FROM pieces)"""
+_MERGED = f"""SELECT path AS page_path, g - 1 AS ord, arg_min(title, seg) AS title, min(start_line) AS start_line, max(end_line) AS end_line, arg_min(body, seg) AS first_body,
+    string_agg(CASE WHEN n = 1 THEN body WHEN i = 1 THEN rtrim(body, {_WS}) WHEN i = n THEN ltrim(body, {_WS}) ELSE trim(body, {_WS}) END, chr(10)||chr(10) ORDER BY seg) AS body FROM grouped GROUP BY path, g"""
+_CHUNKED = f"""SELECT concat('ck_', left(sha256(concat(page_path, ord::bigint, body)), 12)) AS chunk_id, page_path, ord::bigint AS ord, title, start_line, end_line, body,
+    CASE WHEN length(coalesce(s, '')) >= 20 THEN s ELSE title END AS summary, 'structural|structural|512|llm=false' AS source FROM
+    (SELECT *, left(list_filter(list_transform(string_split(first_body, chr(10)), lambda x: trim(x, {_WS})),
+        lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '```') AND NOT starts_with(x, '---'))[1], 180) AS s FROM merged)"""
+
+
 def claim_docs(spark, d):
     """Markdown pages in which every second heading announces claims and prose lines are bullets."""
     md = T.markdown_docs(spark, d)
@@ -89,7 +111,10 @@ ENTRIES = {
     "W15_summaries": (
         lambda s, d: T.chunks(s, d).select("chunk_id", "summary"), with_views("SELECT chunk_id, summary FROM f_chunks"),
     ),
-    "C1_W5_W6_structural_chunks": (lambda s, d: G.chunk_pages(T.markdown_docs(s, d)), None),
+    "C1_W5_W6_structural_chunks": (
+        lambda s, d: G.chunk_pages(T.markdown_docs(s, d)),
+        with_views(f"SELECT * FROM ({_CHUNKED})", walk=_WALK, pieces=_PIECES, grouped=_GROUPED, merged=_MERGED),
+    ),
     "C1_heading_chunks": (
         lambda s, d: G.chunk_pages(
             T.markdown_docs(s, d), target_tokens=10**9,

@@ -86,17 +86,15 @@ def outline_line(rel: Column, language: Column, size: Column, items: Column) ->
 def outline_summary(texts: DataFrame, max_files: int = MAX_FILES, max_chars: int = MAX_CHARS) -> DataFrame:
     """Outline lines of each repository's largest files within a character budget.
 
-    The largest files are picked before any text is read in full, so at most ``max_files`` rows per
-    repository leave a map task.
+    Each file becomes one short line in its own task; only those lines are ranked, and at most
+    ``max_files`` per repository leave a map task.
     """
-    ranked = (
-        texts.filter(F.col("language").isNotNull())
-        .withColumn("pos", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("size"), "rel")))
-        .filter(F.col("pos") <= max_files)
-        .select(
-            "repo", "pos", "rel",
-            outline_line(F.col("rel"), F.col("language"), F.col("size"), code.outline(F.col("text"), F.col("language"))).alias("line"),
-        )
+    short = texts.filter(F.col("language").isNotNull()).select(
+        "repo", "rel", "size",
+        outline_line(F.col("rel"), F.col("language"), F.col("size"), code.outline(F.col("text"), F.col("language"))).alias("line"),
+    )
+    ranked = short.withColumn("pos", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("size"), "rel"))).filter(
+        F.col("pos") <= max_files
     )
     before = F.coalesce(
         F.sum(F.length("line")).over(W.partitionBy("repo").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)

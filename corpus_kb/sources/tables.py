@@ -14,14 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# an input of more splits than this is never redistributed, however many cores there are
+SMALL_INPUT_SPLITS = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with fewer splits than cores over all of them.
+    """Deal the rows of a tiny input over all cores.
 
-    A small single-row-group file would otherwise keep all per-row text work in one task; inputs that
-    already have enough splits pass through untouched.
+    A small single-row-group file would otherwise keep all per-row text work in one task. Inputs of
+    more than a few splits pass through untouched, so no large text is shuffled for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, SMALL_INPUT_SPLITS + 1) else df
 
 
 def doc_path(source: Column, doc_id: Column) -> Column:
