@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpus_kb.catalog.base import with_views
+from corpus_kb.catalog.code import _DECL
 from corpus_kb.catalog.segment import claim_docs, heading_docs
 from corpus_kb.functions.transcripts import DRAFT_MARKER
 from corpus_kb.operators import delta as D
@@ -125,6 +126,30 @@ def finalized(spark, d):
     return N.finalize(pages, chunks, I.gram_sets(chunks, "chunk_id", ["body"]), files)["summary"]
 
 
+_SCOPED = """SELECT p.repo, p.path, p.scope, f.rel, f.language, f.size, row_number() OVER (PARTITION BY p.repo, p.path ORDER BY f.rel) AS by_name,
+    row_number() OVER (PARTITION BY p.repo, p.path ORDER BY f.size DESC, f.rel) AS by_size
+    FROM plan p JOIN txt f ON f.repo = p.repo AND f.language IS NOT NULL AND (p.scope = '' OR starts_with(f.rel, p.scope || '/'))"""
+_OUTLINED = """SELECT repo, path, string_agg(line, '' ORDER BY by_size) AS t FROM
+    (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY repo, path ORDER BY by_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM
+      (SELECT s.repo, s.path, s.by_size, CASE WHEN d.decls IS NULL THEN concat('- `', s.rel, '` (', s.language, ')', chr(10)) ELSE concat('- `', s.rel, '` (', s.language, ', ', s.size, ' B): ', d.decls, chr(10)) END AS line
+       FROM scoped s LEFT JOIN (SELECT rel, string_agg(concat('`', line, '` ', kind, ' ', name), ' · ' ORDER BY line) AS decls FROM decl WHERE rn <= 8 GROUP BY rel) d ON s.rel = d.rel WHERE by_size <= 14))
+    WHERE used <= 4200 GROUP BY repo, path"""
+_EVIDENCE = with_views(
+    """SELECT p.repo, p.path, concat('source files: ', f.n, ' · languages: ', CASE WHEN f.langs = '' THEN 'unknown' ELSE f.langs END, chr(10), chr(10), '## README excerpt', chr(10), left(f.readme, 900), chr(10),
+          chr(10), '## Modules discovered', chr(10), CASE WHEN f.n > 0 THEN concat('- ', p.repo, ' (`', p.repo, '` → `', p.repo, '/`) · ', f.n, ' source files', chr(10)) ELSE '' END,
+          chr(10), '## Documents this wiki will contain', chr(10), l.t, chr(10), '## Source files in scope (', CASE WHEN p.scope = '' THEN 'whole repository' ELSE 'module' END, ')', chr(10), coalesce(x.t, ''),
+          chr(10), '## Source outline (declarations with line numbers)', chr(10), coalesce(o.t, '- (no source files in scope)' || chr(10))) AS evidence
+       FROM plan p JOIN facts f ON p.repo = f.repo JOIN (SELECT repo, string_agg(concat('- [', title, '](', path, ') — d', chr(10)), '' ORDER BY path) AS t FROM plan GROUP BY repo) l ON p.repo = l.repo
+       LEFT JOIN (SELECT repo, path, string_agg(CASE WHEN by_name = 61 THEN '- … (truncated; use list_files/grep for the rest)' || chr(10) ELSE concat('- ', rel, ' (', language, ', ', size, ' B)', chr(10)) END, '' ORDER BY by_name) AS t
+                  FROM scoped WHERE by_name <= 61 GROUP BY repo, path) x ON x.repo = p.repo AND x.path = p.path
+       LEFT JOIN outlined o ON o.repo = p.repo AND o.path = p.path""",
+    txt="SELECT * FROM f_files WHERE language IS NULL OR language IN ('rust', 'python')",
+    plan="SELECT DISTINCT repo, concat(repo, '/', split_part(rel, '/', 2), '.md') AS path, split_part(rel, '/', 2) AS title, CASE WHEN split_part(rel, '/', 2) <> 'en' THEN concat(repo, '/', split_part(rel, '/', 2)) ELSE '' END AS scope FROM txt",
+    facts="SELECT repo, count(language) AS n, coalesce(array_to_string(list_sort(list(DISTINCT language) FILTER (language IS NOT NULL)), ', '), '') AS langs, min(rel) AS readme FROM txt GROUP BY repo",
+    decl=_DECL, scoped=_SCOPED, outlined=_OUTLINED,
+)
+
+
 def evidence(spark, d):
     """Evidence of one page per language folder and one per repository; sizes and hashes stand for the texts."""
     texts = T.source_texts(spark, d).filter(F.col("language").isNull() | F.col("language").isin("rust", "python"))
@@ -166,7 +191,7 @@ ENTRIES = {
             UNION ALL SELECT 'chunks', count(*) FROM f_cut WHERE page_path IN (SELECT path FROM f_docs WHERE lang = 'en')
             UNION ALL SELECT 'problems', 3 + count(*) FROM f_mdlinks WHERE from_path IN (SELECT path FROM f_docs WHERE lang = 'en') AND to_path NOT IN (SELECT path FROM f_docs WHERE lang = 'en')"""),
     ),
-    "I6_evidence_bundle": (evidence, None),
+    "I6_evidence_bundle": (evidence, _EVIDENCE),
     "S8_claims_round_trip": (
         claims_round_trip,
         with_views("SELECT page_path, statement, concat('kb://', page_path) AS evidence, 'active' AS status FROM claims", claims=_CLAIMS),
