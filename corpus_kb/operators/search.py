@@ -184,8 +184,8 @@ def search(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    # matches and ranked hits are each read several times below: written once, narrow rows only
     terms = query_terms(queries, compat)
-    # read by the df count, BM25 and the substring step: written once, narrow rows only
     matches = materialize(
         match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"], postings), "matches"
     )
@@ -193,7 +193,7 @@ def search(
         ranked = None
         like_terms = terms
     else:
-        ranked = bm25_hits(terms, matches, chunks, "chunk_id", CHUNK_TEXT, limit)
+        ranked = materialize(bm25_hits(terms, matches, chunks, "chunk_id", CHUNK_TEXT, limit), "ranked")
         answered = ranked.select("query_id").distinct().withColumn("answered", F.lit(True))
         like_terms = terms.join(answered, "query_id", "left").filter(F.col("answered").isNull() | (F.length("term") < GRAM)).drop("answered")
     extra = substring_hits(like_terms, matches, "chunk_id", limit)
