@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_kb.llm import packing
+from corpus_kb.llm import packing, sharding
 from corpus_kb.llm.common import table, tokenizer_path
 
 
@@ -12,5 +12,9 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing,)}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op9_sharding)}
 ORACLE_SQL: dict[str, str] = {}
