@@ -26,7 +26,7 @@ def tokenizer_path(name: str, folder: str = "/opt/tokenizers") -> str:
 
 def binary_text(column: str = "text") -> Column:
     """UTF-8 bytes of a text, null as empty."""
-    return F.coalesce(F.col(column), F.lit("")).cast("binary")
+    return F.coalesce(F.col(column), F.lit("")).cast("binary").alias(column)
 
 
 def whole_words(text: bytes) -> list[bytes]:
