@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_kb.llm import packing, quality, sharding
+from corpus_kb.llm import packing, quality, sharding, toxicity
 from corpus_kb.llm.common import table, tokenizer_path
 
 
@@ -12,6 +12,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic"), threshold=0.5)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality"), threshold=0.3)
@@ -21,5 +26,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op8_quality_classifier, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_toxicity, op8_quality_classifier, op9_sharding)}
 ORACLE_SQL: dict[str, str] = {}
