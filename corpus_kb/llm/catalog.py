@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_kb.llm import packing, quality, sharding, toxicity
+from corpus_kb.llm import packing, quality, sharding, toxicity, warc
 from corpus_kb.llm.common import table, tokenizer_path
 
 
@@ -17,6 +17,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic"), threshold=0.5)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=1000).drop("url")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality"), threshold=0.3)
@@ -26,5 +30,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_toxicity, op8_quality_classifier, op9_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_toxicity, op6_warc, op8_quality_classifier, op9_sharding)}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages))""",
+}
