@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpus_kb.llm import packing, quality, sharding, toxicity, warc
+from corpus_kb.llm import chat, packing, quality, sharding, toxicity, warc
 from corpus_kb.llm.common import table, tokenizer_path
 
 
@@ -21,6 +22,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least=1000).drop("url")
 
 
+#: A conversation whose texts are made of marks and escapes.
+HOSTILE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    hostile = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
+    turns = rows.unionByName(hostile).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    return chat.digests(chat.read_back(chat.format_chats(turns)))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality"), threshold=0.3)
@@ -30,8 +43,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_toxicity, op6_warc, op8_quality_classifier, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_toxicity, op6_warc, op7_chat_formatting, op8_quality_classifier, op9_sharding)}
 ORACLE_SQL: dict[str, str] = {
+    "op7_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+            SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        s AS (SELECT *, 18 + length(role) + length(text) + length(regexp_replace(concat(role, text), '[^\\<>]', '', 'g')) AS n FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::bigint AS formatted_chars
+        FROM s GROUP BY conv_id""",
     "op6_warc": """SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
         FROM (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM (
