@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_kb.llm import chat, fingerprint, packing, quality, sharding, toxicity, warc
+from corpus_kb.llm import chat, extract, fingerprint, packing, quality, sharding, toxicity, warc
 from corpus_kb.llm.common import table, tokenizer_path
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_best_fit_packing, op5_toxicity, op6_warc, op7_chat_formatting, op8_quality_classifier, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_best_fit_packing, op5_toxicity, op6_warc, op7_chat_formatting, op8_quality_classifier, op9_sharding)}
 ORACLE_SQL: dict[str, str] = {
     "op7_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
             SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
