@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_kb.llm import chat, extract, fingerprint, packing, quality, sharding, toxicity, warc
+from corpus_kb.llm import chat, decontaminate, extract, fingerprint, packing, quality, sharding, toxicity, warc
 from corpus_kb.llm.common import table, tokenizer_path
 
 
@@ -21,6 +21,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic"), threshold=0.5)
@@ -51,7 +55,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_best_fit_packing, op5_toxicity, op6_warc, op7_chat_formatting, op8_quality_classifier, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_warc, op7_chat_formatting, op8_quality_classifier, op9_sharding)}
 ORACLE_SQL: dict[str, str] = {
     "op7_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
             SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
