@@ -30,6 +30,8 @@ from corpus_kb.llm.common import arrow_map, binary_text, fold, labelled
 from corpus_kb.llm.quality import Forest, fit
 
 BUCKET_BITS, DISCOUNT, PRIOR, STRETCH, CALIBRATION_ROWS = 22, 0.75, 4.0, 8, 20_000
+#: Slots of the bit map of labelled ids.
+SLOT_BITS = 23
 #: Distinct words that a worker keeps the ratio of.
 KEPT_WORDS = 300_000
 _MARKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -94,8 +96,31 @@ def kneser_ney(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     return np.log(of_class(toxic) / of_class(ordinary)).astype(np.float32)
 
 
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def maybe_known(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows that may have a label, by one bit for ``2**SLOT_BITS`` slots of ids: texts without a label need not be shuffled to the join."""
+    slots = known.select("doc_id").mapInArrow(
+        lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(b["doc_id"].to_numpy())))], names=["slot"]) for b in batches), "slot long").distinct()
+    bits = np.zeros(1 << SLOT_BITS, bool)
+    bits[slots.toArrow()["slot"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[_slots(batch["doc_id"].to_numpy())].astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def continuations(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(bucket, toxic, ordinary): in how many different contexts each bucket's words occur in either class."""
+    """(bucket, toxic, ordinary): in how many different contexts each bucket's words occur in either class.
+
+    Contexts are told apart by 16 bits of the hash of the word before.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,17 +129,19 @@ def continuations(docs: DataFrame, known: DataFrame) -> DataFrame:
                 words = model_words(text.as_py())
                 if words:
                     h = np.fromiter((xxhash.xxh3_64_intdigest(w) & 0x7FFFFFFFFFFFFFFF for w in words), np.int64, len(words))
-                    left = np.concatenate([[0], h[:-1]]) >> 31
-                    found[label].append((h & ((1 << BUCKET_BITS) - 1)) << 32 | left)
+                    left = np.concatenate([[0], h[:-1]]) >> 47
+                    found[label].append((h & ((1 << BUCKET_BITS) - 1)) << 16 | left)
             for label, parts in found.items():
                 if parts:
                     key = np.unique(np.concatenate(parts))
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), label, np.int32))], names=["pair", "label"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text()).join(known, "doc_id").select("label", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text()).where(F.col("doc_id").isNotNull() & fold(F.col("doc_id")).between(1, 3))
+    # a merge join at every size: it spills, and never depends on how many labels there are
+    rows = maybe_known(texts, known).join(known.hint("merge"), "doc_id").select("label", "text")
     seen = rows.mapInArrow(pairs, "pair long, label int").groupBy("pair").agg(
         F.max(F.col("label")).alias("toxic"), (1 - F.min(F.col("label"))).alias("ordinary"))
-    return seen.groupBy(F.shiftright("pair", 32).cast("int").alias("bucket")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return seen.groupBy(F.shiftright("pair", 16).cast("int").alias("bucket")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = CALIBRATION_ROWS) -> tuple[Ratio, Forest]:
