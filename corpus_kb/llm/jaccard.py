@@ -104,7 +104,7 @@ def entries(found: np.ndarray, band: int, dear: np.ndarray, num: int = NUM, den:
     if not most or not len(found):
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     m = most + 1
-    salt = np.uint64(band) * _B
+    salt = np.uint64(band * int(_B) & 0xFFFFFFFFFFFFFFFF)
     segment = (mix(found ^ salt) % np.uint64(m)).astype(np.int64)
     order = np.argsort(segment.astype(np.uint16) if m < 65536 else segment, kind="stable")
     value, segment = mix(found[order] + _B), segment[order]
