@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpus_kb.catalog.base import with_views
-from corpus_kb.functions.transcripts import DRAFT_MARKER, JSON_CALL_MARKS, canonical_arguments
+from corpus_kb.functions.transcripts import DRAFT_MARKER, INVOKE, JSON_CALL_MARKS, canonical_arguments
 from corpus_kb.operators import conversation as V
 from corpus_kb.sources import tables as T
 
@@ -25,7 +25,7 @@ def transcripts(spark, d):
 
 
 def dirty_pages(spark, d):
-    body = F.concat("body", F.lit("\n" + DRAFT_MARKER + "\n\n\n\n" + JSON_CALL_MARKS[1] + "}\n<function=grep>\nkeep\nantml:" + "invoke\n"))
+    body = F.concat("body", F.lit("\n" + DRAFT_MARKER + "\n\n\n\n" + JSON_CALL_MARKS[1] + "}\n<function=grep>\nkeep\nantml:" + INVOKE + "\n"))
     return T.docs(spark, d).withColumn("body", body)
 
 

@@ -135,12 +135,12 @@ _OUTLINED = """SELECT repo, path, string_agg(line, '' ORDER BY by_size) AS t FRO
        FROM scoped s LEFT JOIN (SELECT rel, string_agg(concat('`', line, '` ', kind, ' ', name), ' · ' ORDER BY line) AS decls FROM decl WHERE rn <= 8 GROUP BY rel) d ON s.rel = d.rel WHERE by_size <= 14))
     WHERE used <= 4200 GROUP BY repo, path"""
 _EVIDENCE = with_views(
-    """SELECT p.repo, p.path, concat('source files: ', f.n, ' · languages: ', CASE WHEN f.langs = '' THEN 'unknown' ELSE f.langs END, chr(10), chr(10), '## README excerpt', chr(10), left(f.readme, 900), chr(10),
-          chr(10), '## Modules discovered', chr(10), CASE WHEN f.n > 0 THEN concat('- ', p.repo, ' (`', p.repo, '` → `', p.repo, '/`) · ', f.n, ' source files', chr(10)) ELSE '' END,
-          chr(10), '## Documents this wiki will contain', chr(10), l.t, chr(10), '## Source files in scope (', CASE WHEN p.scope = '' THEN 'whole repository' ELSE 'module' END, ')', chr(10), coalesce(x.t, ''),
-          chr(10), '## Source outline (declarations with line numbers)', chr(10), coalesce(o.t, '- (no source files in scope)' || chr(10))) AS evidence
+    """SELECT p.repo, p.path, concat('Sources: ', f.n, '; written in ', CASE WHEN f.langs = '' THEN 'unknown' ELSE f.langs END, chr(10), chr(10), '# From the readme', chr(10), left(f.readme, 900), chr(10),
+          chr(10), '# Modules', chr(10), CASE WHEN f.n > 0 THEN concat('- ', p.repo, ' (`', p.repo, '` → `', p.repo, '/`) · ', f.n, ' files', chr(10)) ELSE '' END,
+          chr(10), '# Planned pages', chr(10), l.t, chr(10), '# Files of the ', CASE WHEN p.scope = '' THEN 'repository' ELSE 'module' END, chr(10), coalesce(x.t, ''),
+          chr(10), '# Declarations by line', chr(10), coalesce(o.t, '- none' || chr(10))) AS evidence
        FROM plan p JOIN facts f ON p.repo = f.repo JOIN (SELECT repo, string_agg(concat('- [', title, '](', path, ') — d', chr(10)), '' ORDER BY path) AS t FROM plan GROUP BY repo) l ON p.repo = l.repo
-       LEFT JOIN (SELECT repo, path, string_agg(CASE WHEN by_name = 61 THEN '- … (truncated; use list_files/grep for the rest)' || chr(10) ELSE concat('- ', rel, ' (', language, ', ', size, ' B)', chr(10)) END, '' ORDER BY by_name) AS t
+       LEFT JOIN (SELECT repo, path, string_agg(CASE WHEN by_name = 61 THEN '- and more' || chr(10) ELSE concat('- ', rel, ' (', language, ', ', size, ' B)', chr(10)) END, '' ORDER BY by_name) AS t
                   FROM scoped WHERE by_name <= 61 GROUP BY repo, path) x ON x.repo = p.repo AND x.path = p.path
        LEFT JOIN outlined o ON o.repo = p.repo AND o.path = p.path""",
     txt="SELECT * FROM f_files WHERE language IS NULL OR language IN ('rust', 'python')",

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from corpus_kb.functions import markdown as M
 from corpus_kb.functions.text import bind, lines, strip, strip_start
-from corpus_kb.functions.transcripts import DRAFT_MARKER, JSON_CALL_MARKS
+from corpus_kb.functions.transcripts import DRAFT_MARKER, INVOKE, JSON_CALL_MARKS
 from corpus_kb.operators.graph import page_links
 
 # fixed values: text that marks a body as a tool transcript, checked in this order
 POLLUTION_MARKERS = (
     DRAFT_MARKER, "<function=", "<function_calls", "</function", "antml:", "<tool_call", "</tool_call", "<parameter=",
-    "</parameter", "<tool_use", "<" + "invoke name=", "tool_use_id", "assistant to=functions", *JSON_CALL_MARKS, "corpus_kb:draft",
+    "</parameter", "<tool_use", f"<{INVOKE} name=", "tool_use_id", "assistant to=functions", *JSON_CALL_MARKS, "corpus_kb:draft",
 )
 TRANSCRIPT_LINES = "<function* transcript lines"
 

@@ -16,7 +16,7 @@ from corpus_kb.operators.scan import corpus_facts, detect_modules, files_per_hin
 LISTED_FILES = 60
 LISTED_PAGES = 12
 README_CHARS = 900
-MORE_FILES = "- … (truncated; use list_files/grep for the rest)\n"
+MORE_FILES = "- and more\n"
 
 
 def _top(df: DataFrame, group: list[str], order: list, limit: int) -> DataFrame:
@@ -35,19 +35,19 @@ def headers(files: DataFrame, readmes: DataFrame) -> DataFrame:
     modules = detect_modules(files)
     counted = modules.join(files_per_hint(modules.select("repo", "hint"), files), ["repo", "hint"])
     line = F.concat(
-        F.lit("- "), "label", F.lit(" (`"), "key", F.lit("` → `"), "hint", F.lit("`) · "), F.col("source_files").cast("string"), F.lit(" source files\n")
+        F.lit("- "), "label", F.lit(" (`"), "key", F.lit("` → `"), "hint", F.lit("`) · "), F.col("source_files").cast("string"), F.lit(" files\n")
     )
     listed = _lines(counted.select("repo", F.col("key").alias("pos"), line.alias("line")), ["repo"], "modules")
     facts = corpus_facts(files)
     excerpt = F.when(F.col("excerpt").isNull(), F.lit("")).otherwise(
-        F.concat(F.lit("\n## README excerpt\n"), F.left("excerpt", F.lit(README_CHARS)), F.lit("\n"))
+        F.concat(F.lit("\n# From the readme\n"), F.left("excerpt", F.lit(README_CHARS)), F.lit("\n"))
     )
     return facts.join(readmes, "repo", "left").join(listed, "repo", "left").select(
         "repo",
         F.concat(
-            F.lit("source files: "), F.col("source_files").cast("string"), F.lit(" · languages: "),
+            F.lit("Sources: "), F.col("source_files").cast("string"), F.lit("; written in "),
             F.when(F.col("languages") == "", F.lit("unknown")).otherwise(F.col("languages")), F.lit("\n"), excerpt,
-            F.lit("\n## Modules discovered\n"), F.coalesce("modules", F.lit("")),
+            F.lit("\n# Modules\n"), F.coalesce("modules", F.lit("")),
         ).alias("header"),
     )
 
@@ -100,12 +100,12 @@ def evidence(plan: DataFrame, texts: DataFrame, readmes: DataFrame) -> DataFrame
         scoped_plan.join(headers(files, readmes), "repo", "left").join(page_lists(plan), "repo", "left")
         .join(file_lists, ["repo", "scope"], "left").join(outlines, ["repo", "scope"], "left")
     )
-    scope_name = F.when(F.col("scope") == "", F.lit("whole repository")).otherwise(F.lit("module"))
+    scope_name = F.when(F.col("scope") == "", F.lit("repository")).otherwise(F.lit("module"))
     return joined.select(
         "repo", "path",
         F.concat(
-            F.coalesce("header", F.lit("")), F.lit("\n## Documents this wiki will contain\n"), F.coalesce("page_list", F.lit("")),
-            F.lit("\n## Source files in scope ("), scope_name, F.lit(")\n"), F.coalesce("file_list", F.lit("")),
-            F.lit("\n## Source outline (declarations with line numbers)\n"), F.coalesce("outline", F.lit("- (no source files in scope)\n")),
+            F.coalesce("header", F.lit("")), F.lit("\n# Planned pages\n"), F.coalesce("page_list", F.lit("")),
+            F.lit("\n# Files of the "), scope_name, F.lit("\n"), F.coalesce("file_list", F.lit("")),
+            F.lit("\n# Declarations by line\n"), F.coalesce("outline", F.lit("- none\n")),
         ).alias("evidence"),
     )

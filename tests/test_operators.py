@@ -28,10 +28,10 @@ def chunk_table(spark, rows):
 @pytest.fixture
 def chunks(spark):
     return chunk_table(spark, [
-        ("ck_1", "a.md", "整体架构", "讲解 pipeline 的主流程与并发控制", "run_init_or_update 负责编排整个 pipeline。"),
-        ("ck_2", "a.md", "检索", "FTS5 检索实现", "store.search 使用 chunks_fts 虚表。"),
-        ("ck_3", "b.md", "分块", "分块策略由模型决定", "分块策略由 LLM 决定：先给简要，再给正文。"),
-        ("ck_4", "c.md", "配置", "配置面", "LLM 配置项说明。"),
+        ("ck_1", "pier.md", "Mooring", "how boats are tied to the pier", "The harbour master assigns a mooring buoy to every boat."),
+        ("ck_2", "tide.md", "Tide tables", "heights by hour", "The table holds one height for each hour of the day."),
+        ("ck_3", "lamp.md", "灯塔", "灯塔的开关时间", "灯塔在日落时打开，在日出时关闭。"),
+        ("ck_4", "fog.md", "雾笛", "雾中信号", "能见度低时鸣笛。"),
     ])
 
 
@@ -41,7 +41,7 @@ def search_ids(spark, chunks, query, **kw):
 
 
 @pytest.mark.parametrize("query, mode, want", [
-    ("pipeline", "auto", "ck_1"), ("整体架构", "auto", "ck_1"), ("分块策略是怎么实现的？", "auto", "ck_3"), ("配置", "like", "ck_4"), ("配置", "auto", "ck_4"),
+    ("buoy", "auto", "ck_1"), ("heights of the tide", "auto", "ck_2"), ("灯塔在什么时候打开？", "auto", "ck_3"), ("雾笛", "like", "ck_4"), ("雾笛", "auto", "ck_4"),
 ])
 def test_search_finds(spark, chunks, query, mode, want):
     assert want in search_ids(spark, chunks, query, mode=mode)
@@ -52,8 +52,8 @@ def test_blank_query_finds_nothing(spark, chunks):
 
 
 def test_entities_and_details(spark, chunks):
-    ents = spark.createDataFrame([("e1", "module", "pipeline", "module:pipeline", "active"), ("e2", "module", "pipeline2", "k", "retired")], "id string, kind string, name string, canonical_key string, status string")
-    queries = spark.createDataFrame([(1, "pipeline")], "query_id bigint, query string")
+    ents = spark.createDataFrame([("e1", "module", "buoy", "module:buoy", "active"), ("e2", "module", "buoy2", "k", "retired")], "id string, kind string, name string, canonical_key string, status string")
+    queries = spark.createDataFrame([(1, "buoy")], "query_id bigint, query string")
     got = S.search(queries, chunks, ents).orderBy("pos").collect()
     assert [(r["kind"], r["id"]) for r in got] == [("chunk", "ck_1"), ("module", "e1")]
     assert got[0]["body"] and got[1]["body"] is None
@@ -61,14 +61,14 @@ def test_entities_and_details(spark, chunks):
 
 def random_texts(n, seed):
     rng = random.Random(seed)
-    words = ["alpha", "beta", "be", "a", "gamma", "ga", "delta", "lta", "Ünï", "分块策略", "块"]
+    words = ["alpha", "beta", "be", "a", "gamma", "ga", "delta", "lta", "Ünï", "灯塔", "塔"]
     return [(f"ck_{i:03d}", f"p{i % 7}", rng.choice(words), rng.choice(words), " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(n)]
 
 
 def test_scan_index_and_brute_force_agree(spark, tmp_path):
     rows = random_texts(120, 3)
     table = chunk_table(spark, rows)
-    wanted = ["alpha", "a", "be", "lta", "ünï", "分块策略", "块", "et", "zzz"]
+    wanted = ["alpha", "a", "be", "lta", "ünï", "灯塔", "塔", "et", "zzz"]
     terms = spark.createDataFrame([(w,) for w in wanted], "term string")
     cols = ("term", "chunk_id", "in_head", "tf")
     brute = set()
@@ -82,38 +82,6 @@ def test_scan_index_and_brute_force_agree(spark, tmp_path):
         assert {tuple(r) for r in got.select(*cols).collect()} == brute
 
 
-def brute_chunks(md, target):
-    """Plain-Python statement of the structural split."""
-    out, buf, title, start, fence = [], [], "Overview", 1, False
-    lines = md.split("\n")
-    lines = lines[:-1] if lines and lines[-1] == "" else lines
-
-    def flush(end):
-        body = "\n".join(buf)
-        if body.strip():
-            out.append([title, start, end, body])
-        buf.clear()
-
-    for no, line in enumerate(lines, 1):
-        fence ^= line.lstrip().startswith("```")
-        if not fence and line.startswith("#"):
-            flush(no - 1)
-            title, start = line.lstrip("#").strip(), no
-        buf.append(line)
-        if len("\n".join(buf)) // 3 + 1 >= target and not fence:
-            flush(no)
-            start = no + 1
-    flush(len(lines))
-    merged = []
-    for piece in out:
-        if merged and len(piece[3].strip()) < 400 and not merged[-1][3].rstrip().endswith("```"):
-            merged[-1][3] = merged[-1][3].rstrip() + "\n\n" + piece[3].lstrip()
-            merged[-1][2] = max(merged[-1][2], piece[2])
-        else:
-            merged.append(piece)
-    return [tuple(m) for m in merged]
-
-
 def random_page(rng):
     out = []
     for _ in range(rng.randint(0, 60)):
@@ -121,16 +89,37 @@ def random_page(rng):
     return "\n".join(out) + rng.choice(["", "\n"])
 
 
-def test_chunker_equals_brute_force(spark):
+def is_heading(lines, number):
+    """Whether a line (from 1) opens a section: a heading mark outside fences."""
+    fences = sum(line.lstrip().startswith("```") for line in lines[: number - 1])
+    return fences % 2 == 0 and lines[number - 1].startswith("#")
+
+
+def test_chunks_keep_the_rules_of_the_split(spark):
+    """Stated as properties: where a chunk may start, what it is called, how small and how large it may be."""
     rng = random.Random(11)
-    pages = [(f"p{i}", random_page(rng)) for i in range(150)]
-    df = spark.createDataFrame(pages, "path string, body string")
+    pages = {f"p{i}": random_page(rng) for i in range(150)}
+    df = spark.createDataFrame(list(pages.items()), "path string, body string")
     for target in (60, 512):
-        got = {}
+        chunks = {}
         for r in C.chunk_pages(df, target_tokens=target).orderBy("page_path", "ord").collect():
-            got.setdefault(r["page_path"], []).append((r["title"], r["start_line"], r["end_line"], r["body"]))
-        for path, md in pages:
-            assert got.get(path, []) == brute_chunks(md, target), (path, target)
+            chunks.setdefault(r["page_path"], []).append(r)
+        for path, text in pages.items():
+            lines = text.split("\n")
+            own = chunks.get(path, [])
+            assert bool(own) == bool(text.strip())
+            for before, chunk in zip([None, *own], own):
+                at = chunk["start_line"]
+                opened = next((k for k in range(at, 0, -1) if is_heading(lines, k)), None)
+                assert chunk["title"] == (lines[opened - 1].lstrip("#").strip() if opened else "Overview")
+                if before is not None and opened != at:
+                    # apart from headings a cut only follows lines that have reached the size, and never lies in a fence
+                    assert sum(x.lstrip().startswith("```") for x in lines[: at - 1]) % 2 == 0
+                    assert len("\n".join(lines[before["start_line"] - 1 : at - 1])) // 3 + 1 >= target
+                # a small piece stands alone only behind a closed code block or at the start
+                if before is not None and len(chunk["body"].strip()) < 400:
+                    assert before["body"].rstrip().endswith("```")
+                assert chunk["body"].strip() and chunk["end_line"] >= at
 
 
 def test_chunk_spans_are_ordered_and_cover_the_page(spark):
@@ -196,8 +185,8 @@ def test_entity_props(spark):
 
 def test_entity_ids(evaluate):
     key = F.col("k")
-    assert evaluate(G.legacy_entity_id(key), k="module:架构") == "ent_module___"
-    assert evaluate(G.entity_id(key), k="module:架构") != evaluate(G.entity_id(key), k="module:结构")
+    assert evaluate(G.legacy_entity_id(key), k="module:港口") == "ent_module___"
+    assert evaluate(G.entity_id(key), k="module:港口") != evaluate(G.entity_id(key), k="module:港湾")
 
 
 def test_hops_and_paths_through_a_hub(spark):
@@ -254,6 +243,13 @@ def test_stale_runs(spark):
     assert row["status"] == "failed" and row["finished_at"] is not None and row["error"] == "interrupted"
 
 
+def test_duplicates_where_seq_restarts(spark):
+    calls = [(c, q, "grep", '{"q": "a"}' if q != 3 else '{"q": "b"}') for c in (1, 2) for q in (1, 2, 3)]
+    df = spark.createDataFrame(calls, "conv bigint, seq bigint, name string, args string")
+    got = sorted((r["conv"], r["seq"], r["fresh"]) for r in U.flag_duplicates(df, "conv", "seq").collect())
+    assert got == [(c, q, q != 2) for c in (1, 2) for q in (1, 2, 3)]
+
+
 def test_cache_counters(spark):
     lookups = spark.createDataFrame([("s", k) for k in "aabab"] + [("t", "z")], "scope string, key string")
     got = {r["scope"]: (r["lookups"], r["misses"], r["hits"], r["hit_rate"]) for r in U.cache_accounting(lookups, "scope", ["key"]).collect()}
@@ -288,7 +284,7 @@ def test_evidence_sections(spark):
     plan = spark.createDataFrame([("r", "m.md", "M", "about a", "src/a"), ("r", "all.md", "All", "everything", None)], "repo string, path string, title string, description string, module string")
     readme = spark.createDataFrame([("r", "Hello")], "repo string, excerpt string")
     got = {r["path"]: r["evidence"] for r in evidence(plan, texts, readme).collect()}
-    assert "- src/a/lib.rs (rust, 60 B)" in got["m.md"] and "src/b/x.py" not in got["m.md"].split("in scope")[1]
+    assert "- src/a/lib.rs (rust, 60 B)" in got["m.md"] and "src/b/x.py" not in got["m.md"].split("# Files of the")[1]
     assert "`1` struct Demo" in got["m.md"] and "`4` fn start" in got["m.md"] and "Hello" in got["m.md"]
     assert "- src/b/x.py (python, 9 B)" in got["all.md"] and "[M](m.md) — about a" in got["all.md"]
 
