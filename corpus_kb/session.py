@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,15 +32,23 @@ def build_session(app: str = "corpus_kb", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_OWN_FOLDERS: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint location.
 
-    The location is read from ``spark.checkpoint.dir``; only where no cluster names one
-    (local tests) is a local folder set.
+    The location is read from ``spark.checkpoint.dir``. Where it is unset, a local master gets a folder of its own that goes with the
+    process; any other master is an error, since executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not _OWN_FOLDERS:
+            atexit.register(lambda: [shutil.rmtree(x, ignore_errors=True) for x in _OWN_FOLDERS])
+        _OWN_FOLDERS.append(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
