@@ -69,12 +69,12 @@ def first_errors(log: DataFrame, scope: str, seq: str) -> DataFrame:
 def flag_duplicates(calls: DataFrame, scope: str, seq: str) -> DataFrame:
     """Calls flagged ``fresh`` on the first use of (name, canonical arguments) in their scope.
 
-    First uses come from a map-side ``min``; they meet the calls on the unique ``seq``, so a call that
-    makes up a third of the log never gathers in one task.
+    First uses come from a map-side ``min``; they meet the calls on (scope, seq), which names a call also where
+    seq starts anew in every scope, so a call that makes up a third of the log never gathers in one task.
     """
     keyed = calls.withColumn("call_key", canonical_arguments(F.col("args")))
-    firsts = keyed.groupBy(scope, "name", "call_key").agg(F.min(seq).alias(seq)).select(seq, F.lit(True).alias("fresh"))
-    return keyed.join(firsts, seq, "left").select(scope, seq, "name", "call_key", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    firsts = keyed.groupBy(scope, "name", "call_key").agg(F.min(seq).alias(seq)).select(scope, seq, F.lit(True).alias("fresh"))
+    return keyed.join(firsts, [scope, seq], "left").select(scope, seq, "name", "call_key", F.coalesce("fresh", F.lit(False)).alias("fresh"))
 
 
 def newest_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
