@@ -21,6 +21,12 @@ def lines_view(spark, d):
     return O.numbered_lines(T.docs(spark, d).withColumnRenamed("body", "text"), "path")
 
 
+def indented(spark, d):
+    """Documents whose lines start with two blanks."""
+    body = F.concat(F.lit("  "), F.replace("body", F.lit("\n"), F.lit("\n  ")))
+    return T.docs(spark, d).select("path", body.alias("text"))
+
+
 def cargo(spark, d):
     body = F.concat(
         F.lit('[package]\nname = "'), "source", F.lit('-'), F.col("doc_id").cast("string"), F.lit('"\n\n[dependencies]\n'), F.col("lang"),
@@ -43,13 +49,16 @@ ENTRIES = {
         lines_view, with_views("SELECT path, line_no, line FROM f_lines"),
     ),
     "P8_grep": (
-        lambda s, d: O.grep(T.docs(s, d).withColumnRenamed("body", "text"), "THE ", "d/src1*/**", key="path"),
-        with_views("SELECT path, line_no, CASE WHEN length(trim(line)) > 400 THEN left(trim(line), 400) || '…' ELSE trim(line) END AS line FROM f_lines WHERE contains(lower(line), 'the ') AND starts_with(path, 'd/src1')"),
+        lambda s, d: O.grep(indented(s, d), "THE ", "d/src1*/**", key="path", redact=["d/src15/**", "**/77.md"], max_bytes=6000),
+        with_views("""SELECT l.path, line_no, CASE WHEN length(rtrim(x)) > 400 THEN left(rtrim(x), 400) || '…' ELSE rtrim(x) END AS line
+            FROM (SELECT *, concat('  ', line) AS x FROM f_lines) l JOIN f_docs d ON l.path = d.path
+            WHERE contains(lower(x), 'the ') AND starts_with(l.path, 'd/src1') AND NOT starts_with(l.path, 'd/src15/') AND NOT ends_with(l.path, '/77.md')
+              AND octet_length(encode(concat('  ', replace(d.body, chr(10), chr(10) || '  ')))) <= 6000"""),
     ),
     "P9_find_definitions": (
-        lambda s, d: O.find_definitions(T.source_texts(s, d), "The"),
-        with_views("""SELECT rel, line_no, trim(line) AS line FROM f_src WHERE language IS NOT NULL
-            AND (line = 'class The:' OR starts_with(line, 'pub fn The('))"""),
+        lambda s, d: O.find_definitions(T.source_texts(s, d), "The", redact=["src3/**"]),
+        with_views("""SELECT repo, rel, line_no, trim(line) AS line FROM f_src WHERE language IS NOT NULL
+            AND (line = 'class The:' OR starts_with(line, 'pub fn The(')) AND repo <> 'src3'"""),
     ),
     "P10_read_window": (
         lambda s, d: O.read_window(T.source_texts(s, d), "src5/en/5.rs", 2, 6).unionByName(O.read_window(T.source_texts(s, d), "src0/en/0.rs")),

@@ -53,8 +53,9 @@ ENTRIES = {
         with_views("SELECT path, concat(trim(body, chr(32)||chr(9)||chr(10)||chr(13)), chr(10), chr(10), 'keep') AS body FROM f_docs"),
     ),
     "F13_canonical_arguments": (
-        lambda s, d: T.tool_log(s, d).select("seq", canonical_arguments(F.concat(F.lit('{"z":"x","a":'), F.get_json_object("args", "$.k"), F.lit("}"))).alias("key")),
-        with_views("""SELECT seq, concat('{"a":"', json_extract_string(args, '$.k'), '","z":"x"}') AS key FROM f_tools"""),
+        lambda s, d: T.tool_log(s, d).select("seq", canonical_arguments(F.concat(
+            F.lit('{"z":{"d":[1,"1"],"b":null},"a":'), F.get_json_object("args", "$.k"), F.lit(',"c":"'), F.get_json_object("args", "$.k"), F.lit('"}'))).alias("key")),
+        with_views("""SELECT seq, concat('{"a":', json_extract_string(args, '$.k'), ',"c":"', json_extract_string(args, '$.k'), '","z":{"b":null,"d":[1,"1"]}}') AS key FROM f_tools"""),
     ),
     "W20_prose_fold": (
         lambda s, d: V.fold_answers(T.turns(s, d)),

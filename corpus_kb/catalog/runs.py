@@ -88,7 +88,7 @@ ENTRIES = {
     ),
     "W12_F13_duplicate_calls": (
         lambda s, d: U.flag_duplicates(T.tool_log(s, d), "conv", "seq"),
-        with_views("""SELECT conv, seq, name, concat('{"k":"', json_extract_string(args, '$.k'), '"}') AS call_key, row_number() OVER (PARTITION BY conv, name, args ORDER BY seq) = 1 AS fresh FROM f_tools"""),
+        with_views("""SELECT conv, seq, name, concat('{"k":', json_extract_string(args, '$.k'), '}') AS call_key, row_number() OVER (PARTITION BY conv, name, args ORDER BY seq) = 1 AS fresh FROM f_tools"""),
     ),
     "L2_newest_runs": (
         lambda s, d: U.newest_runs(T.runs(s, d), 20).select("run_id", "status", "mode"),

@@ -131,10 +131,9 @@ def tool_calls(text: Column, raw_types: tuple[str, ...] = ()) -> Column:
 
 
 def canonical_arguments(arguments: Column) -> Column:
-    """JSON arguments with sorted keys; text that is no JSON object is only trimmed."""
-    parsed = F.from_json(arguments, "map<string,string>")
-    sorted_map = F.map_from_entries(F.array_sort(F.map_entries(parsed)))
-    return F.coalesce(F.to_json(sorted_map), strip(arguments))
+    """JSON arguments with the keys of every object sorted and values of their own type; text that is no JSON object is only trimmed."""
+    parsed = F.try_parse_json(arguments)
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.to_json(parsed)).otherwise(strip(arguments))
 
 
 def call_key(name: Column, arguments: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpus_kb.functions import code
-from corpus_kb.functions.globs import matches_glob
+from corpus_kb.functions.globs import matches_any, matches_glob
 from corpus_kb.functions.text import basename, bind, clip, lines, strip
 
 # fixed values
@@ -23,26 +23,43 @@ def numbered_lines(texts: DataFrame, key: str = "rel") -> DataFrame:
     )
 
 
-def grep(texts: DataFrame, pattern: str, glob: str | None = None, limit: int | None = None, key: str = "rel") -> DataFrame:
-    """Lines that contain a literal, ignoring case; files without it are dropped before their lines are split."""
-    wanted = texts.filter(F.contains(F.lower("text"), F.lit(pattern.lower())))
+def searchable(texts: DataFrame, key: str = "rel", glob: str | None = None, redact: list[str] = (), max_bytes: int | None = None) -> DataFrame:
+    """Text files that a search may show: no skipped folder, no redacted path, within the glob and the size guard."""
+    path = F.col(key)
+    keep = code.is_text_extension(path) & ~code.in_skipped_dir(path)
+    if redact:
+        keep = keep & ~matches_any(path, list(redact))
     if glob:
-        wanted = wanted.filter(matches_glob(F.col(key), glob))
+        keep = keep & matches_glob(path, glob)
+    if max_bytes is not None:
+        keep = keep & (F.octet_length("text") <= max_bytes)
+    return texts.filter(keep)
+
+
+def grep(
+    texts: DataFrame, pattern: str, glob: str | None = None, limit: int | None = None, key: str = "rel", redact: list[str] = (), max_bytes: int | None = None,
+) -> DataFrame:
+    """Lines that contain a literal, ignoring case, as they are but for their end; files without it are dropped before their lines are split."""
+    wanted = searchable(texts, key, glob, redact, max_bytes).filter(F.contains(F.lower("text"), F.lit(pattern.lower())))
     hits = (
         numbered_lines(wanted, key).filter(F.contains(F.lower("line"), F.lit(pattern.lower())))
-        .select(key, "line_no", clip(strip(F.col("line"))).alias("line"))
+        .select(key, "line_no", clip(F.col("line")).alias("line"))
     )
     return hits if limit is None else hits.orderBy(key, "line_no").limit(limit)
 
 
-def find_definitions(texts: DataFrame, name: str, limit: int | None = None, prefix: bool = False) -> DataFrame:
-    """Lines that define a symbol in any of the common languages."""
-    wanted = texts.filter(F.contains("text", F.lit(name)) & code.is_text_extension(F.col("rel")))
+def find_definitions(
+    texts: DataFrame, name: str, limit: int | None = None, prefix: bool = False, glob: str | None = None, redact: list[str] = (), max_bytes: int | None = None,
+) -> DataFrame:
+    """Lines that define a symbol in any of the common languages; where the files carry a repository, so do the hits."""
+    keys = [c for c in ("repo", "rel") if c in texts.columns]
+    wanted = searchable(texts, "rel", glob, redact, max_bytes).filter(F.contains("text", F.lit(name)))
+    lined = wanted.select(*keys, F.posexplode(lines(F.col("text"))).alias("p", "line"))
     hits = (
-        numbered_lines(wanted).filter(code.defines(F.col("line"), name, prefix))
-        .select("rel", "line_no", clip(strip(F.col("line"))).alias("line"))
+        lined.filter(code.defines(F.col("line"), name, prefix))
+        .select(*keys, (F.col("p") + 1).cast("bigint").alias("line_no"), clip(strip(F.col("line"))).alias("line"))
     )
-    return hits if limit is None else hits.orderBy("rel", "line_no").limit(limit)
+    return hits if limit is None else hits.orderBy(*keys, "line_no").limit(limit)
 
 
 def read_window(texts: DataFrame, path: str, start: int = 1, end: int | None = None, size: int = 120) -> DataFrame:

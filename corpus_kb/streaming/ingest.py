@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from corpus_kb.functions.transcripts import canonical_arguments
 from corpus_kb.operators.segment import chunk_pages
 
 WATERMARK = "10 minutes"
@@ -90,8 +91,9 @@ def progress(reports: DataFrame) -> DataFrame:
 
 
 def fresh_calls(calls: DataFrame, at: str = "ts") -> DataFrame:
-    """Calls without repeats of the same name and arguments in a conversation within the watermark."""
-    return calls.withWatermark(at, WATERMARK).dropDuplicatesWithinWatermark(["conv", "name", "args"])
+    """Calls without repeats of the same name and arguments, whatever the order of their keys, in a conversation within the watermark."""
+    keyed = calls.withColumn("call_key", canonical_arguments(F.col("args")))
+    return keyed.withWatermark(at, WATERMARK).dropDuplicatesWithinWatermark(["conv", "name", "call_key"]).drop("call_key")
 
 
 def token_accounts(calls: DataFrame, at: str = "created_at", width: str = "7 days") -> DataFrame:
