@@ -66,10 +66,10 @@ def page_versions(spark, d):
 
 
 def claims(spark, d):
-    c = G.claims(claim_docs(spark, d)).select("page_path", "statement", "status")
+    c = G.claims(claim_docs(spark, d)).select("page_path", "statement", "status", F.concat(F.lit("kb://"), "page_path").alias("evidence"), F.lit("run-0").alias("run_id"))
     old = c.filter(F.length("statement") % 2 == 0).unionByName(c.withColumn("statement", F.concat(F.lit("old "), "statement")).filter(F.length("statement") % 3 == 0)).distinct()
     touched = T.docs(spark, d).filter(F.col("lang") == "en").select(F.col("path").alias("page_path"))
-    new = c.join(touched, "page_path", "left_semi").withColumn("seq", F.lit(1))
+    new = c.join(touched, "page_path", "left_semi").withColumn("run_id", F.lit("run-1")).withColumn("seq", F.lit(1))
     return D.upsert_claims(old, new, touched)
 
 
@@ -207,7 +207,8 @@ ENTRIES = {
     ),
     "U5_upsert_claims": (
         claims,
-        with_views("""SELECT page_path, statement, CASE WHEN lang <> 'en' THEN 'active' WHEN (page_path, statement) IN (SELECT (page_path, statement) FROM claims) THEN 'active' ELSE 'stale' END AS status FROM
+        with_views("""SELECT page_path, statement, CASE WHEN lang <> 'en' THEN 'active' WHEN (page_path, statement) IN (SELECT (page_path, statement) FROM claims) THEN 'active' ELSE 'stale' END AS status,
+            concat('kb://', page_path) AS evidence, CASE WHEN lang = 'en' AND (page_path, statement) IN (SELECT (page_path, statement) FROM claims) THEN 'run-1' ELSE 'run-0' END AS run_id FROM
             (SELECT DISTINCT page_path, statement, lang FROM (SELECT * FROM claims WHERE length(statement) % 2 = 0 OR lang = 'en' UNION ALL SELECT page_path, 'old ' || statement, lang FROM claims WHERE length('old ' || statement) % 3 = 0))""", claims=_CLAIMS),
     ),
     "K7_U6_J2_replace_chunks_by_page": (

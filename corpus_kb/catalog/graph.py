@@ -15,22 +15,23 @@ _ENT = "SELECT concat('ent_', left(sha256(canonical_key), 12)) AS id, kind, name
 
 
 def module_pages(spark, d):
-    return T.docs(spark, d).select("path", F.when(F.col("lang") != "fr", F.col("source")).alias("module"))
+    return T.docs(spark, d).select(F.col("lang").alias("repo"), "path", F.when(F.col("lang") != "fr", F.col("source")).alias("module"))
 
 
 def entity_upsert(spark, d):
-    """Suppliers exist already; nations and a second batch of supplier rows arrive later."""
-    e = T.entities(spark, d).withColumn("props", F.create_map(F.lit("path"), F.col("canonical_key")))
-    old = e.filter(F.col("kind") == "supplier").withColumn("id", F.concat(F.lit("old_"), "name"))
-    new = e.filter(F.col("kind") != "customer").withColumn("seq", F.lit(5).cast("bigint"))
-    again = e.filter(F.col("kind") == "supplier").withColumn("seq", F.lit(9).cast("bigint")).withColumn("status", F.lit("renewed"))
-    done = G.upsert_entities(old, new.unionByName(again))
-    return done.select(F.left("id", F.lit(20)).alias("id"), "kind", "name", "canonical_key", "status")
+    """Customers and suppliers exist already; nations and a second batch of supplier rows arrive later."""
+    e = T.entities(spark, d).withColumns({"props": F.create_map(F.lit("path"), F.col("canonical_key")), "updated_run": F.lit("run-0")})
+    old = e.filter(F.col("kind").isin("supplier", "customer")).withColumn("id", F.concat(F.lit("old_"), "name"))
+    new = e.filter(F.col("kind") != "customer").withColumns({"seq": F.lit(5).cast("bigint"), "updated_run": F.lit("run-5")})
+    again = e.filter(F.col("kind") == "supplier").withColumns({"seq": F.lit(9).cast("bigint"), "status": F.lit("renewed"), "updated_run": F.lit("run-9"), "props": F.create_map(F.lit("new"), F.col("name"))})
+    done = G.upsert_entities(old, new.unionByName(again), merge_props=True)
+    return done.select(F.left("id", F.lit(20)).alias("id"), "kind", "name", "canonical_key", F.to_json("props").alias("props"), "status", "updated_run")
 
 
 def relation_upsert(spark, d):
-    e = T.edges(spark, d)
-    return G.upsert_relations(e, e.filter(F.col("confidence") < 1).withColumn("confidence", F.col("confidence") / 2).withColumn("seq", F.lit(1).cast("bigint")))
+    e = T.edges(spark, d).withColumns({"props": F.create_map(F.lit("from"), F.col("src")), "run_id": F.lit("run-0")})
+    low = e.filter(F.col("confidence") < 1)
+    return G.upsert_relations(e, low.withColumns({"confidence": F.col("confidence") / 2, "run_id": F.lit("run-1"), "props": F.create_map(F.lit("to"), F.col("dst")), "seq": F.lit(1).cast("bigint")})).withColumn("props", F.to_json("props"))
 
 
 def regions(spark, d):
@@ -75,25 +76,28 @@ def nearest(spark, d):
 
 ENTRIES = {
     "G1_graph_seed_entities": (
-        lambda s, d: G.seed_entities(T.files(s, d)).select("kind", "name", "canonical_key", F.col("props")["path"].alias("path")),
-        with_views("""SELECT 'module' AS kind, repo AS name, 'module:' || repo AS canonical_key, min(rel) AS path FROM f_files WHERE language IN ('rust', 'typescript', 'python') GROUP BY repo
-            UNION ALL SELECT 'symbol', string_split(rel, '/')[-1], 'symbol:' || rel, rel FROM f_files WHERE language IS NOT NULL"""),
+        lambda s, d: G.seed_entities(T.files(s, d)).select("repo", "kind", "name", "canonical_key", F.col("props")["path"].alias("path")),
+        with_views("""SELECT repo, 'module' AS kind, repo AS name, concat('module:', repo, '/', repo) AS canonical_key, min(rel) AS path FROM f_files WHERE language IN ('rust', 'typescript', 'python') GROUP BY repo
+            UNION ALL SELECT repo, 'symbol', string_split(rel, '/')[-1], concat('symbol:', repo, '/', rel), rel FROM f_files WHERE language IS NOT NULL"""),
     ),
     "G1_graph_seed_relations": (
         lambda s, d: G.seed_relations(T.files(s, d)),
-        with_views("SELECT 'symbol:' || rel AS src, 'module:' || repo AS dst, 'part_of' AS rel, 1.0::double AS confidence FROM f_files WHERE language IN ('rust', 'typescript', 'python')"),
+        with_views("SELECT concat('symbol:', repo, '/', rel) AS src, concat('module:', repo, '/', repo) AS dst, 'part_of' AS rel, 1.0::double AS confidence FROM f_files WHERE language IN ('rust', 'typescript', 'python')"),
     ),
     "G2_page_describes_module": (
         lambda s, d: G.describes_relations(module_pages(s, d)),
-        with_views("SELECT 'page:' || path AS src, 'module:' || source AS dst, 'describes' AS rel, 1.0::double AS confidence FROM f_docs WHERE lang <> 'fr'"),
+        with_views("SELECT concat('page:', lang, '/', path) AS src, concat('module:', lang, '/', source) AS dst, 'describes' AS rel, 1.0::double AS confidence FROM f_docs WHERE lang <> 'fr'"),
     ),
     "U3_upsert_entities": (
         entity_upsert,
-        with_views("""SELECT left(CASE WHEN kind = 'supplier' THEN 'old_' || name ELSE concat('ent_', left(sha256(canonical_key), 16)) END, 20) AS id, kind, name, canonical_key,
-            CASE WHEN kind = 'supplier' THEN 'renewed' ELSE status END AS status FROM f_entities WHERE kind <> 'customer'"""),
+        with_views("""SELECT left(CASE WHEN kind IN ('supplier', 'customer') THEN 'old_' || name ELSE concat('ent_', left(sha256(canonical_key), 16)) END, 20) AS id, kind, name, canonical_key,
+            CASE WHEN kind = 'supplier' THEN concat('{"new":"', name, '","path":"', canonical_key, '"}') ELSE concat('{"path":"', canonical_key, '"}') END AS props,
+            CASE WHEN kind = 'supplier' THEN 'renewed' ELSE status END AS status, CASE kind WHEN 'supplier' THEN 'run-9' WHEN 'customer' THEN 'run-0' ELSE 'run-5' END AS updated_run FROM f_entities"""),
     ),
     "U4_upsert_relations": (
-        relation_upsert, with_views("SELECT src, dst, rel, CASE WHEN confidence < 1 THEN confidence / 2 ELSE confidence END AS confidence FROM f_edges"),
+        relation_upsert,
+        with_views("""SELECT src, dst, rel, CASE WHEN confidence < 1 THEN confidence / 2 ELSE confidence END AS confidence,
+            CASE WHEN confidence < 1 THEN concat('{"to":"', dst, '"}') ELSE concat('{"from":"', src, '"}') END AS props, CASE WHEN confidence < 1 THEN 'run-1' ELSE 'run-0' END AS run_id FROM f_edges"""),
     ),
     "G3_neighbourhoods": (
         lambda s, d: G.neighbourhoods(T.edges(s, d), regions(s, d).unionByName(T.table(s, d, "nation").select(F.concat(F.lit("nation:"), "n_name").alias("seed")))),
@@ -104,10 +108,10 @@ ENTRIES = {
         with_views("SELECT * FROM f_edges WHERE src = 'nation:NATION_3' OR dst = 'nation:NATION_3' ORDER BY src, dst, rel LIMIT 100"),
     ),
     "G4_L11_export_edges": (
-        lambda s, d: G.export_edges(T.edges(s, d)), with_views("SELECT * FROM f_edges ORDER BY src, dst, rel LIMIT 5000"),
+        lambda s, d: G.export_edges(T.edges(s, d), 5000), with_views("SELECT * FROM f_edges ORDER BY src, dst, rel LIMIT 5000"),
     ),
     "G4_export_nodes": (
-        lambda s, d: G.export_nodes(T.entities(s, d)), with_views("SELECT * FROM f_entities WHERE status = 'active' ORDER BY name, canonical_key LIMIT 1000"),
+        lambda s, d: G.export_nodes(T.entities(s, d), 1000), with_views("SELECT * FROM f_entities WHERE status = 'active' ORDER BY name, canonical_key LIMIT 1000"),
     ),
     "G5_k_hop_neighbourhood": (
         lambda s, d: G.k_hop(T.edges(s, d), regions(s, d), 3, ["part_of"]),

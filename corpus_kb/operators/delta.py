@@ -34,14 +34,15 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], seq: str)
 
 def upsert_claims(existing: DataFrame, incoming: DataFrame, touched: DataFrame) -> DataFrame:
     """Claims keyed by (page_path, statement): new ones added, known ones renewed, those a touched page
-    (``page_path``) no longer makes marked ``stale``."""
-    fresh = latest(incoming, ["page_path", "statement"], "seq").select("page_path", "statement", "status")
+    (``page_path``) no longer makes marked ``stale``. All columns of ``existing`` are carried (``evidence, run_id``)."""
+    columns = existing.columns
+    fresh = latest(incoming, ["page_path", "statement"], "seq").select(*columns)
     kept = existing.join(fresh.select("page_path", "statement"), ["page_path", "statement"], "left_anti")
     pages = touched.select("page_path").distinct().withColumn("touched", F.lit(True))
     retired = kept.join(pages, "page_path", "left").withColumn(
         "status", F.when(F.col("touched"), F.lit("stale")).otherwise(F.col("status"))
     )
-    return retired.select("page_path", "statement", "status").unionByName(fresh)
+    return retired.select(*columns).unionByName(fresh)
 
 
 def replace_by_page(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -12,10 +12,8 @@ from corpus_kb.operators.scan import module_representatives
 from corpus_kb.operators.search import match_terms
 from corpus_kb.session import materialize
 
-# fixed values
+# fixed value
 AUTHORITATIVE = 0.7
-MAX_DEPTH = 3
-NODE_LIMIT, EDGE_LIMIT = 1000, 5000
 
 
 def entity_id(key: Column) -> Column:
@@ -27,15 +25,20 @@ def legacy_entity_id(key: Column) -> Column:
     return F.concat(F.lit("ent_"), F.regexp_replace(key, r"[^A-Za-z0-9]", "_"))
 
 
+def _key(kind: str, *parts: str) -> Column:
+    """Canonical key that names the repository too, so equal paths of two repositories stay apart."""
+    return F.concat(F.lit(f"{kind}:"), F.concat_ws("/", "repo", *parts))
+
+
 def seed_entities(files: DataFrame) -> DataFrame:
-    """Module and symbol vertices of a file table: ``kind, name, canonical_key, props``."""
+    """Module and symbol vertices of a file table: ``repo, kind, name, canonical_key, props``."""
     modules = module_representatives(files).select(
-        F.lit("module").alias("kind"), F.col("module").alias("name"), F.concat(F.lit("module:"), "module").alias("canonical_key"),
+        "repo", F.lit("module").alias("kind"), F.col("module").alias("name"), _key("module", "module").alias("canonical_key"),
         F.create_map(F.lit("path"), F.col("path")).alias("props"),
     )
-    merged = modules.groupBy("kind", "name", "canonical_key").agg(F.min_by("props", F.col("props")["path"]).alias("props"))
+    merged = modules.groupBy("repo", "kind", "name", "canonical_key").agg(F.min_by("props", F.col("props")["path"]).alias("props"))
     symbols = files.filter(F.col("language").isNotNull()).select(
-        F.lit("symbol").alias("kind"), basename(F.col("rel")).alias("name"), F.concat(F.lit("symbol:"), "rel").alias("canonical_key"),
+        "repo", F.lit("symbol").alias("kind"), basename(F.col("rel")).alias("name"), _key("symbol", "rel").alias("canonical_key"),
         F.create_map(F.lit("path"), F.col("rel"), F.lit("language"), F.col("language")).alias("props"),
     )
     return merged.unionByName(symbols)
@@ -46,34 +49,29 @@ def seed_relations(files: DataFrame) -> DataFrame:
     return (
         files.filter(F.col("language").isin("rust", "typescript", "python"))
         .withColumn("top", F.split_part("rel", F.lit("/"), F.lit(1))).filter(~F.col("top").isin("docs", "web"))
-        .select(
-            F.concat(F.lit("symbol:"), "rel").alias("src"), F.concat(F.lit("module:"), "top").alias("dst"),
-            F.lit("part_of").alias("rel"), F.lit(1.0).alias("confidence"),
-        )
+        .select(_key("symbol", "rel").alias("src"), _key("module", "top").alias("dst"), F.lit("part_of").alias("rel"), F.lit(1.0).alias("confidence"))
     )
 
 
 def describes_relations(pages: DataFrame) -> DataFrame:
-    """``describes`` edges from pages to the module they are about (``path, module``)."""
+    """``describes`` edges from pages to the module they are about (``repo, path, module``)."""
     return pages.filter(F.col("module").isNotNull()).select(
-        F.concat(F.lit("page:"), "path").alias("src"), F.concat(F.lit("module:"), "module").alias("dst"),
-        F.lit("describes").alias("rel"), F.lit(1.0).alias("confidence"),
+        _key("page", "path").alias("src"), _key("module", "module").alias("dst"), F.lit("describes").alias("rel"), F.lit(1.0).alias("confidence"),
     ).distinct()
 
 
 def upsert_entities(existing: DataFrame, incoming: DataFrame, merge_props: bool = False) -> DataFrame:
     """Entities after a batch of writes (``seq`` orders them): first id kept, last writer's fields.
 
-    One pre-aggregated pass; ``merge_props`` unions the property maps instead of replacing them, newest
-    value per property.
+    Every column of ``existing`` is carried (``updated_run`` and the like). One pre-aggregated pass; ``merge_props`` unions the
+    property maps instead of replacing them, newest value per property.
     """
-    old = existing.select("id", "kind", "name", "canonical_key", "props", "status", F.lit(-1).cast("bigint").alias("seq"))
-    new = incoming.select(entity_id(F.col("canonical_key")).alias("id"), "kind", "name", "canonical_key", "props", "status", "seq")
+    fields = [c for c in existing.columns if c not in ("id", "canonical_key")]
+    old = existing.select("id", "canonical_key", *fields, F.lit(-1).cast("bigint").alias("seq"))
+    new = incoming.select(entity_id(F.col("canonical_key")).alias("id"), "canonical_key", *fields, F.col("seq").cast("bigint").alias("seq"))
     writes = old.unionByName(new)
-    latest = writes.groupBy("canonical_key").agg(
-        F.min_by("id", "seq").alias("id"), F.max_by(F.struct("kind", "name", "props", "status"), "seq").alias("v")
-    )
-    result = latest.select("id", "v.kind", "v.name", "canonical_key", "v.props", "v.status")
+    latest = writes.groupBy("canonical_key").agg(F.min_by("id", "seq").alias("id"), F.max_by(F.struct(*fields), "seq").alias("v"))
+    result = latest.select("id", "canonical_key", *[F.col("v")[c].alias(c) for c in fields]).select(*existing.columns)
     if not merge_props:
         return result
     merged = (
@@ -85,11 +83,11 @@ def upsert_entities(existing: DataFrame, incoming: DataFrame, merge_props: bool
 
 
 def upsert_relations(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Relations after a batch of writes, last writer per (src, dst, rel)."""
-    writes = existing.select("src", "dst", "rel", "confidence", F.lit(-1).cast("bigint").alias("seq")).unionByName(
-        incoming.select("src", "dst", "rel", "confidence", "seq")
-    )
-    return writes.groupBy("src", "dst", "rel").agg(F.max_by("confidence", "seq").alias("confidence"))
+    """Relations after a batch of writes, last writer per (src, dst, rel) with all its columns (``props, confidence, run_id``)."""
+    writes = existing.withColumn("seq", F.lit(-1).cast("bigint")).unionByName(incoming.select(*existing.columns, F.col("seq").cast("bigint").alias("seq")))
+    fields = [c for c in existing.columns if c not in ("src", "dst", "rel")]
+    latest = writes.groupBy("src", "dst", "rel").agg(F.max_by(F.struct(*fields), "seq").alias("v"))
+    return latest.select("src", "dst", "rel", *[F.col("v")[c].alias(c) for c in fields]).select(*existing.columns)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -123,13 +121,13 @@ def neighbourhoods(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2, relations: list[str] | None = None) -> DataFrame:
-    """Nodes within ``depth`` (at most 3) hops of each seed with their distance: ``seed, node, hop``.
+    """Nodes within ``depth`` hops of each seed with their distance: ``seed, node, hop``.
 
     Every hop expands distinct (seed, node) pairs only and drops those already reached; hops are
     written to the shared folder, so the plan does not grow and a lost executor costs one hop.
     """
-    if not 1 <= depth <= MAX_DEPTH:
-        raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
+    if depth < 1:
+        raise ValueError("depth must be 1 or more")
     usable = edges if relations is None else edges.filter(F.col("rel").isin(*relations))
     steps = _both_ways(usable).select("node", "other").distinct()
     reached = seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("hop", F.lit(0).cast("bigint"))
@@ -178,17 +176,22 @@ def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def export_nodes(entities: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
-    return entities.filter(F.col("status") == "active").orderBy("name", "canonical_key").limit(limit)
+def _first(df: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
 
+def export_nodes(entities: DataFrame, limit: int | None = None) -> DataFrame:
+    """Active entities; with a limit, the first by name."""
+    return _first(entities.filter(F.col("status") == "active"), ["name", "canonical_key"], limit)
 
-def export_edges(edges: DataFrame, limit: int = EDGE_LIMIT) -> DataFrame:
-    return edges.orderBy("src", "dst", "rel").limit(limit)
 
+def export_edges(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    return _first(edges, ["src", "dst", "rel"], limit)
 
-def entities_by_kind(entities: DataFrame, kind: str | None = None, limit: int = 50) -> DataFrame:
+
+def entities_by_kind(entities: DataFrame, kind: str | None = None, limit: int | None = None) -> DataFrame:
     kept = entities if kind is None else entities.filter(F.col("kind") == kind)
-    return kept.filter(F.col("status") == "active").orderBy("name", "canonical_key").limit(limit)
+    return _first(kept.filter(F.col("status") == "active"), ["name", "canonical_key"], limit)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -233,35 +236,39 @@ def label_centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("query"))
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, max_queries: int = 1024) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 1024) -> DataFrame:
     """Exact top ``k`` vectors per query by cosine: ``query_id, vec_id, score``.
 
-    ``queries`` (``query_id, query``) is collected only after a bounded count; larger query tables are
-    answered in blocks of ``max_queries`` by the caller. Each task multiplies its batches with the query
-    matrix and emits at most ``k`` rows per query and batch, never all pairs.
+    Queries of any number come in blocks of about ``block_rows``: one pass over the vectors a block, each holding one query matrix. A task
+    emits at most ``k`` rows per query and batch, by partial selection, never all pairs.
     """
     import numpy as np
     import pandas as pd
 
-    rows = queries.select("query_id", "query").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: split the query table into blocks")
-    ids = [r["query_id"] for r in rows]
-    matrix = np.asarray([r["query"] for r in rows], dtype="float64").reshape(len(rows), -1)
-    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
-    def best(batches):
-        for batch in batches:
-            if batch.empty or not ids:
-                continue
-            block = np.stack(batch["embedding"].to_numpy()).astype("float64")
-            scores = (block / np.linalg.norm(block, axis=1, keepdims=True)) @ matrix.T
-            vec_ids = batch["vec_id"].to_numpy()
-            for j, query_id in enumerate(ids):
-                order = np.lexsort((vec_ids, -np.round(scores[:, j], 9)))[:k]
-                yield pd.DataFrame({"query_id": query_id, "vec_id": vec_ids[order], "score": scores[order, j]})
-
     id_type = dict(queries.dtypes)["query_id"]
-    partial = vectors.select("vec_id", "embedding").mapInPandas(best, f"query_id {id_type}, vec_id bigint, score double")
+    blocks = max(1, -(-queries.count() // block_rows))
+
+    def against(ids, matrix):
+        def best(batches):
+            for batch in batches:
+                if batch.empty or not ids:
+                    continue
+                block = np.stack(batch["embedding"].to_numpy()).astype("float64")
+                scores = (block / np.linalg.norm(block, axis=1, keepdims=True)) @ matrix.T
+                ranks, vec_ids = np.round(scores, 9), batch["vec_id"].to_numpy()
+                at_least = np.partition(ranks, max(0, len(ranks) - k), axis=0)[max(0, len(ranks) - k)]
+                for j, query_id in enumerate(ids):
+                    near = np.flatnonzero(ranks[:, j] >= at_least[j])
+                    near = near[np.lexsort((vec_ids[near], -ranks[near, j]))[:k]]
+                    yield pd.DataFrame({"query_id": query_id, "vec_id": vec_ids[near], "score": scores[near, j]})
+
+        return vectors.select("vec_id", "embedding").mapInPandas(best, f"query_id {id_type}, vec_id bigint, score double")
+
+    partial = None
+    for b in range(blocks):
+        rows = queries.select("query_id", "query").filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        matrix = np.asarray([r["query"] for r in rows] or [[0.0]], dtype="float64")
+        found = against([r["query_id"] for r in rows], matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if rows else matrix)
+        partial = found if partial is None else partial.unionByName(found)
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return partial.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k).select("query_id", "vec_id", "score")

@@ -197,8 +197,9 @@ def test_hops_and_paths_through_a_hub(spark):
     pairs = spark.createDataFrame([("n1", "far"), ("n1", "n2"), ("n1", "nowhere")], "src string, dst string")
     got = {r["dst"]: r["path"] for r in G.shortest_paths(edges, pairs, 3).collect()}
     assert got == {"far": ["n1", "hub", "n0", "far"], "n2": ["n1", "hub", "n2"]}
+    assert G.k_hop(edges, seeds, 4).count() == 52
     with pytest.raises(ValueError):
-        G.k_hop(edges, seeds, 4)
+        G.k_hop(edges, seeds, 0)
 
 
 def test_nearest_vectors(spark):
@@ -213,8 +214,8 @@ def test_nearest_vectors(spark):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     for i, row in enumerate(queries):
         assert got[i] == set(np.argsort(-(unit @ row))[:5])
-    with pytest.raises(ValueError):
-        G.nearest_vectors(v, q, 5, max_queries=2)
+    blocks = {(r["query_id"], r["vec_id"]) for r in G.nearest_vectors(v, q, 5, block_rows=1).collect()}
+    assert blocks == {(i, x) for i, found in got.items() for x in found}
 
 
 def test_running_count_over_blocks(spark):
