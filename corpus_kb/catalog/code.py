@@ -76,11 +76,11 @@ ENTRIES = {
         with_views(f"SELECT repo, rel, kind, name FROM ({_DECL}) x WHERE (kind = 'fn') OR ends_with(rel, '.py')"),
     ),
     "P18_F22_file_outline": (
-        lambda s, d: O.outline(T.source_texts(s, d)).filter(~F.col("kind").isin("method", "const", "let", "var")),
+        lambda s, d: O.outline(T.source_texts(s, d), 200).filter(~F.col("kind").isin("method", "const", "let", "var")),
         with_views(f"SELECT repo, rel, line, kind, name FROM ({_DECL}) x WHERE rn <= 200"),
     ),
     "A19_outline_summary": (
-        lambda s, d: O.outline_summary(T.source_texts(s, d).filter(F.col("language").isin("rust", "python"))),
+        lambda s, d: O.outline_summary(T.source_texts(s, d).filter(F.col("language").isin("rust", "python")), 14, 4200, 8),
         with_views(
             """SELECT repo, pos, rel, line FROM (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY repo ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM
               (SELECT f.repo, f.pos, f.rel, CASE WHEN d.decls IS NULL THEN concat('- `', f.rel, '` (', f.language, ')', chr(10))

@@ -158,7 +158,7 @@ def evidence(spark, d):
         F.when(F.col("lang") != "en", F.concat("repo", F.lit("/"), "lang")).alias("module"),
     )
     readmes = texts.groupBy("repo").agg(F.min("rel").alias("excerpt"))
-    return E.evidence(plan, texts, readmes)
+    return E.evidence(plan, texts, readmes, E.BUDGET)
 
 
 def claims_round_trip(spark, d):

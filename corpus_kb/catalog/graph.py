@@ -58,7 +58,7 @@ def aliases(spark, d):
     )
     named = S.with_aliases(e, alias)
     terms = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.lit(0).alias("pos"), F.lower("n_name").alias("term"), F.lit(1).alias("n_terms"))
-    return S.entity_hits(terms, named, 1000000).select("query_id", "id").distinct()
+    return S.entity_hits(terms, named).select("query_id", "id").distinct()
 
 
 def mentions(spark, d):

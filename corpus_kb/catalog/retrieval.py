@@ -13,6 +13,7 @@ from corpus_kb.session import materialize, shared_dir
 from corpus_kb.sources import tables as T
 
 LIMIT = 10
+MAX_TERMS = 16
 _CLASS = "".join("\\" + c if ord(c) < 128 else c for c in SEPARATORS).replace("'", "''")
 
 _TERMS = f"""SELECT query_id, pos - 1 AS pos, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM
@@ -87,7 +88,7 @@ def entities(spark, d):
 
 
 def _matches(spark, d):
-    terms = S.query_terms(T.questions(spark, d))
+    terms = S.query_terms(T.questions(spark, d), max_terms=MAX_TERMS)
     chunks = T.chunks(spark, d)
     found = S.match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"])
     return terms, chunks, materialize(found, "matches")
@@ -104,7 +105,7 @@ def substring(spark, d):
 
 
 def hits(spark, d):
-    return S.search(T.questions(spark, d), T.chunks(spark, d), entities(spark, d), LIMIT)
+    return S.search(T.questions(spark, d), T.chunks(spark, d), entities(spark, d), LIMIT, max_terms=MAX_TERMS, per_term=LIMIT)
 
 
 def fused(spark, d):
@@ -112,13 +113,13 @@ def fused(spark, d):
 
 
 def like_mode(spark, d):
-    found = S.search(T.questions(spark, d), T.chunks(spark, d), limit=LIMIT, mode="like")
+    found = S.search(T.questions(spark, d), T.chunks(spark, d), limit=LIMIT, mode="like", max_terms=MAX_TERMS, per_term=LIMIT)
     return found.select("query_id", "pos", "id", F.round("score", 6).alias("score"))
 
 
 def chat(spark, d):
     asked = C.latest_questions(T.turns(spark, d))
-    found = S.search(asked, T.chunks(spark, d), entities(spark, d), LIMIT)
+    found = S.search(asked, T.chunks(spark, d), entities(spark, d), LIMIT, max_terms=MAX_TERMS, per_term=LIMIT)
     return C.answers(asked, found)
 
 
@@ -135,7 +136,7 @@ def stored_index(spark, d):
     chunks = T.chunks(spark, d)
     path = shared_dir(spark, "index")
     I.write_index(I.gram_sets(chunks, "chunk_id", S.CHUNK_TEXT), path, buckets=8)
-    found = S.search(T.questions(spark, d), chunks, entities(spark, d), LIMIT, postings=I.read_index(spark, path))
+    found = S.search(T.questions(spark, d), chunks, entities(spark, d), LIMIT, postings=I.read_index(spark, path), max_terms=MAX_TERMS, per_term=LIMIT)
     return found.select("query_id", "pos", "kind", "id", F.round("score", 6).alias("score"))
 
 
@@ -144,10 +145,10 @@ _GRAMS = """SELECT gram, chunk_id, count(*) AS tf FROM (SELECT chunk_id, substr(
 
 ENTRIES = {
     "F7_query_terms": (
-        lambda s, d: S.query_terms(T.questions(s, d)), _sql("SELECT * FROM terms", _BENCH, *_UP_TO_TERMS),
+        lambda s, d: S.query_terms(T.questions(s, d), max_terms=MAX_TERMS), _sql("SELECT * FROM terms", _BENCH, *_UP_TO_TERMS),
     ),
     "F8_match_expression": (
-        lambda s, d: T.questions(s, d).select("query_id", match_expression(query_terms(F.col("query"))).alias("expression")),
+        lambda s, d: T.questions(s, d).select("query_id", match_expression(query_terms(F.col("query"), max_terms=MAX_TERMS)).alias("expression")),
         _sql("""SELECT query_id, coalesce(string_agg('"' || term || '"', ' OR ' ORDER BY pos) FILTER (length(term) >= 3), '') AS expression FROM terms GROUP BY query_id""", _BENCH, *_UP_TO_TERMS),
     ),
     "R1_trigram_index": (
@@ -170,7 +171,7 @@ ENTRIES = {
         substring, with_views("SELECT query_id, chunk_id, round(score, 6) AS score FROM lk", **{n: _BENCH[n] for n in _UP_TO_MATCHES}, lk=_like("terms")),
     ),
     "J11_entity_match": (
-        lambda s, d: S.entity_hits(S.query_terms(T.questions(s, d)), entities(s, d), LIMIT).select("query_id", "id", "kind"),
+        lambda s, d: S.entity_hits(S.query_terms(T.questions(s, d), max_terms=MAX_TERMS), entities(s, d), LIMIT).select("query_id", "id", "kind"),
         _sql("SELECT query_id, id, kind FROM entity_hits", _BENCH, "questions", "terms", "ent", "entity_hits"),
     ),
     "R5_R6_L7_U1_J8_fused_search": (

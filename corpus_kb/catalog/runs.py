@@ -113,7 +113,7 @@ ENTRIES = {
         "SELECT user_id, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR AS stale FROM events GROUP BY user_id",
     ),
     "J16_highlights": (
-        lambda s, d: U.highlights(typed_pages(s, d), typed_pages(s, d).filter(F.col("lang") != "en")).select("page_type", "path", "title"),
+        lambda s, d: U.highlights(typed_pages(s, d), typed_pages(s, d).filter(F.col("lang") != "en"), 4).select("page_type", "path", "title"),
         with_views("""SELECT page_type, path, title FROM (SELECT page_type, min(path) AS path, arg_min(lang, path) AS title, list_position(['Architecture', 'Data Model', 'API Reference', 'Business', 'Workflow'], page_type) AS prio
             FROM typed WHERE page_type <> 'Reference' AND lang <> 'en' GROUP BY page_type ORDER BY prio LIMIT 4)""", typed=_TYPED),
     ),

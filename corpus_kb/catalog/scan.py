@@ -99,7 +99,7 @@ ENTRIES = {
         with_views("SELECT rel FROM f_files WHERE language IS NOT NULL AND starts_with(rel, 'src2/en/')"),
     ),
     "P14_entry_files": (
-        lambda s, d: S.entry_files(T.files(s, d).withColumn("rel", F.concat(dirname(F.col("rel")), F.when(F.col("size") % 7 == 0, "/main.rs").otherwise("/x.rs")))).select("rel"),
+        lambda s, d: S.entry_files(T.files(s, d).withColumn("rel", F.concat(dirname(F.col("rel")), F.when(F.col("size") % 7 == 0, "/main.rs").otherwise("/x.rs"))), 20).select("rel"),
         with_views("SELECT rel FROM (SELECT concat(repo, '/', split_part(rel, '/', 2), '/main.rs') AS rel FROM f_files WHERE size % 7 = 0 AND language IS NOT NULL) ORDER BY rel LIMIT 20"),
     ),
     "P15_file_hints": (
@@ -122,7 +122,7 @@ ENTRIES = {
         with_views("SELECT split_part(rel, '/', 1) AS dir, count(*) AS files FROM f_files WHERE language IS NOT NULL GROUP BY 1"),
     ),
     "A5_module_detection": (
-        lambda s, d: S.detect_modules(T.files(s, d).withColumn("rel", F.when(F.col("repo").isin("src1", "src2"), F.concat(F.lit("crates/"), "rel")).when(F.col("repo") == "src3", F.concat(F.lit("src/"), "rel")).otherwise(F.col("rel")))),
+        lambda s, d: S.detect_modules(T.files(s, d).withColumn("rel", F.when(F.col("repo").isin("src1", "src2"), F.concat(F.lit("crates/"), "rel")).when(F.col("repo") == "src3", F.concat(F.lit("src/"), "rel")).otherwise(F.col("rel"))), 12),
         with_views("""SELECT repo, CASE WHEN repo IN ('src1', 'src2') THEN 'crates/' || repo WHEN repo = 'src3' THEN 'src/src3' ELSE repo END AS key,
             CASE WHEN repo IN ('src1', 'src2') THEN repo || ' [' || array_to_string(list_sort(list(DISTINCT language) FILTER (language IS NOT NULL))[1:3], '/') || ']' ELSE repo END AS label,
             CASE WHEN repo IN ('src1', 'src2') THEN 'crates/' || repo || '/' WHEN repo = 'src3' THEN 'src/src3/' ELSE repo || '/' END AS hint,
@@ -133,7 +133,7 @@ ENTRIES = {
         with_views("SELECT repo, repo AS module, min(rel) AS path FROM f_files WHERE language IN ('rust', 'typescript', 'python') GROUP BY repo"),
     ),
     "A7_todo_hotspots": (
-        lambda s, d: S.todo_hotspots(T.source_texts(s, d)),
+        lambda s, d: S.todo_hotspots(T.source_texts(s, d), 15),
         with_views("""SELECT rel, count(*) AS hits FROM f_src WHERE regexp_matches(line, 'TODO|FIXME|XXX') GROUP BY rel ORDER BY hits DESC, rel LIMIT 15"""),
     ),
     "A8_corpus_facts": (
@@ -152,7 +152,7 @@ ENTRIES = {
             FROM (SELECT owner, list_sort(list(DISTINCT dep)) AS l FROM f_deps GROUP BY owner)"""),
     ),
     "J9_files_per_module_hint": (
-        lambda s, d: S.files_per_hint(S.detect_modules(T.files(s, d)).select("repo", "hint"), T.files(s, d)),
+        lambda s, d: S.files_per_hint(S.detect_modules(T.files(s, d), 12).select("repo", "hint"), T.files(s, d)),
         with_views("SELECT repo, repo || '/' AS hint, count(*) AS source_files FROM f_files WHERE language IS NOT NULL GROUP BY repo"),
     ),
     "L1_files_by_path": (

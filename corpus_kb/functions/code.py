@@ -59,7 +59,6 @@ DIRECTORY_ROLES = (
 DEFAULT_ROLE = "见目录内入口文件"
 
 # fixed values: outline limits
-MAX_OUTLINE_ITEMS = 200
 MAX_ITEM_INDENT = 12
 MAX_CALLABLE_INDENT = 6
 
@@ -195,7 +194,7 @@ def _py_item(line: Column, indent: Column) -> Column:
     return F.when(~line.startswith("#"), _declaration(strip_modifiers(line, PY_MODIFIERS), PY_KINDS))
 
 
-def outline(text: Column, lang: Column) -> Column:
+def outline(text: Column, lang: Column, max_items: int | None = None) -> Column:
     """Declarations of a source text: ``array<struct<line, kind, name>>``, at most 200."""
 
     def item(raw: Column, k: Column) -> Column:
@@ -214,10 +213,8 @@ def outline(text: Column, lang: Column) -> Column:
 
     # only lines that can start a declaration reach the pattern chain
     items = F.transform(lines(text), item)
-    return F.slice(
-        F.filter(items, lambda d: d["kind"].isNotNull() & (d["name"] != "") & (F.octet_length(d["name"]) < 80)),
-        1, MAX_OUTLINE_ITEMS,
-    )
+    named = F.filter(items, lambda d: d["kind"].isNotNull() & (d["name"] != "") & (F.octet_length(d["name"]) < 80))
+    return named if max_items is None else F.slice(named, 1, max_items)
 
 
 def symbols(text: Column, lang: Column) -> Column:

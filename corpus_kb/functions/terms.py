@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpus_kb.functions.text import bind
 
 # fixed values
-MAX_TERMS = 16
 SEPARATORS = ",.;:!?()[]{}<>/\\|#+=~`@$^&%_\"'*　！，、。：；？（）【】《》—‘’“”"
 DELETED = "%\"*'\\"
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]"
@@ -43,8 +42,8 @@ def _windows(token: Column) -> Column:
     return F.concat(*per_size)
 
 
-def query_terms(query: Column, compat: bool = False) -> Column:
-    """Search terms of a question: lower-cased, deduplicated, at most 16.
+def query_terms(query: Column, compat: bool = False, max_terms: int | None = None) -> Column:
+    """Search terms of a question: lower-cased, deduplicated, with ``max_terms`` the first so many.
 
     Long runs of CJK characters become 4-, 3- and 2-character windows. ``_`` separates words;
     ``compat=True`` deletes it first instead.
@@ -62,7 +61,7 @@ def query_terms(query: Column, compat: bool = False) -> Column:
     fallback = F.slice(F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != ""), -1, 1)
     last = F.when(F.size(F.filter(F.split(query, r"\s+"), lambda t: t != "")) > 0, fallback)
     return bind(
-        F.slice(F.array_distinct(expanded), 1, MAX_TERMS),
+        F.array_distinct(expanded) if max_terms is None else F.slice(F.array_distinct(expanded), 1, max_terms),
         lambda terms: F.when(F.size(terms) > 0, terms).otherwise(F.coalesce(last, F.array().cast("array<string>"))),
     )
 

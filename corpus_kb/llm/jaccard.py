@@ -278,37 +278,64 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def crossing(members: DataFrame, direct: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components in one group that the bit maps cannot tell apart."""
+    """Pairs of different components in one group that neither have been compared yet nor can be told apart by the bit maps."""
     of = labels.select(F.col("id").alias("a"), F.col("component").alias("low"))
     to = labels.select(F.col("id").alias("b"), F.col("component").alias("high"))
     apart = direct.join(of, "a", "left").join(to, "b", "left").where(F.coalesce("low", "a") != F.coalesce("high", "b")).select(F.col("a").alias("center"), F.col("b").alias("id"))
     mixed = members.join(apart, ["id", "center"], "left_semi").select("entry").distinct()
-    part = materialize(members.join(mixed, "entry", "left_semi"), "mixed")
-    everyone = part.select("entry", "id").unionByName(part.select("entry", F.col("center").alias("id"))).distinct()
-    named = everyone.join(labels, "id", "left").select("entry", "id", F.coalesce("component", "id").alias("component"))
-    sizes = everyone.groupBy("entry").agg(F.count("*").alias("size"))
+    # a group of two has been compared; equal groups of several entries are looked at once
+    part = members.join(mixed, "entry", "left_semi").groupBy("entry", "id").agg(F.min("center").alias("center"))
+    roots = part.select("entry", F.col("center").alias("id"), F.lit(None).cast("long").alias("center"))
+    everyone = materialize(part.unionByName(roots).groupBy("entry", "id").agg(F.min("center").alias("center")), "mixed")
+    sign = [F.bit_xor(F.xxhash64("id", "center", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    groups_of = everyone.groupBy("entry").agg(F.count("*").alias("size"), *sign).where("size > 2")
+    chosen = groups_of.groupBy("size", "x0", "x1").agg(F.min("entry").alias("entry")).select("entry", "size")
     narrow = sets.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n", "b0", "b1", "b2", "b3")).alias("s"))
-    rows = named.join(sizes, "entry").join(narrow, "id").select("entry", "size", "id", "component", "s.*")
+    named = everyone.join(chosen, "entry").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # large groups are cut into blocks; every two blocks meet in a task
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda d: F.least(F.col("mine"), d) * F.col("blocks") + F.greatest(F.col("mine"), d)))
-    placed = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("met", met)
+    rows = named.join(narrow, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", mine).withColumn("met", met)
+    placed = rows.select("entry", "met", "id", "center", "component", "mine", "s.*").repartition("entry", "met").sortWithinPartitions("entry", "met")
+    return placed.mapInArrow(_compare_groups, "a long, b long").distinct()
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, label, n, mine = (table[c].to_numpy() for c in ("id", "component", "n", "mine"))
-        bits = np.stack([table[f"b{i}"].to_numpy() for i in range(4)], 1).view(np.uint64)
-        two, a, b = mine.min() != mine.max(), [], []
+
+def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within each run of equal (entry, met); a pair that several groups of the task hold is told once."""
+    names = ("entry", "met", "id", "center", "component", "mine", "n", "b0", "b1", "b2", "b3")
+    held, told = None, set()
+
+    def pairs(x: np.ndarray) -> None:
+        ids, center, label, mine, n, bits = x[:, 2], x[:, 3], x[:, 4], x[:, 5], x[:, 6], x[:, 7:].view(np.uint64)
+        two = mine.min() != mine.max()
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
-            j = j[(label[j] != label[i]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & (~np.bool_(two) | (mine[j] != mine[i]))]
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) * (DEN + NUM) <= (n[i] + n[j]) * (DEN - NUM)]
-            a.append(np.minimum(ids[i], ids[j]))
-            b.append(np.maximum(ids[i], ids[j]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate(a) if a else none), "b": pa.array(np.concatenate(b) if b else none)})
-
-    return placed.groupBy("entry", "met").applyInArrow(run, "a long, b long").distinct()
+            j = j[(label[j] != label[i]) & (center[j] != ids[i]) & (ids[j] != center[i])]
+            j = j[DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])]
+            j = j[mine[j] != mine[i]] if two else j
+            if len(j):
+                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) * (DEN + NUM) <= (n[i] + n[j]) * (DEN - NUM)]
+                told.update((min(int(ids[i]), int(k)), max(int(ids[i]), int(k))) for k in ids[j])
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([p[c] for p in told], pa.int64()) for c in (0, 1)], names=["a", "b"])
+        told.clear()
+        return out
+
+    for batch in batches:
+        table = np.stack([batch[c].cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy() for c in names], 1)
+        held = table if held is None else np.concatenate([held, table])
+        cuts = np.flatnonzero((held[1:, 0] != held[:-1, 0]) | (held[1:, 1] != held[:-1, 1])) + 1
+        first = 0
+        for cut in cuts.tolist():
+            pairs(held[first:cut])
+            first = cut
+        held = held[first:]
+        if len(told) > 500_000:
+            yield flush()
+    if held is not None and len(held):
+        pairs(held)
+    yield flush()
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -10,11 +10,6 @@ from corpus_kb.functions import code
 from corpus_kb.functions.globs import matches_any, matches_glob
 from corpus_kb.functions.text import basename, bind, clip, lines, strip
 
-# fixed values
-ITEMS_PER_FILE = 8
-MAX_FILES = 14
-MAX_CHARS = 4200
-
 
 def numbered_lines(texts: DataFrame, key: str = "rel") -> DataFrame:
     """One row per line; the explode stays in the task that read the file."""
@@ -75,10 +70,10 @@ def read_window(texts: DataFrame, path: str, start: int = 1, end: int | None = N
     )
 
 
-def outline(texts: DataFrame) -> DataFrame:
+def outline(texts: DataFrame, max_items: int | None = None) -> DataFrame:
     """One row per declaration: ``repo, rel, line, kind, name``."""
     return texts.filter(F.col("language").isNotNull()).select(
-        "repo", "rel", F.inline(code.outline(F.col("text"), F.col("language")))
+        "repo", "rel", F.inline(code.outline(F.col("text"), F.col("language"), max_items))
     )
 
 
@@ -89,10 +84,10 @@ def symbol_table(texts: DataFrame) -> DataFrame:
     )
 
 
-def outline_line(rel: Column, language: Column, size: Column, items: Column) -> Column:
+def outline_line(rel: Column, language: Column, size: Column, items: Column, max_items: int | None = None) -> Column:
     head = F.concat(F.lit("- `"), rel, F.lit("` ("), language)
     decls = F.transform(
-        F.slice(items, 1, ITEMS_PER_FILE),
+        items if max_items is None else F.slice(items, 1, max_items),
         lambda d: F.concat(F.lit("`"), d["line"].cast("string"), F.lit("` "), d["kind"], F.lit(" "), d["name"]),
     )
     return F.when(F.size(items) == 0, F.concat(head, F.lit(")\n"))).otherwise(
@@ -100,7 +95,7 @@ def outline_line(rel: Column, language: Column, size: Column, items: Column) ->
     )
 
 
-def outline_summary(texts: DataFrame, max_files: int = MAX_FILES, max_chars: int = MAX_CHARS) -> DataFrame:
+def outline_summary(texts: DataFrame, max_files: int, max_chars: int, max_items: int | None = None) -> DataFrame:
     """Outline lines of each repository's largest files within a character budget.
 
     Each file becomes one short line in its own task; only those lines are ranked, and at most
@@ -108,7 +103,7 @@ def outline_summary(texts: DataFrame, max_files: int = MAX_FILES, max_chars: int
     """
     short = texts.filter(F.col("language").isNotNull()).select(
         "repo", "rel", "size",
-        outline_line(F.col("rel"), F.col("language"), F.col("size"), code.outline(F.col("text"), F.col("language"))).alias("line"),
+        outline_line(F.col("rel"), F.col("language"), F.col("size"), code.outline(F.col("text"), F.col("language")), max_items).alias("line"),
     )
     ranked = short.withColumn("pos", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("size"), "rel"))).filter(
         F.col("pos") <= max_files

@@ -9,7 +9,6 @@ from corpus_kb.functions.transcripts import canonical_arguments
 
 # fixed values
 HIGHLIGHT_TYPES = ["Architecture", "Data Model", "API Reference", "Business", "Workflow"]
-MAX_HIGHLIGHTS = 4
 STALE_SECONDS = 90
 
 
@@ -77,7 +76,7 @@ def flag_duplicates(calls: DataFrame, scope: str, seq: str) -> DataFrame:
     return keyed.join(firsts, [scope, seq], "left").select(scope, seq, "name", "call_key", F.coalesce("fresh", F.lit(False)).alias("fresh"))
 
 
-def newest_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
+def newest_runs(runs: DataFrame, limit: int) -> DataFrame:
     return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
 
 
@@ -120,7 +119,7 @@ def progress(reports: DataFrame, *by: str) -> DataFrame:
     return reports.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def highlights(pages: DataFrame, files: DataFrame, limit: int = MAX_HIGHLIGHTS) -> DataFrame:
+def highlights(pages: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
     """First existing page of each wanted type in type order: ``prio, page_type, path, title``.
 
     At most one row per wanted type leaves the aggregation.
@@ -130,7 +129,8 @@ def highlights(pages: DataFrame, files: DataFrame, limit: int = MAX_HIGHLIGHTS)
         pages.filter(F.col("page_type").isin(*HIGHLIGHT_TYPES)).join(files.select("path").distinct(), "path", "left_semi")
         .groupBy(prio.cast("bigint").alias("prio"), "page_type").agg(F.min(F.struct("path", "title")).alias("p"))
     )
-    return first.orderBy("prio").limit(limit).select("prio", "page_type", F.col("p.path").alias("path"), F.col("p.title").alias("title"))
+    kept = first if limit is None else first.orderBy("prio").limit(limit)
+    return kept.select("prio", "page_type", F.col("p.path").alias("path"), F.col("p.title").alias("title"))
 
 
 def project_card(pages: DataFrame, chunks: DataFrame, entities: DataFrame, runs: DataFrame) -> DataFrame:

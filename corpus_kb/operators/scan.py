@@ -19,7 +19,6 @@ NO_MODULE_DIRS = (
 ).split()
 PACKAGE_FILES = r"(?:Cargo\.toml|package\.json|pyproject\.toml|go\.mod|pom\.xml|build\.gradle|CMakeLists\.txt)\z"
 TODO_MARKS = ("TODO", "FIXME", "XXX")
-MAX_MODULES = 12
 
 
 def glob_files(files: DataFrame, glob: str | None = None, redact: list[str] = (), limit: int | None = None) -> DataFrame:
@@ -39,8 +38,9 @@ def in_scope(files: DataFrame, module: str | None) -> DataFrame:
     return sources.filter(F.col("rel").startswith(module.rstrip("/") + "/"))
 
 
-def entry_files(files: DataFrame, limit: int = 20) -> DataFrame:
-    return files.filter(F.col("language").isNotNull() & basename(F.col("rel")).isin(*ENTRY_NAMES)).orderBy("rel").limit(limit)
+def entry_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    found = files.filter(F.col("language").isNotNull() & basename(F.col("rel")).isin(*ENTRY_NAMES))
+    return found if limit is None else found.orderBy("rel").limit(limit)
 
 
 def file_hints(files: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def _module_candidates() -> Column:
     return F.array_compact(F.array(package, src_file, src_dir, top, root))
 
 
-def detect_modules(files: DataFrame, limit: int = MAX_MODULES) -> DataFrame:
+def detect_modules(files: DataFrame, limit: int | None = None) -> DataFrame:
     """Modules per repository from the first layout that yields any: package roots, ``src/*``, top folders, root files.
 
     Each file offers candidates of several tiers; counts are pre-aggregated per (repo, tier, key) and
@@ -107,12 +107,12 @@ def detect_modules(files: DataFrame, limit: int = MAX_MODULES) -> DataFrame:
     )
     best = counted.groupBy("repo").agg(F.min("tier").alias("tier"))
     kept = counted.join(best, ["repo", "tier"])
-    ranked = kept.withColumn("pos", F.row_number().over(W.partitionBy("repo").orderBy("key")))
+    ranked = kept if limit is None else kept.withColumn("pos", F.row_number().over(W.partitionBy("repo").orderBy("key"))).filter(F.col("pos") <= limit)
     label = F.when(
         (F.col("tier") < 50) & (F.size("languages") > 0),
         F.concat("name", F.lit(" ["), F.array_join(F.slice("languages", 1, 3), "/"), F.lit("]")),
     ).otherwise(F.col("name"))
-    return ranked.filter(F.col("pos") <= limit).select("repo", "key", label.alias("label"), "hint", "files")
+    return ranked.select("repo", "key", label.alias("label"), "hint", "files")
 
 
 def module_representatives(files: DataFrame) -> DataFrame:
@@ -125,10 +125,11 @@ def module_representatives(files: DataFrame) -> DataFrame:
     )
 
 
-def todo_hotspots(texts: DataFrame, limit: int = 15, marks: tuple[str, ...] = TODO_MARKS) -> DataFrame:
+def todo_hotspots(texts: DataFrame, limit: int | None = None, marks: tuple[str, ...] = TODO_MARKS) -> DataFrame:
     """Files with the most marked lines; counted inside each file's row, so only counts reach the sort."""
     counted = texts.select("rel", F.size(F.filter(lines(F.col("text")), lambda l: l.rlike("|".join(marks)))).cast("bigint").alias("hits"))
-    return counted.filter(F.col("hits") > 0).orderBy(F.desc("hits"), "rel").limit(limit)
+    found = counted.filter(F.col("hits") > 0)
+    return found if limit is None else found.orderBy(F.desc("hits"), "rel").limit(limit)
 
 
 def path_tree(paths: DataFrame, column: str = "path") -> DataFrame:
@@ -140,13 +141,13 @@ def path_tree(paths: DataFrame, column: str = "path") -> DataFrame:
     )
 
 
-def list_tree(paths: DataFrame, below: str = "", depth: int = 2, limit: int = 200, column: str = "path") -> DataFrame:
+def list_tree(paths: DataFrame, below: str = "", depth: int = 2, limit: int | None = None, column: str = "path") -> DataFrame:
     """Folder listing below a path, folders first, down to ``depth`` levels."""
     base = below.strip("/")
     scoped = paths.filter(F.col(column).startswith(base + "/")) if base else paths
     start = len(base.split("/")) if base else 0
     nodes = path_tree(scoped, column).filter((F.col("depth") > start) & (F.col("depth") <= start + depth))
-    return nodes.orderBy(F.desc("is_dir"), "prefix").limit(limit)
+    return nodes if limit is None else nodes.orderBy(F.desc("is_dir"), "prefix").limit(limit)
 
 
 def capped_lists(pairs: DataFrame, owner: str, item: str, limit: int) -> DataFrame:

@@ -24,16 +24,13 @@ ENTITY_TEXT = ["name", "canonical_key"]
 MODES = ("auto", "fts5", "like")
 # terms are at most a few hundred bytes each, so a broadcast dictionary stays in the tens of megabytes
 MAX_BROADCAST_TERMS = 100_000
+# scores are rounded to nine digits; bounds keep well clear of that
+MARGIN = 1e-6
 
 
-def broadcast_if_within(df: DataFrame, measured: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint when ``measured``, which bounds its row count, has at most ``max_rows`` rows."""
-    return F.broadcast(df) if measured.limit(max_rows + 1).count() <= max_rows else df
-
-
-def query_terms(queries: DataFrame, compat: bool = False) -> DataFrame:
+def query_terms(queries: DataFrame, compat: bool = False, max_terms: int | None = None) -> DataFrame:
     """``query_id, pos, term, n_terms`` for a table ``query_id, query``."""
-    split = queries.select("query_id", Q.query_terms(F.col("query"), compat).alias("terms"))
+    split = queries.select("query_id", Q.query_terms(F.col("query"), compat, max_terms).alias("terms"))
     return split.select("query_id", F.size("terms").cast("bigint").alias("n_terms"), F.posexplode("terms").alias("pos", "term")).select(
         "query_id", F.col("pos").cast("bigint").alias("pos"), "term", "n_terms"
     )
@@ -116,38 +113,56 @@ def match_terms(
 def bm25_hits(terms: DataFrame, matches: DataFrame, items: DataFrame, id_col: str, columns: list[str], limit: int) -> DataFrame:
     """Best ``limit`` items per query by BM25 over terms of three or more characters: ``query_id, id, strength, score``.
 
-    Each task keeps only ``limit`` rows per query before the ranking shuffle.
+    Exact without scoring every (query, item) pair. The rarest terms of a query alone give a score that its ``limit``-th best item
+    reaches for certain. Frequent terms whose greatest possible weights together stay below that score cannot bring a
+    new item into the result: items come from the other terms only, those that cannot reach the score even with every frequent
+    term are dropped, and the frequent terms are looked up for what is left.
     """
     stats = items.agg(F.count("*").alias("n"), F.avg(doc_length(columns)).alias("avg_len"))
     n_docs, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
-    long_matches = matches.filter(F.length("term") >= GRAM)
+    long_matches = matches.filter(F.length("term") >= GRAM).select("term", id_col, "tf", "doc_len")
     df = long_matches.groupBy("term").agg(F.count("*").alias("df"))
-    weighted_terms = df.join(terms.select("term", "query_id"), "term").withColumn("idf", Q.bm25_idf(n_docs, F.col("df")))
-    # matches stay where they were produced; a chunk's terms are then summed before any shuffle
-    weighted_terms = broadcast_if_within(weighted_terms, terms, MAX_BROADCAST_TERMS)
+    weighted = df.join(terms.select("term", "query_id"), "term").withColumn("idf", Q.bm25_idf(n_docs, F.col("df"))).withColumn("most", F.col("idf") * (Q.K1 + 1))
+    rare_first = W.partitionBy("query_id").orderBy("df", "term")
+    weighted = materialize(weighted.withColumn("before", F.coalesce(F.sum("df").over(rare_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "terms")
     weight = Q.bm25_weight(F.col("idf"), F.col("tf"), F.col("doc_len"), avg_len)
-    scored = (
-        long_matches.select("term", id_col, "tf", "doc_len").join(weighted_terms, "term").groupBy("query_id", id_col)
-        .agg(F.round(F.sum(weight), Q.SCORE_DIGITS).alias("strength"))
-    )
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        return long_matches.join(chosen, "term").groupBy("query_id", id_col).agg(F.sum(weight).alias("part"))
+
+    by_part = W.partitionBy("query_id").orderBy(F.desc("part"), id_col)
+    lead = scored(weighted.filter(F.col("before") < limit).select("query_id", "term", "idf"))
+    reached = lead.withColumn("pos", F.row_number().over(by_part)).filter(F.col("pos") == limit).select("query_id", (F.col("part") - MARGIN).alias("floor"))
+    weak_first = W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    split = materialize(weighted.join(reached, "query_id", "left").withColumn("sum", F.sum("most").over(weak_first)).withColumn(
+        "frequent", F.coalesce(F.col("sum") < F.col("floor"), F.lit(False))), "terms")
+    bounds = split.groupBy("query_id").agg(F.max("floor").alias("floor"), F.sum(F.when(F.col("frequent"), F.col("most")).otherwise(0.0)).alias("rest"))
+    found = scored(split.filter(~F.col("frequent")).select("query_id", "term", "idf")).join(bounds, "query_id")
+    candidates = materialize(found.filter(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor"))).select("query_id", id_col, "part"), "candidates")
+    wanted = candidates.select("query_id", id_col).join(split.filter("frequent").select("query_id", "term", "idf"), "query_id")
+    added = wanted.join(long_matches, ["term", id_col]).groupBy("query_id", id_col).agg(F.sum(weight).alias("more"))
+    strength = F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), Q.SCORE_DIGITS)
     best = W.partitionBy("query_id").orderBy(F.desc("strength"), id_col)
     return (
-        scored.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= limit)
+        candidates.join(added, ["query_id", id_col], "left").withColumn("strength", strength)
+        .withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= limit)
         .select("query_id", id_col, "strength", Q.squash(F.col("strength")).alias("score"))
     )
 
 
-def first_matches(matches: DataFrame, id_col: str, limit: int) -> DataFrame:
-    """The first ``limit`` items of each term in id order: ``term, id``."""
+def first_matches(matches: DataFrame, id_col: str, limit: int | None = None) -> DataFrame:
+    """Items of each term, with a limit its first in id order: ``term, id``."""
+    if limit is None:
+        return matches.select("term", id_col)
     order = W.partitionBy("term").orderBy(id_col)
     return (
         matches.select("term", id_col).withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit).drop("pos")
     )
 
 
-def substring_hits(terms: DataFrame, matches: DataFrame, id_col: str, limit: int) -> DataFrame:
+def substring_hits(terms: DataFrame, matches: DataFrame, id_col: str, per_term: int | None = None) -> DataFrame:
     """Items found by substring, boosted by how many of the query's terms they cover: ``query_id, id, score``."""
-    found = terms.select("query_id", "term").join(first_matches(matches, id_col, limit), "term").select("query_id", id_col).distinct()
+    found = terms.select("query_id", "term").join(first_matches(matches, id_col, per_term), "term").select("query_id", id_col).distinct()
     boost = F.when(F.col("in_head"), HEAD_BOOST).otherwise(BODY_BOOST)
     covered = (
         found.join(terms.select("query_id", "term"), "query_id").join(matches.select("term", id_col, "in_head"), ["term", id_col])
@@ -163,21 +178,24 @@ def with_aliases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return own.unionByName(named)
 
 
-def entity_hits(terms: DataFrame, entities: DataFrame, limit: int, postings: DataFrame | None = None) -> DataFrame:
-    """Active entities whose name or key contains a term, at most ``limit`` per term: ``query_id, id, kind, title, summary``."""
+def entity_hits(terms: DataFrame, entities: DataFrame, per_term: int | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """Active entities whose name or key contains a term, with ``per_term`` each term's first by id: ``query_id, id, kind, title, summary``."""
     active = entities.filter(F.col("status") == "active")
     matches = match_terms(terms.select("term").distinct(), active, "id", ENTITY_TEXT, [], postings)
-    named = first_matches(matches, "id", limit)
+    named = first_matches(matches, "id", per_term)
     hits = terms.select("query_id", "term").join(named, "term").select("query_id", "id").distinct()
     return hits.join(active.select("id", "kind", F.col("name").alias("title"), F.col("canonical_key").alias("summary")), "id")
 
 
 def search(
     queries: DataFrame, chunks: DataFrame, entities: DataFrame | None = None, limit: int = 10, mode: str = "auto",
-    postings: DataFrame | None = None, compat: bool = False,
+    postings: DataFrame | None = None, compat: bool = False, max_terms: int | None = None, per_term: int | None = None,
 ) -> DataFrame:
     """Fused top ``limit`` per query: graph entities, BM25 chunk hits and substring top-up.
 
+    ``max_terms`` keeps the first terms of a query, ``per_term`` the first items by id that a term adds in the substring and
+    entity steps; both are off unless given.
+
     The substring step runs for all terms of a query without BM25 hits and otherwise for its short
     terms only, and adds nothing BM25 already found. Result: ``query_id, pos, kind, id, title, summary,
     page_path, score, rank, body, start_line, end_line``.
@@ -185,7 +203,7 @@ def search(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     # matches and ranked hits are each read several times below: written once, narrow rows only
-    terms = query_terms(queries, compat)
+    terms = query_terms(queries, compat, max_terms)
     matches = materialize(
         match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"], postings), "matches"
     )
@@ -196,7 +214,7 @@ def search(
         ranked = materialize(bm25_hits(terms, matches, chunks, "chunk_id", CHUNK_TEXT, limit), "ranked")
         answered = ranked.select("query_id").distinct().withColumn("answered", F.lit(True))
         like_terms = terms.join(answered, "query_id", "left").filter(F.col("answered").isNull() | (F.length("term") < GRAM)).drop("answered")
-    extra = substring_hits(like_terms, matches, "chunk_id", limit)
+    extra = substring_hits(like_terms, matches, "chunk_id", per_term)
     if ranked is not None:
         extra = extra.join(ranked.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
         chunk_scores = ranked.select("query_id", "chunk_id", "score", F.lit(1).alias("step")).unionByName(
@@ -206,7 +224,7 @@ def search(
         chunk_scores = extra.withColumn("step", F.lit(2))
     scored = chunk_scores.select("query_id", F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "score", "step")
     if entities is not None:
-        named = entity_hits(terms, entities, limit)
+        named = entity_hits(terms, entities, per_term)
         scored = scored.unionByName(
             named.select("query_id", "kind", "id", F.lit(ENTITY_SCORE).alias("score"), F.lit(0).alias("step"))
         )

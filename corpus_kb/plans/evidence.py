@@ -9,13 +9,11 @@ from pyspark.sql import Window as W
 from corpus_kb.functions import code
 from corpus_kb.functions.text import path_prefixes
 from corpus_kb.operators.delta import scope_of
-from corpus_kb.operators.outline import MAX_CHARS, MAX_FILES, outline_line
+from corpus_kb.operators.outline import outline_line
 from corpus_kb.operators.scan import corpus_facts, detect_modules, files_per_hint
 
-# fixed values
-LISTED_FILES = 60
-LISTED_PAGES = 12
-README_CHARS = 900
+# budget of one bundle, passed by the caller
+BUDGET = {"listed_files": 60, "listed_pages": 12, "readme_chars": 900, "outlined_files": 14, "outline_chars": 4200, "items_per_file": 8, "modules": 12}
 MORE_FILES = "- and more\n"
 
 
@@ -30,17 +28,17 @@ def _lines(df: DataFrame, group: list[str], name: str) -> DataFrame:
     return listed.select(*group, F.array_join(F.transform("x", lambda e: e["line"]), "").alias(name))
 
 
-def headers(files: DataFrame, readmes: DataFrame) -> DataFrame:
+def headers(files: DataFrame, readmes: DataFrame, modules: int, readme_chars: int) -> DataFrame:
     """One header per repository (``repo, header``): facts, README excerpt, modules with their file counts."""
-    modules = detect_modules(files)
-    counted = modules.join(files_per_hint(modules.select("repo", "hint"), files), ["repo", "hint"])
+    detected = detect_modules(files, modules)
+    counted = detected.join(files_per_hint(detected.select("repo", "hint"), files), ["repo", "hint"])
     line = F.concat(
         F.lit("- "), "label", F.lit(" (`"), "key", F.lit("` → `"), "hint", F.lit("`) · "), F.col("source_files").cast("string"), F.lit(" files\n")
     )
     listed = _lines(counted.select("repo", F.col("key").alias("pos"), line.alias("line")), ["repo"], "modules")
     facts = corpus_facts(files)
     excerpt = F.when(F.col("excerpt").isNull(), F.lit("")).otherwise(
-        F.concat(F.lit("\n# From the readme\n"), F.left("excerpt", F.lit(README_CHARS)), F.lit("\n"))
+        F.concat(F.lit("\n# From the readme\n"), F.left("excerpt", F.lit(readme_chars)), F.lit("\n"))
     )
     return facts.join(readmes, "repo", "left").join(listed, "repo", "left").select(
         "repo",
@@ -52,9 +50,9 @@ def headers(files: DataFrame, readmes: DataFrame) -> DataFrame:
     )
 
 
-def page_lists(plan: DataFrame) -> DataFrame:
+def page_lists(plan: DataFrame, limit: int) -> DataFrame:
     line = F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(") — "), "description", F.lit("\n"))
-    top = _top(plan.select("repo", "path", line.alias("line")), ["repo"], ["path"], LISTED_PAGES)
+    top = _top(plan.select("repo", "path", line.alias("line")), ["repo"], ["path"], limit)
     return _lines(top, ["repo"], "page_list")
 
 
@@ -68,36 +66,36 @@ def _scoped(files: DataFrame, scopes: DataFrame) -> DataFrame:
     )
 
 
-def evidence(plan: DataFrame, texts: DataFrame, readmes: DataFrame) -> DataFrame:
+def evidence(plan: DataFrame, texts: DataFrame, readmes: DataFrame, budget: dict[str, int]) -> DataFrame:
     """Evidence text per page. ``plan``: ``repo, path, title, description, module``; ``texts``: files with their text.
 
-    Lists are limited per (repository, scope) before they are joined to text, so the size of a folder
+    ``budget`` bounds each list (see ``BUDGET``). Lists are limited per (repository, scope) before they are joined to text, so the size of a folder
     never matters; pages meet their scope by equality.
     """
     files = texts.select("repo", "rel", "language", "size")
     scoped_plan = plan.withColumn("scope", scope_of(F.coalesce("module", F.lit(""))))
     scopes = scoped_plan.select("repo", "scope").distinct()
 
-    listed = _top(_scoped(files, scopes), ["repo", "scope"], ["rel"], LISTED_FILES + 1)
-    file_line = F.when(F.col("pos") > LISTED_FILES, F.lit(MORE_FILES)).otherwise(
+    listed = _top(_scoped(files, scopes), ["repo", "scope"], ["rel"], budget["listed_files"] + 1)
+    file_line = F.when(F.col("pos") > budget["listed_files"], F.lit(MORE_FILES)).otherwise(
         F.concat(F.lit("- "), "rel", F.lit(" ("), "language", F.lit(", "), F.col("size").cast("string"), F.lit(" B)\n"))
     )
     file_lists = _lines(listed.select("repo", "scope", "pos", file_line.alias("line")), ["repo", "scope"], "file_list")
 
     # rank on metadata only, then fetch the texts of the few chosen files
-    largest = _top(_scoped(files, scopes), ["repo", "scope"], [F.desc("size"), "rel"], MAX_FILES)
+    largest = _top(_scoped(files, scopes), ["repo", "scope"], [F.desc("size"), "rel"], budget["outlined_files"])
     wanted = texts.select("repo", "rel", "text").join(largest, ["repo", "rel"])
     lines = wanted.select(
         "repo", "scope", "pos",
-        outline_line(F.col("rel"), F.col("language"), F.col("size"), code.outline(F.col("text"), F.col("language"))).alias("line"),
+        outline_line(F.col("rel"), F.col("language"), F.col("size"), code.outline(F.col("text"), F.col("language")), budget["items_per_file"]).alias("line"),
     )
     used = F.coalesce(
         F.sum(F.length("line")).over(W.partitionBy("repo", "scope").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
-    outlines = _lines(lines.withColumn("used", used).filter(F.col("used") <= MAX_CHARS), ["repo", "scope"], "outline")
+    outlines = _lines(lines.withColumn("used", used).filter(F.col("used") <= budget["outline_chars"]), ["repo", "scope"], "outline")
 
     joined = (
-        scoped_plan.join(headers(files, readmes), "repo", "left").join(page_lists(plan), "repo", "left")
+        scoped_plan.join(headers(files, readmes, budget["modules"], budget["readme_chars"]), "repo", "left").join(page_lists(plan, budget["listed_pages"]), "repo", "left")
         .join(file_lists, ["repo", "scope"], "left").join(outlines, ["repo", "scope"], "left")
     )
     scope_name = F.when(F.col("scope") == "", F.lit("repository")).otherwise(F.lit("module"))

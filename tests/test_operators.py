@@ -16,7 +16,7 @@ from corpus_kb.operators import runs as U
 from corpus_kb.operators import scan as P
 from corpus_kb.operators import search as S
 from corpus_kb.operators import segment as C
-from corpus_kb.plans.evidence import evidence
+from corpus_kb.plans.evidence import BUDGET, evidence
 
 CHUNK = "chunk_id string, page_path string, ord bigint, title string, summary string, body string, start_line bigint, end_line bigint, source string"
 
@@ -89,6 +89,38 @@ def random_page(rng):
     return "\n".join(out) + rng.choice(["", "\n"])
 
 
+def test_best_hits_need_no_score_for_every_pair(spark, monkeypatch):
+    """Against plain BM25 over all pairs; the items that reach the final ranking are few although common words are everywhere."""
+    rng, common = random.Random(8), ["tide", "lamp", "pier", "buoy", "fog"]
+    rows = [(f"ck_{i:03d}", f"p{i}", "t", "s", " ".join(rng.choices(common, k=30) + [f"rare{rng.randrange(60)}"] * rng.randrange(1, 4))) for i in range(400)]
+    table = chunk_table(spark, rows)
+    queries = [(q, " ".join(rng.sample(common, 3) + [f"rare{q}", f"rare{q + 20}"])) for q in range(12)]
+    terms = S.query_terms(spark.createDataFrame(queries, "query_id bigint, query string"))
+    matches = S.match_terms(terms.select("term").distinct(), table, "chunk_id", ["title", "summary"], ["body"])
+    sizes = {}
+    real = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: sizes.setdefault(name, real(df, name)) if name == "candidates" else real(df, name))
+    got = S.bm25_hits(terms, matches, table, "chunk_id", S.CHUNK_TEXT, 3).orderBy("query_id", F.desc("strength"), "chunk_id").collect()
+    tf = {(r["term"], r["chunk_id"]): (r["tf"], r["doc_len"]) for r in matches.collect()}
+    df = {}
+    for term, _ in tf:
+        df[term] = df.get(term, 0) + 1
+    lengths = [sum(max(len(x) - 2, 0) for x in r[2:]) for r in rows]
+    mean = sum(lengths) / len(rows)
+    for q, text in queries:
+        score = {}
+        for term in text.split():
+            idf = max(np.log((400 - df.get(term, 0) + 0.5) / (df.get(term, 0) + 0.5)), 1e-6)
+            for i, *_ in rows:
+                if (term, i) in tf:
+                    n, length = tf[term, i]
+                    score[i] = score.get(i, 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))
+        best = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:3]
+        mine = [(r["chunk_id"], r["strength"]) for r in got if r["query_id"] == q]
+        assert [i for i, _ in mine] == [i for i, _ in best] and np.allclose([x for _, x in mine], [x for _, x in best])
+    assert sizes["candidates"].count() < 0.2 * 12 * 400
+
+
 def is_heading(lines, number):
     """Whether a line (from 1) opens a section: a heading mark outside fences."""
     fences = sum(line.lstrip().startswith("```") for line in lines[: number - 1])
@@ -284,7 +316,7 @@ def test_evidence_sections(spark):
     texts = spark.createDataFrame([("r", "src/a/lib.rs", "rust", 60, "pub struct Demo;\n\nimpl Demo {\n    pub fn start(&self) {}\n}\n"), ("r", "src/b/x.py", "python", 9, "def go():\n")], "repo string, rel string, language string, size bigint, text string")
     plan = spark.createDataFrame([("r", "m.md", "M", "about a", "src/a"), ("r", "all.md", "All", "everything", None)], "repo string, path string, title string, description string, module string")
     readme = spark.createDataFrame([("r", "Hello")], "repo string, excerpt string")
-    got = {r["path"]: r["evidence"] for r in evidence(plan, texts, readme).collect()}
+    got = {r["path"]: r["evidence"] for r in evidence(plan, texts, readme, BUDGET).collect()}
     assert "- src/a/lib.rs (rust, 60 B)" in got["m.md"] and "src/b/x.py" not in got["m.md"].split("# Files of the")[1]
     assert "`1` struct Demo" in got["m.md"] and "`4` fn start" in got["m.md"] and "Hello" in got["m.md"]
     assert "- src/b/x.py (python, 9 B)" in got["all.md"] and "[M](m.md) — about a" in got["all.md"]
