@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpus_kb.catalog.base import with_views
 from corpus_kb.functions.terms import SEPARATORS, match_expression, query_terms
+from corpus_kb.operators import delta as D
+from corpus_kb.operators import graph as G
 from corpus_kb.operators import index as I
 from corpus_kb.operators import recall as C
 from corpus_kb.operators import search as S
@@ -131,6 +133,28 @@ def index_gap(spark, d):
     return I.missing_from_index(chunks, postings, "chunk_id").select("chunk_id")
 
 
+def index_backfill(spark, d):
+    """An index that lacks most languages and still holds one that is gone: after the backfill it equals a new one."""
+    chunks = T.chunks(spark, d)
+    of = lambda *langs: T.docs(spark, d).filter(F.col("lang").isin(*langs)).select(F.col("path").alias("page_path"))
+    old = I.gram_postings(chunks.join(of("en", "fr"), "page_path", "left_semi"), "chunk_id", S.CHUNK_TEXT)
+    return I.gram_statistics(I.backfill(chunks.join(of("fr"), "page_path", "left_anti"), old, "chunk_id", S.CHUNK_TEXT))
+
+
+def replaced_pages(spark, d):
+    """Pages of one language replaced by their first chunk, those of another deleted: chunks, postings and mentions follow together."""
+    chunks = T.chunks(spark, d)
+    of = lambda *langs: T.docs(spark, d).filter(F.col("lang").isin(*langs)).select(F.col("path").alias("page_path"))
+    index = lambda c: I.gram_postings(c, "chunk_id", S.CHUNK_TEXT)
+    names = spark.createDataFrame([("w:que", "que"), ("w:the", "the")], "id string, name string").withColumns(
+        {"kind": F.lit("word"), "canonical_key": F.col("id"), "status": F.lit("active")})
+    mention = lambda c: G.chunk_mentions(c, names)
+    new = chunks.join(of("es"), "page_path", "left_semi").filter(F.col("ord") == 0).withColumn("source", F.lit("new")).withColumn("chunk_id", F.concat("chunk_id", F.lit("_2")))
+    c, p, m = D.replace_pages(chunks, index(chunks), mention(chunks), new, of("es", "de"), index, mention)
+    size = lambda df, what, total: df.agg(F.count("*").alias("rows"), F.countDistinct("chunk_id").alias("chunks"), F.sum(total).cast("bigint").alias("total")).withColumn("what", F.lit(what))
+    return size(c, "chunks", "end_line").unionByName(size(p, "postings", "tf")).unionByName(size(m, "mentions", "mentions"))
+
+
 def stored_index(spark, d):
     """Search over a written index instead of grams derived on the fly."""
     chunks = T.chunks(spark, d)
@@ -189,6 +213,19 @@ ENTRIES = {
     "U7_index_backfill": (
         index_gap, with_views("SELECT chunk_id FROM f_chunks c JOIN f_docs d ON c.page_path = d.path WHERE d.lang <> 'en'"),
     ),
+    "U7_index_backfill_written": (
+        index_backfill,
+        with_views("SELECT gram, count(*) AS df, sum(tf)::bigint AS total FROM grams WHERE chunk_id NOT IN (SELECT chunk_id FROM f_chunks c JOIN f_docs d ON c.page_path = d.path WHERE d.lang = 'fr') GROUP BY gram", grams=_GRAMS),
+    ),
+    "J2_U6_replaced_pages_with_index": (
+        replaced_pages,
+        with_views("""SELECT 'chunks' AS what, count(*) AS rows, count(DISTINCT chunk_id) AS chunks, sum(end_line)::bigint AS total FROM now
+            UNION ALL SELECT 'postings', count(*), count(DISTINCT g.chunk_id), sum(tf)::bigint FROM grams g JOIN now USING (chunk_id)
+            UNION ALL SELECT 'mentions', count(*), count(DISTINCT chunk_id), sum(n)::bigint FROM
+              (SELECT chunk_id, (length(h) - length(replace(h, w, ''))) // 3 + (length(b) - length(replace(b, w, ''))) // 3 AS n
+               FROM (SELECT chunk_id, lower(concat(title, chr(10), summary)) AS h, lower(body) AS b FROM now) t, (VALUES ('que'), ('the')) v(w) WHERE contains(h, w) OR contains(b, w))""",
+            grams=_GRAMS, now="SELECT c.* FROM f_chunks c JOIN f_docs d ON c.page_path = d.path WHERE d.lang <> 'de' AND (d.lang <> 'es' OR c.ord = 0)"),
+    ),
     "R7_context_assembly": (
         lambda s, d: C.contexts(hits(s, d)),
         _sql("""SELECT query_id, string_agg(concat('### [', pos, '] ', kind, ' · ', CASE WHEN page_path IS NULL THEN '(repository graph)' ELSE concat(page_path, ':', start_line, '-', end_line) END,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpus_kb.session import materialize
 
-__all__ = ["arrow_map", "binary_text", "fold", "labelled", "materialize", "table", "tokenizer_path", "whole_words"]
+__all__ = ["arrow_map", "binary_text", "fold", "labelled", "materialize", "small_batches", "table", "tokenizer_path", "whole_words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,18 @@ def tokenizer_path(name: str, folder: str = "/opt/tokenizers") -> str:
     return f"{folder}/{name}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs that run inside, so a worker holds few long texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def binary_text(column: str = "text") -> Column:
     """UTF-8 bytes of a text, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary").alias(column)

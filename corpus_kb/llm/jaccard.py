@@ -36,16 +36,26 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_kb.llm.common import binary_text, materialize, whole_words
+from corpus_kb.llm.common import binary_text, materialize, small_batches, whole_words
 
 #: Similarity as a fraction, words a shingle.
 NUM, DEN, WORDS = 85, 100, 4
 #: Documents whose entries are counted to find dear ones, and the count from which one is dear.
 SAMPLE_DOCS, DEAR = 20_000, 20
 #: Texts whose entries are combined before the exchange, words a worker keeps, slots of id bit maps, rows of one block comparison.
-COMBINE, KEPT_WORDS, SLOT_BITS, BLOCK = 2000, 300_000, 23, 1500
+COMBINE, KEPT_WORDS, SLOT_BITS, BLOCK = 1000, 200_000, 23, 1500
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-_KNOWN: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_KNOWN = _Hashes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,9 +71,6 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_KNOWN) > KEPT_WORDS:
         _KNOWN.clear()
-    for w in found:
-        if w not in _KNOWN:
-            _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_KNOWN.__getitem__, found), np.uint64, len(found))
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
@@ -149,21 +156,27 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.int64).view(np.uint64) * _A >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) whose id may be among ``ids`` (column ``id``): one bit a slot of ids, so no text is shuffled."""
-    spark = docs.sparkSession
+def slot_bits(ids: DataFrame) -> np.ndarray:
+    """Packed bit map of the slots that the ids (column ``id``) fall into: bounded, and never misses one."""
     found = ids.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(b["id"].to_numpy())))], names=["slot"]) for b in batches), "slot long")
     bits = np.zeros(1 << SLOT_BITS, bool)
     bits[found.distinct().toArrow()["slot"].to_numpy()] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text()).where(F.col("doc_id").isNotNull())
+    return np.packbits(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[_slots(batch["doc_id"].to_numpy())]))
 
-    return narrow.mapInArrow(run, narrow.schema)
+def _chosen(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    slots = _slots(batch["doc_id"].to_numpy())
+    return batch.filter(pa.array((bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)))
+
+
+def narrow_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text()).where(F.col("doc_id").isNotNull())
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) whose id may be among ``ids``: no text is shuffled to find them."""
+    shared, narrow = docs.sparkSession.sparkContext.broadcast(slot_bits(ids)), narrow_texts(docs)
+    return narrow.mapInArrow(lambda batches: (_chosen(b, shared.value) for b in batches), narrow.schema)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -202,13 +215,17 @@ def dear_entries(docs: DataFrame, firsts: DataFrame, rows: int = SAMPLE_DOCS, le
     return np.sort(counted.select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
 
-def groups(texts: DataFrame, dear: np.ndarray) -> DataFrame:
-    """(entry, id, center): members of groups of equal entries, each with a smaller member of the group; chains end at its smallest."""
-    shared = texts.sparkSession.sparkContext.broadcast(dear)
+def groups(docs: DataFrame, ids: DataFrame, dear: np.ndarray) -> DataFrame:
+    """(entry, id, center): members of groups of equal entries, each with a smaller member of the group; chains end at its smallest.
+
+    Only documents of ``ids`` are indexed (a few others may slip in through the bit map; they are copies and find their own kind).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((dear, slot_bits(ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dear = shared.value
+        dear, bits = shared.value
         for whole in batches:
+            whole = _chosen(whole, bits)
             for start in range(0, whole.num_rows, COMBINE):
                 batch = whole.slice(start, COMBINE)
                 keys, ids = [], []
@@ -231,15 +248,14 @@ def groups(texts: DataFrame, dear: np.ndarray) -> DataFrame:
                 at = pa.array(center[keep], mask=head[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(place[keep].view(np.int64)), pa.array(key[keep].view(np.int64), mask=head[keep]), pa.array(doc[keep]), at], names=["place", "entry", "id", "center"])
 
-    rows = texts.mapInArrow(run, "place long, entry long, id long, center long")
+    rows = narrow_texts(docs).mapInArrow(run, "place long, entry long, id long, center long")
     ranked = rows.withColumn("least", F.min(F.when(F.col("center").isNull(), F.col("id"))).over(Window.partitionBy("place")))
     member = ranked.where(F.col("center").isNotNull() | (F.col("id") != F.col("least")))
     return member.select(F.coalesce("entry", "place").alias("entry"), "id", F.coalesce("center", "least").alias("center"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids whose texts are similar, compared exactly."""
-    texts = materialize(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "jaccard_texts")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids whose texts (doc_id, text) are similar, compared exactly."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
 
@@ -340,16 +356,17 @@ def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    sets = materialize(sets_of(docs), "sets")
-    found = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    firsts = materialize(found.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("first")), "firsts")
-    texts = texts_of(docs, firsts.select(F.col("first").alias("id")))
-    members = materialize(groups(texts, dear_entries(docs, firsts)), "groups")
-    direct = materialize(members.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = materialize(verified(direct, docs), "links")
-    cross = materialize(crossing(members, direct, components(links), sets).join(direct, ["a", "b"], "left_anti"), "pairs")
-    every = links.unionByName(verified(cross, docs))
-    labels = components(every)
+    with small_batches(docs.sparkSession):
+        sets = materialize(sets_of(docs), "sets")
+        found = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+        firsts = materialize(found.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("first")), "firsts")
+        members = materialize(groups(docs, firsts.select(F.col("first").alias("id")), dear_entries(docs, firsts)), "groups")
+        direct = materialize(members.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        # everyone that is in a group is in a direct pair, so these texts serve the later comparisons too
+        texts = materialize(texts_of(docs, direct.select(F.explode(F.array("a", "b")).alias("id"))), "texts")
+        links = materialize(verified(direct, texts), "links")
+        cross = materialize(crossing(members, direct, components(links), sets).join(direct, ["a", "b"], "left_anti"), "pairs")
+        labels = components(links.unionByName(verified(cross, texts)))
     named = firsts.join(labels.withColumnRenamed("id", "first"), "first", "left").select("n", "s0", "s1", F.coalesce("component", "first").alias("component"))
     return sets.join(named, ["n", "s0", "s1"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -51,6 +53,23 @@ def replace_by_page(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(pages, "page_path", "left_anti").unionByName(incoming)
 
 
+def replace_pages(
+    chunks: DataFrame, postings: DataFrame, mentions: DataFrame, incoming: DataFrame, pages: DataFrame, index: Callable[[DataFrame], DataFrame], mention: Callable[[DataFrame], DataFrame],
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, postings and mentions after ``incoming`` chunks replaced everything that belongs to ``pages`` (``page_path``).
+
+    One path for replacing pages, deleting them (no incoming chunks) and appending new ones: rows of the pages' old chunks leave all three
+    tables, and only the incoming chunks are indexed (``index``) and searched for names (``mention``).
+    """
+    gone = pages.select("page_path").distinct()
+    old = chunks.join(gone, "page_path", "left_semi").select("chunk_id")
+    return (
+        chunks.join(gone, "page_path", "left_anti").unionByName(incoming.select(*chunks.columns)),
+        postings.join(old, "chunk_id", "left_anti").unionByName(index(incoming).select(*postings.columns)),
+        mentions.join(old, "chunk_id", "left_anti").unionByName(mention(incoming).select(*mentions.columns)),
+    )
+
+
 def write_chunks_by_page(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     """Chunk sink: overwrite the buckets the chunks fall into. ``chunks`` must hold those buckets in full."""
     placed = chunks.withColumn("page_bucket", F.pmod(F.xxhash64("page_path"), F.lit(buckets)).cast("int"))

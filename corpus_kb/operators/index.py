@@ -72,6 +72,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
+def backfill(items: DataFrame, postings: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """Postings that match the items again: those of vanished items leave, items without any are indexed and appended."""
+    kept = postings.join(items.select(id_col).distinct(), id_col, "left_semi")
+    new = gram_postings(missing_from_index(items, postings, id_col), id_col, columns)
+    return kept.unionByName(new.select(*postings.columns))
+
+
 def missing_from_index(items: DataFrame, postings: DataFrame, id_col: str) -> DataFrame:
     """Items without postings, to be indexed and appended.
 
