@@ -24,6 +24,16 @@ def transcripts(spark, d):
     return T.turns(spark, d).withColumn("text", text)
 
 
+def rounds(spark, d):
+    """Each answer in five rounds: narration of a call, the text, the text again, a longer version, a closing section."""
+    turns = T.turns(spark, d)
+    text = F.col("text")
+    parts = F.array(F.lit("I look first <function=grep></function>"), text, text, F.concat(text, F.lit("\nmore")), F.lit("# End"))
+    told = turns.filter(F.col("role") == "assistant").select("conv_id", "role", "turn", F.posexplode(parts).alias("k", "text"))
+    return turns.filter(F.col("role") != "assistant").select("conv_id", (F.col("turn") * 10).alias("turn"), "role", "text").unionByName(
+        told.select("conv_id", (F.col("turn") * 10 + F.col("k")).alias("turn"), "role", "text"))
+
+
 def dirty_pages(spark, d):
     body = F.concat("body", F.lit("\n" + DRAFT_MARKER + "\n\n\n\n" + JSON_CALL_MARKS[1] + "}\n<function=grep>\nkeep\nantml:" + INVOKE + "\n"))
     return T.docs(spark, d).withColumn("body", body)
@@ -58,8 +68,8 @@ ENTRIES = {
         with_views("""SELECT seq, concat('{"a":', json_extract_string(args, '$.k'), ',"c":"', json_extract_string(args, '$.k'), '","z":{"b":null,"d":[1,"1"]}}') AS key FROM f_tools"""),
     ),
     "W20_prose_fold": (
-        lambda s, d: V.fold_answers(T.turns(s, d)),
-        with_views("""SELECT conv_id, answer, trim(any_value(text), chr(32)||chr(9)||chr(10)||chr(13)) AS body, count(*) AS n_rounds FROM
+        lambda s, d: V.fold_answers(rounds(s, d)),
+        with_views("""SELECT conv_id, answer, concat(ltrim(any_value(text), chr(32)||chr(9)||chr(10)||chr(13)), chr(10), 'more', chr(10), chr(10), '# End') AS body, 5 * count(*) AS n_rounds FROM
             (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM f_conv) WHERE role = 'assistant' GROUP BY conv_id, answer"""),
     ),
     "T3_delta_fold_batch": (

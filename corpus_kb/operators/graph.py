@@ -144,23 +144,30 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2, relations: list[st
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 3) -> DataFrame:
     """A shortest path for each (src, dst) pair, smallest node sequence on ties: ``src, dst, hops, path``.
 
-    Search runs per source; of all paths to a node only the smallest is carried on.
+    Search runs per source; of all paths to a node only the smallest is carried on. Sources whose pairs are all found stop, and the
+    last hop only takes edges into a wanted node, so a hub in front of the goal is never fanned out.
     """
     steps = _both_ways(edges).select("node", "other").distinct()
-    reached = pairs.select("src").distinct().select(
-        "src", F.col("src").alias("node"), F.lit(0).cast("bigint").alias("hops"), F.array("src").alias("path")
-    )
-    frontier = reached
+    wanted = pairs.select("src", "dst").distinct()
+    found = wanted.filter(F.col("src") == F.col("dst")).select("src", "dst", F.lit(0).cast("bigint").alias("hops"), F.array("src").alias("path"))
+    missing = wanted.filter(F.col("src") != F.col("dst"))
+    seen = missing.select("src", F.col("src").alias("node")).distinct()
+    frontier = seen.withColumn("path", F.array("src"))
     for hop in range(1, max_hops + 1):
-        found = (
-            frontier.join(steps, "node")
-            .groupBy("src", F.col("other").alias("node"))
-            .agg(F.min(F.concat("path", F.array("other"))).alias("path"))
-            .withColumn("hops", F.lit(hop).cast("bigint"))
+        usable = steps.join(missing.select(F.col("dst").alias("other")).distinct(), "other", "left_semi") if hop == max_hops else steps
+        reached = (
+            frontier.join(usable, "node").groupBy("src", F.col("other").alias("node"))
+            .agg(F.min(F.concat("path", F.array("other"))).alias("path")).join(seen, ["src", "node"], "left_anti")
         )
-        frontier = materialize(found.join(reached, ["src", "node"], "left_anti").select(*reached.columns), "paths")
-        reached = reached.unionByName(frontier)
-    return pairs.join(reached.withColumnRenamed("node", "dst"), ["src", "dst"]).select("src", "dst", "hops", "path")
+        if hop == max_hops:
+            reached = reached.join(missing.select("src", F.col("dst").alias("node")), ["src", "node"], "left_semi")
+        reached = materialize(reached, "paths")
+        hits = missing.join(reached.withColumnRenamed("node", "dst"), ["src", "dst"])
+        found = found.unionByName(hits.select("src", "dst", F.lit(hop).cast("bigint").alias("hops"), "path"))
+        missing = missing.join(hits.select("src", "dst"), ["src", "dst"], "left_anti")
+        seen = seen.unionByName(reached.select("src", "node"))
+        frontier = reached.join(missing.select("src").distinct(), "src", "left_semi")
+    return pairs.join(found, ["src", "dst"]).select("src", "dst", "hops", "path")
 
 
 def authoritative(edges: DataFrame, threshold: float = AUTHORITATIVE) -> DataFrame:
