@@ -244,8 +244,10 @@ ENTRIES = {
         _sql("SELECT query_id, pos, kind, id, title, summary, page_path, round(score, 6) AS score FROM detailed", _BENCH, *_ALL),
     ),
     "K6_F14_hits_json": (
-        lambda s, d: C.hits_json(hits(s, d), ("kind", "id", "page_path", "start_line", "end_line")),
-        _sql("""SELECT query_id, pos, concat('{"kind":"', kind, '","id":"', id, '","page_path":"', page_path, '","start_line":', start_line, ',"end_line":', end_line, '}') AS json FROM detailed""", _BENCH, *_ALL),
+        lambda s, d: C.hits_json(hits(s, d), ("kind", "id", "title", "summary", "page_path", "body", "start_line", "end_line")),
+        _sql("""SELECT query_id, pos, concat('{"kind":', to_json(kind), ',"id":', to_json(id), ',"title":', to_json(title), ',"summary":', to_json(summary),
+            CASE WHEN page_path IS NULL THEN '' ELSE concat(',"page_path":', to_json(page_path)) END, CASE WHEN body IS NULL THEN '' ELSE concat(',"body":', to_json(body)) END,
+            CASE WHEN start_line IS NULL THEN '' ELSE concat(',"start_line":', start_line, ',"end_line":', end_line) END, '}') AS json FROM detailed""", _BENCH, *_ALL),
     ),
     "R10_latest_question": (
         lambda s, d: C.latest_questions(T.turns(s, d)),
