@@ -299,35 +299,35 @@ def crossing(members: DataFrame, direct: DataFrame, labels: DataFrame, sets: Dat
     to = labels.select(F.col("id").alias("b"), F.col("component").alias("high"))
     apart = direct.join(of, "a", "left").join(to, "b", "left").where(F.coalesce("low", "a") != F.coalesce("high", "b")).select(F.col("a").alias("center"), F.col("b").alias("id"))
     mixed = members.join(apart, ["id", "center"], "left_semi").select("entry").distinct()
-    # a group of two has been compared; equal groups of several entries are looked at once
-    part = members.join(mixed, "entry", "left_semi").groupBy("entry", "id").agg(F.min("center").alias("center"))
-    roots = part.select("entry", F.col("center").alias("id"), F.lit(None).cast("long").alias("center"))
-    everyone = materialize(part.unionByName(roots).groupBy("entry", "id").agg(F.min("center").alias("center")), "mixed")
-    sign = [F.bit_xor(F.xxhash64("id", "center", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
-    groups_of = everyone.groupBy("entry").agg(F.count("*").alias("size"), *sign).where("size > 2")
-    chosen = groups_of.groupBy("size", "x0", "x1").agg(F.min("entry").alias("entry")).select("entry", "size")
+    part = materialize(members.join(mixed, "entry", "left_semi"), "mixed")
+    # groups with the same smallest member are looked at together, so a pair that shares many entries is met once
+    roots = part.groupBy("entry").agg(F.min("center").alias("root"))
+    rooted = part.join(roots, "entry").groupBy("root", "id").agg(F.max((F.col("center") == F.col("root")).cast("int")).alias("met_root"))
+    everyone = materialize(rooted.unionByName(rooted.select("root", F.col("root").alias("id"), F.lit(0).alias("met_root")).distinct()), "rooted")
+    sizes = everyone.groupBy("root").agg(F.count("*").alias("size")).where("size > 2")
     narrow = sets.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n", "b0", "b1", "b2", "b3")).alias("s"))
-    named = everyone.join(chosen, "entry").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = everyone.join(sizes, "root").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # large groups are cut into blocks; every two blocks meet in a task
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda d: F.least(F.col("mine"), d) * F.col("blocks") + F.greatest(F.col("mine"), d)))
     rows = named.join(narrow, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", mine).withColumn("met", met)
-    placed = rows.select("entry", "met", "id", "center", "component", "mine", "s.*").repartition("entry", "met").sortWithinPartitions("entry", "met")
+    placed = rows.select("root", "met", "id", "met_root", "component", "mine", "s.*").repartition("root", "met").sortWithinPartitions("root", "met")
     return placed.mapInArrow(_compare_groups, "a long, b long").distinct()
 
 
 def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within each run of equal (entry, met); a pair that several groups of the task hold is told once."""
-    names = ("entry", "met", "id", "center", "component", "mine", "n", "b0", "b1", "b2", "b3")
+    """Pairs within each run of equal (root, met); a pair that several groups of the task hold is told once."""
+    names = ("root", "met", "id", "met_root", "component", "mine", "n", "b0", "b1", "b2", "b3")
     held, told = None, set()
 
     def pairs(x: np.ndarray) -> None:
-        ids, center, label, mine, n, bits = x[:, 2], x[:, 3], x[:, 4], x[:, 5], x[:, 6], x[:, 7:].view(np.uint64)
+        root, ids, met, label, mine, n, bits = x[0, 0], x[:, 2], x[:, 3] == 1, x[:, 4], x[:, 5], x[:, 6], x[:, 7:].view(np.uint64)
         two = mine.min() != mine.max()
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
-            j = j[(label[j] != label[i]) & (center[j] != ids[i]) & (ids[j] != center[i])]
-            j = j[DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])]
+            j = j[(label[j] != label[i]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))]
+            # the root has been compared with those that met it directly
+            j = j[~met[j]] if ids[i] == root else j[ids[j] != root] if met[i] else j
             j = j[mine[j] != mine[i]] if two else j
             if len(j):
                 j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) * (DEN + NUM) <= (n[i] + n[j]) * (DEN - NUM)]
@@ -339,7 +339,7 @@ def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return out
 
     for batch in batches:
-        table = np.stack([batch[c].cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy() for c in names], 1)
+        table = np.stack([batch[c].cast(pa.int64()).to_numpy() for c in names], 1)
         held = table if held is None else np.concatenate([held, table])
         cuts = np.flatnonzero((held[1:, 0] != held[:-1, 0]) | (held[1:, 1] != held[:-1, 1])) + 1
         first = 0
