@@ -44,6 +44,8 @@ NUM, DEN, WORDS = 85, 100, 4
 SAMPLE_DOCS, DEAR = 20_000, 20
 #: Texts whose entries are combined before the exchange, words a worker keeps, slots of id bit maps, rows of one block comparison.
 COMBINE, KEPT_WORDS, SLOT_BITS, BLOCK = 1000, 200_000, 23, 1500
+#: Words of a set's bit map.
+BITS = tuple(f"b{i}" for i in range(16))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -147,8 +149,8 @@ def entries(found: np.ndarray, band: int, dear: np.ndarray, num: int = NUM, den:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the number of shingles that hash to it: two of them differ in no more bits than the sets."""
-    parity = np.bincount((mix(found + _C) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """1024 bits, each the parity of the number of shingles that hash to it: two of them differ in no more bits than the sets."""
+    parity = np.bincount((mix(found + _C) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
     return np.packbits(parity.astype(bool)).view(np.int64)
 
 
@@ -181,17 +183,17 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, n, signature of the set (two 64-bit sums) and its bit map, one row a document."""
-    names = ["doc_id", "n", "s0", "s1", "b0", "b1", "b2", "b3"]
+    names = ["doc_id", "n", "s0", "s1", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.zeros((batch.num_rows, 7), np.int64)
+            rows = np.zeros((batch.num_rows, 3 + len(BITS)), np.int64)
             for i, text in enumerate(batch["text"]):
                 found = shingles(text.as_py())
                 rows[i, 0] = len(found)
                 rows[i, 1:3] = np.array([mix(found).sum(dtype=np.uint64), mix(found ^ _B).sum(dtype=np.uint64)], np.uint64).view(np.int64)
                 rows[i, 3:] = bitmap(found)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(rows[:, j]) for j in range(7))], names=names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(rows[:, j]) for j in range(rows.shape[1]))], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text()).mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names[1:]))
 
@@ -305,7 +307,7 @@ def crossing(members: DataFrame, direct: DataFrame, labels: DataFrame, sets: Dat
     rooted = part.join(roots, "entry").groupBy("root", "id").agg(F.max((F.col("center") == F.col("root")).cast("int")).alias("met_root"))
     everyone = materialize(rooted.unionByName(rooted.select("root", F.col("root").alias("id"), F.lit(0).alias("met_root")).distinct()), "rooted")
     sizes = everyone.groupBy("root").agg(F.count("*").alias("size")).where("size > 2")
-    narrow = sets.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n", "b0", "b1", "b2", "b3")).alias("s"))
+    narrow = sets.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n", *BITS)).alias("s"))
     named = everyone.join(sizes, "root").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # large groups are cut into blocks; every two blocks meet in a task
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -317,7 +319,7 @@ def crossing(members: DataFrame, direct: DataFrame, labels: DataFrame, sets: Dat
 
 def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs within each run of equal (root, met); a pair that several groups of the task hold is told once."""
-    names = ("root", "met", "id", "met_root", "component", "mine", "n", "b0", "b1", "b2", "b3")
+    names = ("root", "met", "id", "met_root", "component", "mine", "n", *BITS)
     held, told = None, set()
 
     def pairs(x: np.ndarray) -> None:
