@@ -32,7 +32,7 @@ from corpus_kb.llm.toxicity import model_words
 MASKS = ("1110100111", "1101011011", "1111001101", "1011110011")
 OVERLAP, EQUAL, LEAST, BLOCK_WORDS = 13, 0.8, 5, 500_000
 #: Words hashed at a time, and slots of the bit map that most seeds stop at.
-CHUNK_WORDS, SLOT_BITS, KEPT_WORDS = 500_000, 22, 300_000
+CHUNK_WORDS, SLOT_BITS, KEPT_WORDS = 200_000, 22, 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 HITS = "doc_id long, item_id long, matched int, item_words int, first_word long, last_word long"
 

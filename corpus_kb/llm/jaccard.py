@@ -43,7 +43,7 @@ NUM, DEN, WORDS = 85, 100, 4
 #: Documents whose entries are counted to find dear ones, and the count from which one is dear.
 SAMPLE_DOCS, DEAR = 20_000, 20
 #: Texts whose entries are combined before the exchange, words a worker keeps, slots of id bit maps, rows of one block comparison.
-COMBINE, KEPT_WORDS, SLOT_BITS, BLOCK = 1000, 200_000, 23, 1500
+COMBINE, KEPT_WORDS, SLOT_BITS, BLOCK = 1000, 100_000, 23, 1500
 #: Words of a set's bit map.
 BITS = tuple(f"b{i}" for i in range(16))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)

@@ -33,7 +33,7 @@ BUCKET_BITS, DISCOUNT, PRIOR, STRETCH, CALIBRATION_ROWS = 22, 0.75, 4.0, 8, 20_0
 #: Slots of the bit map of labelled ids.
 SLOT_BITS = 23
 #: Distinct words that a worker keeps the ratio of.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 _MARKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 N_FIGURES = 6
 
