@@ -1,6 +1,6 @@
 """Jaccard join of word-shingle sets by universe partition and pigeonhole.
 
-Two sets of at most u shingles whose similarity is at least NUM/DEN differ in at most H shingles. Hashing the universe into m = H + 1
+Two sets of at most u shingles whose similarity is at least num/den differ in at most H shingles. Hashing the universe into m = H + 1
 segments, some segment must be equal in both. Sizes fall into bands, one band reaching as far as similar sets can differ in size; a
 set is indexed under the partition of its own band and of the next, so any similar pair meets under the larger one's.
 
@@ -28,7 +28,7 @@ null component; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corpus_kb.llm.common import binary_text, materialize, small_batches, whole_words
 
-#: Similarity as a fraction, words a shingle.
+#: Similarity as a fraction, words a shingle, where the caller does not give them.
 NUM, DEN, WORDS = 85, 100, 4
 #: Documents whose entries are counted to find dear ones, and the count from which one is dear.
 SAMPLE_DOCS, DEAR = 20_000, 20
@@ -181,7 +181,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return narrow.mapInArrow(lambda batches: (_chosen(b, shared.value) for b in batches), narrow.schema)
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n, signature of the set (two 64-bit sums) and its bit map, one row a document."""
     names = ["doc_id", "n", "s0", "s1", *BITS]
 
@@ -189,7 +189,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = np.zeros((batch.num_rows, 3 + len(BITS)), np.int64)
             for i, text in enumerate(batch["text"]):
-                found = shingles(text.as_py())
+                found = shingles(text.as_py(), words)
                 rows[i, 0] = len(found)
                 rows[i, 1:3] = np.array([mix(found).sum(dtype=np.uint64), mix(found ^ _B).sum(dtype=np.uint64)], np.uint64).view(np.int64)
                 rows[i, 3:] = bitmap(found)
@@ -198,7 +198,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text()).mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names[1:]))
 
 
-def dear_entries(docs: DataFrame, firsts: DataFrame, rows: int = SAMPLE_DOCS, least: int = DEAR) -> np.ndarray:
+def dear_entries(docs: DataFrame, firsts: DataFrame, rows: int = SAMPLE_DOCS, least: int = DEAR, *, words: int = WORDS, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Subsets of segments that ``least`` of a bounded sample of different sets have. Any list leaves the join exact; it only moves work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +206,9 @@ def dear_entries(docs: DataFrame, firsts: DataFrame, rows: int = SAMPLE_DOCS, le
         for batch in batches:
             keys = [none]
             for text in batch["text"]:
-                found = shingles(text.as_py())
-                band = band_of(len(found))
-                keys += [k[p] for k, p in (entries(found, band, none), entries(found, band + 1, none))]
+                found = shingles(text.as_py(), words)
+                band = band_of(len(found), num, den)
+                keys += [k[p] for k, p in (entries(found, band, none, num, den), entries(found, band + 1, none, num, den))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
 
     sample = firsts.select(F.col("first").alias("doc_id")).orderBy(F.xxhash64("first"), "first").limit(rows)
@@ -217,7 +217,7 @@ def dear_entries(docs: DataFrame, firsts: DataFrame, rows: int = SAMPLE_DOCS, le
     return np.sort(counted.select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
 
-def groups(docs: DataFrame, ids: DataFrame, dear: np.ndarray) -> DataFrame:
+def groups(docs: DataFrame, ids: DataFrame, dear: np.ndarray, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(entry, id, center): members of groups of equal entries, each with a smaller member of the group; chains end at its smallest.
 
     Only documents of ``ids`` are indexed (a few others may slip in through the bit map; they are copies and find their own kind).
@@ -232,10 +232,10 @@ def groups(docs: DataFrame, ids: DataFrame, dear: np.ndarray) -> DataFrame:
                 batch = whole.slice(start, COMBINE)
                 keys, ids = [], []
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                    found = shingles(text.as_py())
+                    found = shingles(text.as_py(), words)
                     if len(found):
-                        band = band_of(len(found))
-                        both = np.concatenate([entries(found, band, dear)[0], entries(found, band + 1, dear)[0]])
+                        band = band_of(len(found), num, den)
+                        both = np.concatenate([entries(found, band, dear, num, den)[0], entries(found, band + 1, dear, num, den)[0]])
                         keys.append(both)
                         ids.append(np.full(len(both), doc_id, np.int64))
                 key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -256,7 +256,7 @@ def groups(docs: DataFrame, ids: DataFrame, dear: np.ndarray) -> DataFrame:
     return member.select(F.coalesce("entry", "place").alias("entry"), "id", F.coalesce("center", "least").alias("center"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Pairs (a, b) of ids whose texts (doc_id, text) are similar, compared exactly."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
@@ -268,8 +268,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for a, b in zip(batch["left"], batch["right"], strict=True):
                 a = a.as_py()
                 if a != last:
-                    last, one = a, shingles(a)
-                keep.append(similar(one, shingles(b.as_py())))
+                    last, one = a, shingles(a, words)
+                keep.append(similar(one, shingles(b.as_py(), words), num, den))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # merge joins: the many partners of one text are split, and nothing depends on fitting a table into memory
@@ -295,7 +295,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).select("id", F.least("id", "component").alias("component"))
 
 
-def crossing(members: DataFrame, direct: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def crossing(members: DataFrame, direct: DataFrame, labels: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Pairs of different components in one group that neither have been compared yet nor can be told apart by the bit maps."""
     of = labels.select(F.col("id").alias("a"), F.col("component").alias("low"))
     to = labels.select(F.col("id").alias("b"), F.col("component").alias("high"))
@@ -314,10 +314,10 @@ def crossing(members: DataFrame, direct: DataFrame, labels: DataFrame, sets: Dat
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda d: F.least(F.col("mine"), d) * F.col("blocks") + F.greatest(F.col("mine"), d)))
     rows = named.join(narrow, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", mine).withColumn("met", met)
     placed = rows.select("root", "met", "id", "met_root", "component", "mine", "s.*").repartition("root", "met").sortWithinPartitions("root", "met")
-    return placed.mapInArrow(_compare_groups, "a long, b long").distinct()
+    return placed.mapInArrow(partial(_compare_groups, num=num, den=den), "a long, b long").distinct()
 
 
-def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_groups(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs within each run of equal (root, met); a pair that several groups of the task hold is told once."""
     names = ("root", "met", "id", "met_root", "component", "mine", "n", *BITS)
     held, told = None, set()
@@ -327,12 +327,12 @@ def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         two = mine.min() != mine.max()
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
-            j = j[(label[j] != label[i]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))]
+            j = j[(label[j] != label[i]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))]
             # the root has been compared with those that met it directly
             j = j[~met[j]] if ids[i] == root else j[ids[j] != root] if met[i] else j
             j = j[mine[j] != mine[i]] if two else j
             if len(j):
-                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) * (DEN + NUM) <= (n[i] + n[j]) * (DEN - NUM)]
+                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) * (den + num) <= (n[i] + n[j]) * (den - num)]
                 told.update((min(int(ids[i]), int(k)), max(int(ids[i]), int(k))) for k in ids[j])
 
     def flush() -> pa.RecordBatch:
@@ -356,26 +356,27 @@ def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield flush()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: shingles of ``words`` words, linked from a similarity of num/den."""
     with small_batches(docs.sparkSession):
-        sets = materialize(sets_of(docs), "sets")
+        sets = materialize(sets_of(docs, words), "sets")
         found = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         firsts = materialize(found.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("first")), "firsts")
-        members = materialize(groups(docs, firsts.select(F.col("first").alias("id")), dear_entries(docs, firsts)), "groups")
+        dear = dear_entries(docs, firsts, words=words, num=num, den=den)
+        members = materialize(groups(docs, firsts.select(F.col("first").alias("id")), dear, words, num, den), "groups")
         direct = materialize(members.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
         # everyone that is in a group is in a direct pair, so these texts serve the later comparisons too
         texts = materialize(texts_of(docs, direct.select(F.explode(F.array("a", "b")).alias("id"))), "texts")
-        links = materialize(verified(direct, texts), "links")
-        cross = materialize(crossing(members, direct, components(links), sets).join(direct, ["a", "b"], "left_anti"), "pairs")
-        labels = components(links.unionByName(verified(cross, texts)))
+        links = materialize(verified(direct, texts, words, num, den), "links")
+        cross = materialize(crossing(members, direct, components(links), sets, num, den).join(direct, ["a", "b"], "left_anti"), "pairs")
+        labels = components(links.unionByName(verified(cross, texts, words, num, den)))
     named = firsts.join(labels.withColumnRenamed("id", "first"), "first", "left").select("n", "s0", "s1", F.coalesce("component", "first").alias("component"))
     return sets.join(named, ["n", "s0", "s1"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """The row with the smallest id of each component, with all columns; of rows that repeat an id one stays; rows with a null id all stay."""
-    ids = materialize(join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
+    ids = materialize(join(docs, words, num, den).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
     kept = docs.where(F.col("doc_id").isNotNull()).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

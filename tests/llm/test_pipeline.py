@@ -1,4 +1,5 @@
 import zlib
+from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
@@ -8,7 +9,7 @@ from tokenizers import Tokenizer
 from corpus_kb.llm import decontaminate, quality, toxicity
 from corpus_kb.llm.common import table, tokenizer_path
 from tests.llm.test_decontaminate import words
-from tests.llm.test_jaccard import brute
+from tests.llm.test_jaccard import WORD, brute, variants
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,3 +52,36 @@ def test_edges_pass_through_all_stages(spark, edge_docs, no_docs):
             docs = stage(spark, docs, SF)
             assert docs.columns == edge_docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= least
+
+
+def five_word_kept(rows):
+    """Smallest ids of the components at 0.8 on five-word shingles, by comparing all pairs."""
+    sets = {}
+    for i, text in rows:
+        w = WORD.findall((text or "").encode().lower())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    top = {i: i for i in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            top[y] = x
+    return sorted(i for i in sets if root(i) == i)
+
+
+def test_near_duplicate_stage_against_five_words(spark):
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    base = [f"w{i}" for i in range(120)]
+    # a tail of a fifth, and a fifteenth of the words replaced in one run: far apart on 4 words at 0.85
+    rows = [(1000, " ".join(base)), (1001, " ".join(base + [f"t{i}" for i in range(24)]))]
+    rows += [(1002, " ".join(["v" + w for w in base])), (1003, " ".join([f"r{i}" if 50 <= i < 58 else "v" + w for i, w in enumerate(base)]))]
+    rows += variants(3, 250)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in stage(spark, docs, SF).collect())
+    assert kept == five_word_kept(rows) != sorted({c for _, _, c in brute(rows)})
+    assert {1000, 1002} <= set(kept) and not {1001, 1003} & set(kept)
