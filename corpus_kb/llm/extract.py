@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one a block element. A line weighs as much as it has text outside links; lines of menus, notices,
 adverts and the like (by element, role or name) weigh nothing, and so do lines outside ``article`` or ``main`` where a page
-has one. Weights are summed over windows of ``WINDOW`` lines: a surge is a window of at least ``SURGE`` characters (half of the page's
+has one. A name is a whole class or id, or its last part; ``has-sidebar`` and the like are flags of what holds the text. An ``article`` or ``main``
+is never an aside by name, nor is what holds a ``main``; what holds an ``article`` is one only beside marked text. Weights are summed over windows of ``WINDOW`` lines: a surge is a window of at least ``SURGE`` characters (half of the page's
 largest window on short pages), a dive is a window without weight. Text between is kept.
 
 The page is parsed tolerantly: tags that are never closed end with their parent, comments and scripts without an end run to the end
@@ -39,6 +40,9 @@ _NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spo
           "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "comment", "comments", "respond", "disqus", "replies",
           "footer", "masthead", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "signup", "login", "search", "widget", "pagination", "pager", "toolbar"}
 _MAIN = {"article", "main"}
+#: Parts of a class or id that make it a flag, and those that may stand behind a name.
+_FLAGS = {"has", "no", "not", "with", "without"}
+_BOXES = {"area", "bar", "block", "box", "buttons", "icons", "links", "list", "section", "thread"}
 
 
 @dataclass
@@ -53,26 +57,49 @@ class _Line:
         return " ".join("".join(self.parts).split())
 
 
-def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
+def _names_aside(value: str, names: set[str]) -> bool:
+    """Whether a class or id has one of the names: whole, as its last part, or before a word for a box; behind ``--`` stand flags."""
+    for token in value.split():
+        parts = [p for p in re.split(r"[^a-z]+", token.partition("--")[0]) if p]
+        if parts and not _FLAGS & set(parts) and (parts[-1] in names or len(parts) == 2 and parts[0] in names and parts[1] in _BOXES):
+            return True
+    return False
+
+
+def _is_aside(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is an aside by what it is, and by its name."""
     if tag in _ASIDE or tag == "header" and not in_main:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return False, False
+    named = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
         if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        words = set(re.split(r"[^a-z]+", value))
-        if name in ("class", "id") and (words & _NAMES or "header" in words and not in_main and tag != "article"):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag != "article":
+            named = named or _names_aside(value, _NAMES if in_main else _NAMES | {"header"})
+    return False, named
 
 
 def lines(page: str) -> list[_Line]:
     """Non-empty lines of the page in order."""
+    found, holders = _parse(page, frozenset())
+    spared = frozenset(holders["main"])
+    if spared:
+        found, holders = _parse(page, spared)
+    if holders["article"] and not any(x.main and not x.aside and x.text for x in found):
+        found, _ = _parse(page, spared | holders["article"])
+    return found
+
+
+def _parse(page: str, spared: frozenset[int]) -> tuple[list[_Line], dict[str, set[int]]]:
+    """Lines, and the places of elements that are asides by name and hold an ``article`` or a ``main``; those at ``spared`` places are no asides by name."""
+    holders: dict[str, set[int]] = {tag: set() for tag in _MAIN}
     open_tags: list[tuple[str, bool, bool]] = []  # tag, aside, main: of it and all around it
+    named: list[tuple[int, int]] = []  # depth and place of open elements that are asides by name
     found: list[_Line] = []
     now = _Line(False, False)
 
@@ -82,6 +109,11 @@ def lines(page: str) -> list[_Line]:
             found.append(now)
         now = _Line(open_tags[-1][1] if open_tags else False, open_tags[-1][2] if open_tags else False)
 
+    def close(depth: int) -> None:
+        del open_tags[depth:]
+        while named and named[-1][0] >= depth:
+            named.pop()
+
     def say(text: str) -> None:
         if text:
             text = html.unescape(text)
@@ -107,7 +139,7 @@ def lines(page: str) -> list[_Line]:
                     flush()
                 continue
             changed = open_tags[-1][1:] != (open_tags[at - 1][1:] if at else (False, False))
-            del open_tags[at:]
+            close(at)
             if block or changed:
                 flush()
             continue
@@ -120,16 +152,22 @@ def lines(page: str) -> list[_Line]:
             while i >= 0 and open_tags[i][0] in _INLINE:
                 i -= 1
             if i >= 0 and open_tags[i][0] in ends:
-                del open_tags[i:]
+                close(i)
         aside, main = open_tags[-1][1:] if open_tags else (False, False)
-        state = (aside or _is_aside(tag, attributes, main), main or tag in _MAIN and not aside)
+        by_kind, by_name = _is_aside(tag, attributes, main)
+        by_name = by_name and token.start() not in spared
+        if tag in _MAIN:
+            holders[tag].update(place for _, place in named)
+        state = (aside or by_kind or by_name, main or tag in _MAIN and not aside)
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
+            if by_name:
+                named.append((len(open_tags), token.start()))
             open_tags.append((tag, *state))
         if block or state != (aside, main):
             flush()
     say(page[last:])
     flush()
-    return found
+    return found, holders
 
 
 def main_text(page: str | None) -> str:

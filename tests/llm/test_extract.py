@@ -33,6 +33,23 @@ def test_pages(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div class='site has-sidebar'><p>{LONG}</p></div>", LONG),
+    (f"<div class='page no-comments with-search layout--sidebar'><p>{LONG}</p></div>", LONG),
+    (f"<article class='post comments-open'><p>{LONG}</p></article>", LONG),
+    (f"<article class='post sponsored related'><p>{LONG}</p></article><p>beside</p>", LONG),
+    (f"<div class='share-enabled widget-ready'><main><p>{LONG}</p></main></div>", LONG),
+    (f"<div class='content-sidebar'><div id=search><article><p>{LONG}</p></article></div></div>", LONG),
+    (f"<div class='widget'><main><p>{LONG}</p></main></div><article>beside</article>", f"{LONG} beside"),
+    (f"<p>{LONG}</p><div class='post-sidebar'><p>{LONG}</p></div><ol class='comment-list'><li>first!</ol>", LONG),
+    (f"<article><p>{LONG}</p></article><div class='related'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='has-header'><p>{LONG}</p></div>", LONG),
+    (f"<div class='sidebar' hidden><article><p>{LONG}</p></article></div>", ""),
+])
+def test_names_of_wrappers(page, text):
+    assert extract.main_text(page) == text
+
+
 def test_surge_and_dive_without_a_marked_article():
     links = "".join(f"<div><a href=/{i}>link number {i}</a></div>" for i in range(8))
     assert extract.main_text(f"<div>{links}</div><div><p>{LONG}</p><p>{LONG}</p></div><div>{links}</div>") == f"{LONG} {LONG}"
