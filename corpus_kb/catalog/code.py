@@ -55,11 +55,21 @@ ENTRIES = {
             WHERE contains(lower(x), 'the ') AND starts_with(l.path, 'd/src1') AND NOT starts_with(l.path, 'd/src15/') AND NOT ends_with(l.path, '/77.md')
               AND octet_length(encode(concat('  ', replace(d.body, chr(10), chr(10) || '  ')))) <= 6000"""),
     ),
+    "P8_grep_whole_texts": (
+        lambda s, d: O.grep(indented(s, d), "THE ", key="path"),
+        with_views("""SELECT path, line_no, CASE WHEN length(rtrim(x)) > 400 THEN left(rtrim(x), 400) || '…' ELSE rtrim(x) END AS line
+            FROM (SELECT *, concat('  ', line) AS x FROM f_lines) l WHERE contains(lower(x), 'the ')"""),
+    ),
     "P9_find_definitions": (
         lambda s, d: O.find_definitions(T.source_texts(s, d), "The", redact=["src3/**"]),
         with_views("""SELECT repo, rel, line_no, trim(line) AS line FROM f_src WHERE language IS NOT NULL
             AND (line = 'class The:' OR starts_with(line, 'pub fn The(')) AND repo <> 'src3'"""),
     ),
+    "P9_find_definitions_whole": (
+        lambda s, d: O.find_definitions(T.source_texts(s, d), "The"),
+        with_views("""SELECT repo, rel, line_no, trim(line) AS line FROM f_src WHERE language IS NOT NULL
+            AND (line = 'class The:' OR starts_with(line, 'pub fn The('))"""),
+    ),
     "P10_read_window": (
         lambda s, d: O.read_window(T.source_texts(s, d), "src5/en/5.rs", 2, 6).unionByName(O.read_window(T.source_texts(s, d), "src0/en/0.rs")),
         with_views("""SELECT rel, line_no, CASE WHEN length(rtrim(line)) > 400 THEN left(rtrim(line), 400) || '…' ELSE rtrim(line) END AS line, total,

@@ -333,3 +333,12 @@ def test_grep_and_read(spark):
 def test_sections_of_md(evaluate):
     got = evaluate(M.sections(F.col("t")), t="a\n# B\n```\n# no\n```\nc")
     assert [(s["title"], s["start_line"], s["end_line"]) for s in got] == [("Overview", 1, 1), ("B", 2, 6)]
+
+
+def test_registered_grep_searches_long_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "the start\n" + "word " * 60_000 + "\nand the end", "en", "src15", 300_021), (77, "the only line", "en", "src3", 13)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.path, r.line_no) for r in entry.queries()["P8_grep_whole_texts"](spark, str(tmp_path)).collect()}
+    assert got == {("d/src15/1.md", 1), ("d/src15/1.md", 3), ("d/src3/77.md", 1)}
