@@ -89,6 +89,10 @@ ENTRIES = {
         lambda s, d: O.outline(T.source_texts(s, d), 200).filter(~F.col("kind").isin("method", "const", "let", "var")),
         with_views(f"SELECT repo, rel, line, kind, name FROM ({_DECL}) x WHERE rn <= 200"),
     ),
+    "P18_F22_file_outline_whole": (
+        lambda s, d: O.outline(T.source_texts(s, d)),
+        None,
+    ),
     "A19_outline_summary": (
         lambda s, d: O.outline_summary(T.source_texts(s, d).filter(F.col("language").isin("rust", "python")), 14, 4200, 8),
         with_views(

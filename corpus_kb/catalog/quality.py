@@ -81,6 +81,14 @@ ENTRIES = {
             CASE WHEN page_type IN ('Workflow', 'Module') AND NOT has_diagram THEN 'diagram' END, CASE WHEN NOT has_claims THEN 'claims_section' END, CASE WHEN has_claims AND claims < 5 THEN 'claims' END], lambda x: x IS NOT NULL), ',') AS gaps FROM feats""",
             base=_BASE, feats=_FEATURES),
     ),
+    "A12_depth_features_whole": (
+        lambda s, d: Q.depth_features(typed(s, d)),
+        None,
+    ),
+    "Q1_quality_report_whole": (
+        lambda s, d: Q.quality_report(typed(s, d)),
+        None,
+    ),
     "J4_broken_links": (
         lambda s, d: Q.broken_links(T.linked_docs(s, d)),
         with_views("SELECT DISTINCT from_path, target FROM f_mdlinks WHERE to_path NOT IN (SELECT path FROM f_docs)"),

@@ -159,6 +159,10 @@ ENTRIES = {
         lambda s, d: R.keep_source_files(T.files(s, d), limit=4000).select("rel"),
         with_views("SELECT rel FROM f_files WHERE language IS NOT NULL OR size < 2000000 ORDER BY rel LIMIT 4000"),
     ),
+    "L1_files_by_path_whole": (
+        lambda s, d: R.keep_source_files(T.files(s, d)).select("rel"),
+        with_views("SELECT rel FROM f_files WHERE language IS NOT NULL OR size < 2000000"),
+    ),
     "L8_L9_tree_listing": (
         tree_listing,
         with_views("""SELECT * FROM (SELECT array_to_string(string_split(path, '/')[1:n], '/') AS prefix, n AS depth, true AS is_dir, count(*) AS files

@@ -342,3 +342,19 @@ def test_registered_grep_searches_long_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.path, r.line_no) for r in entry.queries()["P8_grep_whole_texts"](spark, str(tmp_path)).collect()}
     assert got == {("d/src15/1.md", 1), ("d/src15/1.md", 3), ("d/src3/77.md", 1)}
+
+
+def test_whole_queries_return_what_the_others_leave_out(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    long = "\n".join(f"word {i}" for i in range(1000))
+    rows = [(1, "a\nb\nc\nconst top = () => 1\nd", "en", "src1", 29), (2, "`short x`\nno citations here", "en", "src2", 27), (6, long, "en", "src6", len(long))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: entry.queries()[name](spark, str(tmp_path))
+    found = run("P18_F22_file_outline_whole").collect()
+    assert {(r.line, r.kind, r.name) for r in found if r.rel == "src1/en/1.ts"} == {(2, "class", "b"), (4, "const", "top")}
+    # lines 2, 6, 10, ... of 1000 are classes
+    assert [(r.line, r.kind) for r in found if r.rel == "src6/en/6.ts"] == [(i, "class") for i in range(2, 1001, 4)]
+    assert {"citations", "has_duties", "has_first_steps", "has_glossary"} <= set(run("A12_depth_features_whole").columns)
+    assert {r.path: "citations" in r.gaps for r in run("Q1_quality_report_whole").collect()}["d/src2/2.md"]
+    assert {r.rel for r in run("L1_files_by_path_whole").collect()} == {"src1/en/1.ts", "src2/en/2.py", "src6/en/6.ts"}
