@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_kb.llm import chat, decontaminate, extract, fingerprint, jaccard, packing, quality, sharding, simhash, toxicity, warc
+from corpus_kb.llm import chat, decontaminate, extract, fingerprint, jaccard, packing, quality, repair, sharding, simhash, toxicity, warc
 from corpus_kb.llm.common import table, tokenizer_path
 
 
@@ -59,11 +59,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_warc, op7_chat_formatting, op8_quality_classifier, op9_sharding, op10_ngram_jaccard_join, op13_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_warc, op7_chat_formatting, op8_quality_classifier, op9_sharding, op10_ngram_jaccard_join, op11_conversation_repair, op13_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op7_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
             SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
