@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_kb.llm import chat, decontaminate, extract, fingerprint, jaccard, packing, quality, repair, sharding, simhash, toxicity, warc
+from corpus_kb.llm import chat, collocations, decontaminate, extract, fingerprint, jaccard, packing, quality, repair, sharding, simhash, toxicity, warc
 from corpus_kb.llm.common import table, tokenizer_path
 
 
@@ -63,11 +63,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_and_repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_warc, op7_chat_formatting, op8_quality_classifier, op9_sharding, op10_ngram_jaccard_join, op11_conversation_repair, op13_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_warc, op7_chat_formatting, op8_quality_classifier, op9_sharding, op10_ngram_jaccard_join, op11_conversation_repair, op12_phrase_collocations, op13_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op7_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
             SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
@@ -81,4 +85,18 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
         FROM (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages))""",
+    "op12_phrase_collocations": r"""WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        lists AS (SELECT lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM pieces),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+        f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM places, range(1, 6) AS t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+        total AS (SELECT lang, sum(f)::bigint AS n FROM f WHERE k = 1 GROUP BY lang),
+        often AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 100),
+        cuts AS (SELECT c.lang, c.phrase, c.k, c.f AS a, cut, array_to_string(c.w[1:cut], ' ') AS one, array_to_string(c.w[cut + 1:c.k], ' ') AS two FROM often c, range(1, 5) AS t(cut) WHERE c.k > 1 AND cut < c.k),
+        scored AS (SELECT lang, phrase, a, k, cut, x.f AS l, y.f AS r, n, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint AS score
+            FROM cuts JOIN often x USING (lang) JOIN often y USING (lang) JOIN total USING (lang) WHERE x.phrase = one AND y.phrase = two),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_phrases AS (SELECT DISTINCT o.lang, array_to_string(o.w[i:i + m - 1], ' ') AS phrase, o.f FROM often o, range(1, 5) AS t(i), range(2, 5) AS u(m) WHERE m < o.k AND i + m - 1 <= o.k)
+        SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+            FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.f >= 100 * b.a)) WHERE rank <= 2000""",
 }
