@@ -93,8 +93,8 @@ ORACLE_SQL: dict[str, str] = {
         total AS (SELECT lang, sum(f)::bigint AS n FROM f WHERE k = 1 GROUP BY lang),
         often AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 100),
         cuts AS (SELECT c.lang, c.phrase, c.k, c.f AS a, cut, array_to_string(c.w[1:cut], ' ') AS one, array_to_string(c.w[cut + 1:c.k], ' ') AS two FROM often c, range(1, 5) AS t(cut) WHERE c.k > 1 AND cut < c.k),
-        scored AS (SELECT lang, phrase, a, k, cut, x.f AS l, y.f AS r, n, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint AS score
-            FROM cuts JOIN often x USING (lang) JOIN often y USING (lang) JOIN total USING (lang) WHERE x.phrase = one AND y.phrase = two),
+        scored AS (SELECT cuts.lang, cuts.phrase, a, cuts.k, cut, x.f AS l, y.f AS r, n, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint AS score
+            FROM cuts JOIN often x ON x.lang = cuts.lang AND x.phrase = one JOIN often y ON y.lang = cuts.lang AND y.phrase = two JOIN total ON total.lang = cuts.lang),
         best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
         inner_phrases AS (SELECT DISTINCT o.lang, array_to_string(o.w[i:i + m - 1], ' ') AS phrase, o.f FROM often o, range(1, 5) AS t(i), range(2, 5) AS u(m) WHERE m < o.k AND i + m - 1 <= o.k)
         SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
