@@ -3,8 +3,9 @@
 Every word position of a piece gives one path: the words from there on, at most ``LONGEST``. A path's sorted prefix range holds all
 occurrences of a phrase, so a phrase's count is the sum of the weights below its prefix, and one path serves all lengths.
 
-1. Words are counted; a path ends before the first word that occurs in fewer than ``LEAST`` places, since no candidate holds one. The words are looked up in
-   a bit map of ``FILTER_BITS`` bits, whatever their number; a bit set in vain keeps a path longer and changes no result.
+1. Words are counted, then pairs (steps 2 and 3 with paths of two words); a path ends before the first word and between the first two words that occur
+   in fewer than ``LEAST`` places, since no candidate holds them. Both are looked up in bit maps of a fixed size, whatever their number; a bit set in
+   vain keeps a path longer and changes no result.
 2. Each task collects a *shard* of paths, sorts them and builds, level by level from the ends, the minimal transducer of paths and counts: states with equal arcs,
    targets and weights are one. A shard is cut at the bounds of the prefix ranges and goes to their tasks as a few compressed arrays.
 3. The task of a range unites the shards' transducers, adding weights, and sums them by prefix. A phrase whose paths lie in several ranges is a prefix of
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 from itertools import groupby
@@ -38,9 +39,10 @@ from pyspark.sql import functions as F
 from corpus_kb.llm.common import materialize, small_batches
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-FILTER_BITS = 24
+#: Bits of the maps of frequent words and pairs: 2 and 8 MB.
+WORD_BITS, PAIR_BITS = 24, 26
 #: Words of a shard; word positions a prefix range; documents and paths of the sample that bounds the ranges; phrases a bucket, requests a split.
-SHARD_WORDS, RANGE_WORDS, SAMPLE_DOCS, SAMPLE_PATHS, BUCKET_PHRASES, SPLIT_REQUESTS = 1_000_000, 1_000_000, 2000, 20_000, 50_000, 500_000
+SHARD_WORDS, RANGE_WORDS, SAMPLE_DOCS, SAMPLE_PATHS, BUCKET_PHRASES, SPLIT_REQUESTS = 1_000_000, 1_000_000, 5000, 50_000, 50_000, 500_000
 #: Bytes of a word up to which a sampled path may bound a range.
 BOUND_BYTES = 64
 _MARK = b"."
@@ -55,7 +57,7 @@ def piece_words(text: bytes) -> list[bytes]:
 
 @dataclass
 class Transducer:
-    """Paths of ``LONGEST`` labels (0 behind the end) to weights; labels number ``words`` from 1.
+    """Paths of equally many labels (0 behind the end) to weights; labels number ``words`` from 1.
 
     Level d has states ``0 .. len(first[d]) - 2``; arcs ``first[d][s] : first[d][s + 1]`` leave state s, sorted by label. The last level's
     arcs carry the weights.
@@ -167,8 +169,9 @@ def build(words: list[bytes], paths: np.ndarray, weight: np.ndarray) -> Transduc
 
 def summed(paths: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different paths with the sums of their weights; labels stay below 2**21."""
-    wide = paths.astype(np.int64)
-    high, low = wide[:, 0] << 42 | wide[:, 1] << 21 | wide[:, 2], wide[:, 3] << 21 | wide[:, 4]
+    wide = np.zeros((len(paths), 6), np.int64)
+    wide[:, : paths.shape[1]] = paths
+    high, low = (wide[:, i] << 42 | wide[:, i + 1] << 21 | wide[:, i + 2] for i in (0, 3))
     order = np.lexsort((low, high))
     high, low = high[order], low[order]
     head = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])[: len(order)])
@@ -223,14 +226,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _slot(word: bytes, bits: int) -> int:
-    return xxhash.xxh64_intdigest(word, 42) & ((1 << bits) - 1)
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42)
 
 
-def bit_map(words: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """Bits of the words' hashes, packed in the tasks: ``2**bits / 8`` bytes whatever the number of words."""
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of word pairs from their words' hashes."""
+    x = (first * _M1 ^ second) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def phrase_hashes(phrases: list[bytes]) -> np.ndarray:
+    """Hashes of words or pairs."""
+    first = np.array([word_hash(p.split(b" ")[0]) for p in phrases], np.uint64)
+    two = [p.split(b" ")[1:] for p in phrases]
+    second = np.array([word_hash(w[0]) if w else 0 for w in two], np.uint64)
+    return np.where(np.array([bool(w) for w in two], bool), pair_hash(first, second), first)
+
+
+def bit_map(phrases: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the hashes of words or pairs (column ``phrase``), packed in the tasks: ``2**bits / 8`` bytes whatever their number."""
     block = 15
-    slots = words.select(F.expr(f"xxhash64(word) & {(1 << bits) - 1}").alias("slot")).distinct()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.unique(phrase_hashes([x.as_py().encode() for x in batch["phrase"]]) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slots >> block), pa.array((slots & ((1 << block) - 1)).astype(np.int32))], names=["block", "slot"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,44 +262,61 @@ def bit_map(words: DataFrame, bits: int = FILTER_BITS) -> bytes:
                 out.append(np.packbits(x, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch["block"], pa.array(out, pa.binary())], names=["block", "bits"])
 
-    grouped = slots.groupBy(F.shiftright("slot", block).alias("block")).agg(F.collect_list(F.expr(f"int(slot & {(1 << block) - 1})")).alias("slots"))
+    grouped = phrases.select("phrase").mapInArrow(place, "block long, slot int").groupBy("block").agg(F.collect_set("slot").alias("slots"))
     whole = np.zeros((1 << (bits - block), (1 << block) // 8), np.uint8)
-    for row in grouped.mapInArrow(pack, "block long, bits binary").collect():
+    for row in grouped.mapInArrow(pack, "block long, bits binary").toLocalIterator():
         whole[row.block] = np.frombuffer(row.bits, np.uint8)
-    return whole.tobytes()
+    return whole.ravel()
+
+
+def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = (hashes & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
 
 
 class _Numbers(dict):
     """Numbers of a shard's words in order of appearance; 0 for marks and for words that are too rare."""
 
-    def __init__(self, often: bytes) -> None:
+    def __init__(self, often: np.ndarray) -> None:
         super().__init__({_MARK: 0})
-        self.often, self.bits, self.words = often, (8 * len(often)).bit_length() - 1, []
+        self.often, self.last = often, 8 * len(often) - 1
+        self.words: list[bytes] = []
+        self.hashes: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
-        slot = _slot(word, self.bits)
-        n = 0
+        h = word_hash(word)
+        slot, n = h & self.last, 0
         if self.often[slot >> 3] >> (slot & 7) & 1:
             self.words.append(word)
+            self.hashes.append(h)
             n = len(self.words)
         self[word] = n
         return n
 
 
-def shard_paths(tokens: np.ndarray) -> np.ndarray:
-    """One row a word position: the labels from there up to the next 0, at most ``LONGEST``."""
-    padded = np.concatenate([tokens, np.zeros(LONGEST - 1, tokens.dtype)])
-    paths = np.stack([padded[i : i + len(tokens)] for i in range(LONGEST)], 1)
-    for i in range(1, LONGEST):
-        paths[:, i] *= paths[:, i - 1] > 0
-    return paths[paths[:, 0] > 0]
+def shard_paths(tokens: np.ndarray, positions: int, longest: int = LONGEST, joined: np.ndarray | None = None) -> np.ndarray:
+    """One row a word position below ``positions``: the labels from there up to the next 0, at most ``longest``.
+
+    ``joined`` says of each position whether it may go on to the next; rows of one word are left out then.
+    """
+    padded = np.concatenate([tokens, np.zeros(longest, tokens.dtype)])
+    at = np.flatnonzero((tokens[:positions] > 0) & (True if joined is None else joined[:positions]))
+    paths = np.zeros((len(at), longest), tokens.dtype)
+    paths[:, 0] = tokens[at]
+    live = np.ones(len(at), bool)
+    for i in range(1, longest):
+        if joined is not None:
+            live &= joined[np.minimum(at + i - 1, len(joined) - 1)]
+        paths[:, i] = padded[at + i] * live
+        live &= paths[:, i] > 0
+    return paths
 
 
 class Shard:
     """Word numbers of a task's texts by language, on their way into transducers."""
 
-    def __init__(self, often: bytes) -> None:
-        self.often, self.size = often, 0
+    def __init__(self, often: np.ndarray, pairs: np.ndarray | None = None, longest: int = LONGEST) -> None:
+        self.often, self.pairs, self.longest, self.size = often, pairs, longest, 0
         self.numbers: dict[str, _Numbers] = {}
         self.tokens: dict[str, list[np.ndarray]] = {}
 
@@ -289,35 +327,43 @@ class Shard:
         self.tokens[lang].append(np.fromiter(map(self.numbers[lang].__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
-    def sorted_paths(self) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
-        """Language, its words in order, sorted different paths and their counts; parts of ``SHARD_WORDS`` positions at most."""
-        for lang, parts in self.tokens.items():
+    def paths(self, lang: str, most: int = SHARD_WORDS) -> Iterator[np.ndarray]:
+        """A language's paths in numbers, parts of ``most`` positions."""
+        tokens = np.concatenate(self.tokens[lang])
+        hashes = np.array([0, *self.numbers[lang].hashes], np.uint64)
+        for at in range(0, len(tokens), most):
+            part = tokens[at : at + most + self.longest - 1]
+            joined = None
+            if self.pairs is not None:
+                joined = np.append((part[:-1] > 0) & (part[1:] > 0), False)
+                go = np.flatnonzero(joined)
+                joined[go] = holds(self.pairs, pair_hash(hashes[part[go]], hashes[part[go + 1]]))
+            yield shard_paths(part, most, self.longest, joined)
+
+    def sorted_paths(self, most: int = SHARD_WORDS) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+        """Language, its words in order, sorted different paths and their counts."""
+        for lang in self.tokens:
             words = self.numbers[lang].words
             order = sorted(range(len(words)), key=words.__getitem__)
             rank = np.zeros(len(words) + 1, np.int64)
             rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1)
-            tokens = rank[np.concatenate(parts)]
-            for at in range(0, len(tokens), SHARD_WORDS):
-                paths = shard_paths(tokens[at : at + SHARD_WORDS + LONGEST - 1])
-                if at + SHARD_WORDS < len(tokens):  # positions behind the cut belong to the next part
-                    over = int((tokens[at + SHARD_WORDS : at + SHARD_WORDS + LONGEST - 1] > 0).sum())
-                    paths = paths[: len(paths) - over]
+            for paths in self.paths(lang, most):
                 if len(paths):
-                    yield lang, [words[i] for i in order], *summed(paths, np.ones(len(paths), np.int64))
+                    yield lang, [words[i] for i in order], *summed(rank[paths], np.ones(len(paths), np.int64))
 
 
-def range_bounds(docs: DataFrame, often, ranges: int, sample_docs: int = SAMPLE_DOCS, sample_paths: int = SAMPLE_PATHS) -> dict[str, list[tuple]]:
+def range_bounds(docs: DataFrame, empty_shard: Callable[[], Shard], ranges: int, sample_docs: int = SAMPLE_DOCS, sample_paths: int = SAMPLE_PATHS) -> dict[str, list[tuple]]:
     """By language, the sorted paths at which a range begins, and how many ranges lie before; from a bounded sample, which moves work only."""
-    stride = 37
+    stride = 17
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
-                shard = Shard(often.value)
+                shard = empty_shard()
                 shard.add(lang, text.as_py())
-                words, tokens = shard.numbers[lang].words, shard.tokens[lang][0]
-                for row in shard_paths(tokens)[::stride].tolist():
+                words = shard.numbers[lang].words
+                for row in (row for paths in shard.paths(lang) for row in paths[::stride].tolist()):
                     path = [words[i - 1] for i in row if i]
                     if max(map(len, path)) <= BOUND_BYTES:
                         out.append((lang, b"\t".join(path)))
@@ -336,7 +382,7 @@ def range_bounds(docs: DataFrame, often, ranges: int, sample_docs: int = SAMPLE_
     return out
 
 
-def shards(docs: DataFrame, often, bounds) -> DataFrame:
+def shards(docs: DataFrame, empty_shard: Callable[[], Shard], bounds) -> DataFrame:
     """(range, lang, packed) of each task's transducers, cut at the bounds of the ranges."""
 
     def flush(shard: Shard) -> pa.RecordBatch:
@@ -350,13 +396,13 @@ def shards(docs: DataFrame, often, bounds) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.binary()))], names=["range", "lang", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(often.value)
+        shard = empty_shard()
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
                 shard.add(lang, text.as_py())
                 if shard.size >= SHARD_WORDS:
                     yield flush(shard)
-                    shard = Shard(often.value)
+                    shard = empty_shard()
         yield flush(shard)
 
     return texts(docs).mapInArrow(run, "range int, lang string, packed binary")
@@ -386,20 +432,30 @@ def _unite(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield flush()
 
 
-def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, ranges: int | None = None, bits: int = FILTER_BITS) -> DataFrame:
+def counted(docs: DataFrame, empty_shard: Callable[[], Shard], least: int, ranges: int, name: str) -> DataFrame:
+    """(lang, phrase, k, f) of all prefixes of the shards' paths that occur ``least`` times or more."""
+    bounds = docs.sparkSession.sparkContext.broadcast(range_bounds(docs, empty_shard, ranges))
+    cut = shards(docs, empty_shard, bounds)
+    with small_batches(docs.sparkSession, 64):
+        found = materialize(
+            cut.repartition(ranges, "range").sortWithinPartitions("range", "lang").mapInArrow(partial(_unite, least=least), "lang string, phrase string, k int, f long"), name)
+    bounds.unpersist()
+    return found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+
+
+def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, ranges: int | None = None, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> DataFrame:
     """(lang, phrase, k, f) of all phrases of up to ``LONGEST`` words that occur ``least`` times or more."""
     context = docs.sparkSession.sparkContext
-    often = context.broadcast(bit_map(words.where(F.col("n") >= least), bits))
+    frequent = words.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), F.col("n").alias("f"))
+    often = context.broadcast(bit_map(frequent, word_bits))
     total = words.agg(F.sum("n")).first()[0] or 0
     ranges = ranges or max(context.defaultParallelism, -(-total // RANGE_WORDS))
-    bounds = context.broadcast(range_bounds(docs, often, ranges))
-    cut = shards(docs, often, bounds)
-    with small_batches(docs.sparkSession, 64):
-        found = materialize(
-            cut.repartition(ranges, "range").sortWithinPartitions("range", "lang").mapInArrow(partial(_unite, least=least), "lang string, phrase string, k int, f long"), "ranges")
-    for shared in (often, bounds):
+    two = counted(docs, lambda: Shard(often.value, longest=2), least, ranges, "pairs").where("k = 2")
+    pairs = context.broadcast(bit_map(two, pair_bits))
+    found = counted(docs, lambda: Shard(often.value, pairs.value), least, ranges, "ranges")
+    for shared in (often, pairs):
         shared.unpersist()
-    return found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return frequent.unionByName(found.where("k > 1"))
 
 
 def _numbered(words: list[bytes], phrases: list[bytes]) -> np.ndarray:
@@ -469,11 +525,11 @@ def part_counts(phrases: DataFrame, bucket_phrases: int = BUCKET_PHRASES, split_
     return both.mapInArrow(_compose, PARTS)
 
 
-def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, ranges: int | None = None, bits: int = FILTER_BITS, bucket_phrases: int = BUCKET_PHRASES, split_requests: int = SPLIT_REQUESTS) -> DataFrame:
+def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, ranges: int | None = None, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, bucket_phrases: int = BUCKET_PHRASES, split_requests: int = SPLIT_REQUESTS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's ``top`` candidates."""
     with small_batches(docs.sparkSession):
         words = materialize(word_counts(docs), "words")
-        phrases = materialize(phrase_counts(docs, words, least, ranges, bits), "phrases")
+        phrases = materialize(phrase_counts(docs, words, least, ranges, word_bits, pair_bits), "phrases")
         parts = materialize(part_counts(phrases, bucket_phrases, split_requests), "parts")
     n = words.groupBy("lang").agg(F.sum("n").alias("n"))
     wide = {c: F.col(c).cast("decimal(38,0)") for c in ("a", "n", "l", "r")}

@@ -59,20 +59,27 @@ def texts(seed, n):
 def test_ranges_filters_and_splits_change_nothing(spark, ranges, bits, split):
     rows = [*texts(3, 150), (None, None), ("en", "THE B. The b! the B\x0cthe b")]
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
-    assert run(docs, least=6, top=50, ranges=ranges, bits=bits, bucket_phrases=11, split_requests=split) == brute(rows, 6, 50)
+    assert run(docs, least=6, top=50, ranges=ranges, word_bits=bits, pair_bits=bits, bucket_phrases=11, split_requests=split) == brute(rows, 6, 50)
 
 
-def test_shards_in_parts(monkeypatch):
-    monkeypatch.setattr(collocations, "SHARD_WORDS", 7)
-    often = b"\xff" * (1 << 13)
-    shard, want = collocations.Shard(often), Counter()
+@pytest.mark.parametrize("longest,pairs", [(5, False), (2, False), (5, True)])
+def test_shards_in_parts(longest, pairs):
+    every = np.full(1 << 13, 255, np.uint8)
+    some = np.random.default_rng(1).integers(0, 256, 1 << 13).astype(np.uint8) if pairs else None
+    shard, want = collocations.Shard(every, some, longest), Counter()
     for _, text in texts(5, 30):
         shard.add("en", (text or "").encode())
         for piece in PIECE.split((text or "").encode().lower()):
             words = WORD.findall(piece)
-            want.update(tuple(words[i : i + 5]) for i in range(len(words)))
+            go = [not pairs or bool(collocations.holds(some, collocations.phrase_hashes([b" ".join(p)]))[0]) for p in zip(words, words[1:], strict=False)] + [False]
+            for i in range(len(words)):
+                k = 1
+                while k < longest and go[i + k - 1]:
+                    k += 1
+                if k > 1 or not pairs:
+                    want[tuple(words[i : i + k])] += 1
     got: Counter = Counter()
-    for _, words, paths, counts in shard.sorted_paths():
+    for _, words, paths, counts in shard.sorted_paths(7):
         for row, c in zip(paths.tolist(), counts.tolist(), strict=True):
             got[tuple(words[i - 1] for i in row if i)] += c
     assert got == want
