@@ -16,17 +16,18 @@ scored; without labels of both classes the score is the share of label 1; an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpus_kb.llm.common import arrow_map, binary_text, fold, labelled
+from corpus_kb.llm.common import arrow_map, binary_text, fold, labelled, materialize
 from corpus_kb.llm.quality import Forest, fit
 
 BUCKET_BITS, DISCOUNT, PRIOR, STRETCH, CALIBRATION_ROWS = 22, 0.75, 4.0, 8, 20_000
@@ -82,18 +83,21 @@ class Ratio:
         return [sums[-1] / n, float(top[-1]), float(top.sum() / 3), float(((sums[w:] - sums[:-w]) / w).max()), float((values > 3).sum() / n), float(np.log1p(n))]
 
 
-def kneser_ney(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Ratios from the continuation counts of both classes."""
-    toxic, ordinary = toxic.astype(float), ordinary.astype(float)
-    shared = toxic + ordinary + PRIOR
-    shared /= shared.sum()
+def kneser_ney(counts: DataFrame, buckets: int = 1 << BUCKET_BITS) -> tuple[DataFrame, float]:
+    """(bucket, ratio) from the continuation counts (bucket, toxic, ordinary), and the ratio of buckets that neither class has seen.
 
-    def of_class(counts: np.ndarray) -> np.ndarray:
-        total = max(1.0, counts.sum())
-        free = np.minimum(counts, DISCOUNT).sum() / total if counts.sum() else 1.0
-        return np.maximum(counts - DISCOUNT, 0) / total + free * shared
+    The ratios are worked out where the counts are, so the driver holds one float a bucket and nothing else.
+    """
+    least = F.lit(DISCOUNT)
+    sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("toxic", "ordinary")), *(F.coalesce(F.sum(F.least(F.col(c).cast("double"), least)), F.lit(0.0)).alias(f"free_{c}") for c in ("toxic", "ordinary"))).first()
+    whole = sums.toxic + sums.ordinary + PRIOR * buckets
+    free = {c: sums[f"free_{c}"] / max(1.0, sums[c]) if sums[c] else 1.0 for c in ("toxic", "ordinary")}
+
+    def of_class(c: str) -> Column:
+        shared = (F.col("toxic") + F.col("ordinary") + F.lit(PRIOR)) / F.lit(float(whole))
+        return F.greatest(F.col(c) - least, F.lit(0.0)) / F.lit(max(1.0, float(sums[c]))) + F.lit(float(free[c])) * shared
 
-    return np.log(of_class(toxic) / of_class(ordinary)).astype(np.float32)
+    return counts.select("bucket", F.log(of_class("toxic") / of_class("ordinary")).cast("float").alias("ratio")), math.log(free["toxic"] / free["ordinary"])
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -147,11 +151,11 @@ def continuations(docs: DataFrame, known: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = CALIBRATION_ROWS) -> tuple[Ratio, Forest]:
     known = labelled(labels, column)
     folded = fold(F.col("doc_id"))
-    counts = continuations(docs, known.where(folded.between(1, 3))).toArrow()
-    toxic, ordinary = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-    at = counts["bucket"].to_numpy()
-    toxic[at], ordinary[at] = counts["toxic"].to_numpy(), counts["ordinary"].to_numpy()
-    ratio = Ratio(kneser_ney(toxic, ordinary))
+    ratios, unseen = kneser_ney(materialize(continuations(docs, known.where(folded.between(1, 3))), "continuations"))
+    table = np.full(1 << BUCKET_BITS, unseen, np.float32)
+    for part in ratios.toArrow().to_batches():
+        table[part["bucket"].to_numpy()] = part["ratio"].to_numpy()
+    ratio = Ratio(table)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     sample = known.where(folded == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text()).join(F.broadcast(sample), "doc_id")

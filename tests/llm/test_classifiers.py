@@ -109,10 +109,16 @@ def test_continuations_against_a_plain_count(spark):
     assert {k: v for k, v in got.items() if v} == dict(want)
 
 
-def test_kneser_ney_sums_to_one_in_each_class():
-    toxic, ordinary = np.array([5, 0, 1, 0]), np.array([50, 20, 0, 0])
-    ratio = toxicity.kneser_ney(toxic, ordinary)
-    assert ratio[2] > ratio[0] > ratio[1] and abs(ratio[3]) < 3
-    # a word that neither class has seen keeps the ratio of the freed masses
-    free = [np.minimum(c, toxicity.DISCOUNT).sum() / c.sum() for c in (toxic, ordinary)]
-    assert ratio[3] == pytest.approx(math.log(free[0] / free[1]), rel=1e-5)
+def test_kneser_ney_against_plain_arithmetic(spark):
+    toxic, ordinary = [5, 0, 1, 0], [50, 20, 0, 0]
+    df = spark.createDataFrame([(i, t, o) for i, (t, o) in enumerate(zip(toxic, ordinary, strict=True))], "bucket int, toxic long, ordinary long")
+    ratios, unseen = toxicity.kneser_ney(df.where("toxic + ordinary > 0"), 4)
+    got = {r.bucket: r.ratio for r in ratios.collect()} | {3: unseen}
+    whole = sum(toxic) + sum(ordinary) + 4 * toxicity.PRIOR
+    shared = [(t + o + toxicity.PRIOR) / whole for t, o in zip(toxic, ordinary, strict=True)]
+    model = []
+    for counts in (toxic, ordinary):
+        free = sum(min(c, toxicity.DISCOUNT) for c in counts) / sum(counts)
+        model.append([max(c - toxicity.DISCOUNT, 0) / sum(counts) + free * p for c, p in zip(counts, shared, strict=True)])
+        assert sum(model[-1]) == pytest.approx(1)
+    assert [got[i] for i in range(4)] == pytest.approx([math.log(a / b) for a, b in zip(*model, strict=True)], rel=1e-5)
