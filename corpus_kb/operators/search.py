@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from corpus_kb.functions import terms as Q
 from corpus_kb.operators.index import GRAM, doc_length, gram_sets
+from corpus_kb.operators.store import IndexStore, candidates
 from corpus_kb.session import materialize
 
 # fixed values
@@ -93,15 +94,18 @@ def _match_by_index(dictionary: DataFrame, index: DataFrame, texts: DataFrame, i
 
 def match_terms(
     dictionary: DataFrame, items: DataFrame, id_col: str, head: list[str], body: list[str], postings: DataFrame | None = None,
-    max_broadcast_terms: int = MAX_BROADCAST_TERMS,
+    max_broadcast_terms: int = MAX_BROADCAST_TERMS, store: IndexStore | None = None,
 ) -> DataFrame:
     """Every (term, item) with the term as a substring: ``term, id, doc_len, in_head, tf``.
 
-    ``postings`` is a written :func:`gram_sets` index of the items. Without one, a dictionary whose
+    ``store`` is a stored index of the items, of which only the buckets that the terms need are read; ``postings`` is a :func:`gram_sets`
+    index that is read whole. Without one, a dictionary whose
     counted size is within ``max_broadcast_terms`` is matched in a single scan; a larger one goes through
     grams derived from the items.
     """
     texts = _texts(items, id_col, head, body)
+    if store is not None:
+        return _verified(candidates(store, dictionary).join(texts, id_col), id_col)
     if postings is not None:
         return _match_by_index(dictionary, postings, texts, id_col)
     size = dictionary.limit(max_broadcast_terms + 1).agg(F.count("*").alias("n"), F.min(F.length("term")).alias("shortest")).first()
@@ -189,7 +193,7 @@ def entity_hits(terms: DataFrame, entities: DataFrame, per_term: int | None = No
 
 def search(
     queries: DataFrame, chunks: DataFrame, entities: DataFrame | None = None, limit: int = 10, mode: str = "auto",
-    postings: DataFrame | None = None, compat: bool = False, max_terms: int | None = None, per_term: int | None = None,
+    postings: DataFrame | None = None, compat: bool = False, max_terms: int | None = None, per_term: int | None = None, store: IndexStore | None = None,
 ) -> DataFrame:
     """Fused top ``limit`` per query: graph entities, BM25 chunk hits and substring top-up.
 
@@ -205,7 +209,7 @@ def search(
     # matches and ranked hits are each read several times below: written once, narrow rows only
     terms = query_terms(queries, compat, max_terms)
     matches = materialize(
-        match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"], postings), "matches"
+        match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"], postings, store=store), "matches"
     )
     if mode == "like":
         ranked = None
