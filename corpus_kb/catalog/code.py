@@ -44,32 +44,35 @@ def json_keys(spark, d):
     )
 
 
+def other_manifests(spark, d):
+    """A ``go.mod`` and a ``pyproject.toml`` for each document."""
+    docs, number = T.table(spark, d, "documents"), F.col("doc_id").cast("string")
+    go = F.concat(F.lit("module corp/"), "source", F.lit("\n\nrequire (\n\t"), "lang", F.lit("/lib v1\n)\n\nrequire (\n\t"), "lang", F.lit("/more v2\n)\n"))
+    python = F.concat(F.lit('[project]\nname = "'), "source", F.lit("-"), number, F.lit('"\ndependencies = ["'), "lang", F.lit('>=1"]\n'))
+    made = lambda name, text: docs.select(F.concat("source", F.lit("/"), number, F.lit("/" + name)).alias("rel"), text.alias("text"))
+    return O.manifest_entries(made("go.mod", go).unionByName(made("pyproject.toml", python)))
+
+
+GREP = (
+    lambda s, d: O.grep(indented(s, d), "THE ", key="path"),
+    with_views("""SELECT path, line_no, CASE WHEN length(rtrim(x)) > 400 THEN left(rtrim(x), 400) || '…' ELSE rtrim(x) END AS line
+        FROM (SELECT *, concat('  ', line) AS x FROM f_lines) l WHERE contains(lower(x), 'the ')"""),
+)
+DEFINITIONS = (
+    lambda s, d: O.find_definitions(T.source_texts(s, d), "The"),
+    with_views("""SELECT repo, rel, line_no, trim(line) AS line FROM f_src WHERE language IS NOT NULL
+        AND (line = 'class The:' OR starts_with(line, 'pub fn The('))"""),
+)
+OUTLINE = (lambda s, d: O.outline(T.source_texts(s, d)), with_views(f"SELECT repo, rel, line, kind, name FROM ({_DECL}) x"))
+
 ENTRIES = {
     "W1_numbered_lines": (
         lines_view, with_views("SELECT path, line_no, line FROM f_lines"),
     ),
-    "P8_grep": (
-        lambda s, d: O.grep(indented(s, d), "THE ", "d/src1*/**", key="path", redact=["d/src15/**", "**/77.md"], max_bytes=6000),
-        with_views("""SELECT l.path, line_no, CASE WHEN length(rtrim(x)) > 400 THEN left(rtrim(x), 400) || '…' ELSE rtrim(x) END AS line
-            FROM (SELECT *, concat('  ', line) AS x FROM f_lines) l JOIN f_docs d ON l.path = d.path
-            WHERE contains(lower(x), 'the ') AND starts_with(l.path, 'd/src1') AND NOT starts_with(l.path, 'd/src15/') AND NOT ends_with(l.path, '/77.md')
-              AND octet_length(encode(concat('  ', replace(d.body, chr(10), chr(10) || '  ')))) <= 6000"""),
-    ),
-    "P8_grep_whole_texts": (
-        lambda s, d: O.grep(indented(s, d), "THE ", key="path"),
-        with_views("""SELECT path, line_no, CASE WHEN length(rtrim(x)) > 400 THEN left(rtrim(x), 400) || '…' ELSE rtrim(x) END AS line
-            FROM (SELECT *, concat('  ', line) AS x FROM f_lines) l WHERE contains(lower(x), 'the ')"""),
-    ),
-    "P9_find_definitions": (
-        lambda s, d: O.find_definitions(T.source_texts(s, d), "The", redact=["src3/**"]),
-        with_views("""SELECT repo, rel, line_no, trim(line) AS line FROM f_src WHERE language IS NOT NULL
-            AND (line = 'class The:' OR starts_with(line, 'pub fn The(')) AND repo <> 'src3'"""),
-    ),
-    "P9_find_definitions_whole": (
-        lambda s, d: O.find_definitions(T.source_texts(s, d), "The"),
-        with_views("""SELECT repo, rel, line_no, trim(line) AS line FROM f_src WHERE language IS NOT NULL
-            AND (line = 'class The:' OR starts_with(line, 'pub fn The('))"""),
-    ),
+    "P8_grep": GREP,
+    "P8_grep_whole_texts": GREP,
+    "P9_find_definitions": DEFINITIONS,
+    "P9_find_definitions_whole": DEFINITIONS,
     "P10_read_window": (
         lambda s, d: O.read_window(T.source_texts(s, d), "src5/en/5.rs", 2, 6).unionByName(O.read_window(T.source_texts(s, d), "src0/en/0.rs")),
         with_views("""SELECT rel, line_no, CASE WHEN length(rtrim(line)) > 400 THEN left(rtrim(line), 400) || '…' ELSE rtrim(line) END AS line, total,
@@ -85,16 +88,10 @@ ENTRIES = {
         lambda s, d: O.symbol_table(T.source_texts(s, d)),
         with_views(f"SELECT repo, rel, kind, name FROM ({_DECL}) x WHERE (kind = 'fn') OR ends_with(rel, '.py')"),
     ),
-    "P18_F22_file_outline": (
-        lambda s, d: O.outline(T.source_texts(s, d), 200).filter(~F.col("kind").isin("method", "const", "let", "var")),
-        with_views(f"SELECT repo, rel, line, kind, name FROM ({_DECL}) x WHERE rn <= 200"),
-    ),
-    "P18_F22_file_outline_whole": (
-        lambda s, d: O.outline(T.source_texts(s, d)),
-        None,
-    ),
+    "P18_F22_file_outline": OUTLINE,
+    "P18_F22_file_outline_whole": OUTLINE,
     "A19_outline_summary": (
-        lambda s, d: O.outline_summary(T.source_texts(s, d).filter(F.col("language").isin("rust", "python")), 14, 4200, 8),
+        lambda s, d: O.outline_summary(T.source_texts(s, d), 14, 4200, 8),
         with_views(
             """SELECT repo, pos, rel, line FROM (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY repo ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM
               (SELECT f.repo, f.pos, f.rel, CASE WHEN d.decls IS NULL THEN concat('- `', f.rel, '` (', f.language, ')', chr(10))
@@ -102,7 +99,7 @@ ENTRIES = {
                FROM ranked f LEFT JOIN (SELECT rel, string_agg(concat('`', line, '` ', kind, ' ', name), ' · ' ORDER BY line) AS decls FROM decl WHERE rn <= 8 GROUP BY rel) d ON f.rel = d.rel))
               WHERE used <= 4200""",
             decl=_DECL,
-            ranked="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY size DESC, rel) AS pos FROM f_files WHERE language IN ('rust', 'python')) WHERE pos <= 14",
+            ranked="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY size DESC, rel) AS pos FROM f_files WHERE language IS NOT NULL) WHERE pos <= 14",
         ),
     ),
     "S9_W16_manifest_sections": (
@@ -111,6 +108,11 @@ ENTRIES = {
             CASE k.i WHEN 0 THEN concat(source, '-', doc_id) WHEN 1 THEN lang ELSE source END AS name
             FROM documents, (VALUES (0, 'package'), (1, 'dep'), (2, 'dep')) k(i, kind)""",
     ),
+    "S9_other_manifests": (
+        other_manifests,
+        """SELECT DISTINCT concat(source, '/', doc_id, '/', f) AS rel, 'dep' AS kind, lang || more AS name
+            FROM documents, (VALUES ('go.mod', '/lib'), ('go.mod', '/more'), ('pyproject.toml', '>=1')) a(f, more)""",
+    ),
     "S9_manifest_json_keys": (
         json_keys,
         """SELECT concat('e/', event_id, '/package.json') AS rel, 'package' AS kind, event_type AS name FROM events

@@ -123,7 +123,25 @@ def finalized(spark, d):
     pages = T.linked_docs(spark, d).withColumns({"title": F.col("path"), "description": F.lit("")})
     files = T.docs(spark, d).filter(F.col("lang") == "en")
     chunks = T.chunks(spark, d)
-    return N.finalize(pages, chunks, I.gram_sets(chunks, "chunk_id", ["body"]), files)["summary"]
+    f = N.finish_run(pages, chunks, I.gram_postings(chunks, "chunk_id", ["body"]), files, shared_dir(spark, "run"), "r1", "h1")
+    row = lambda name, df, key, detail: df.select(F.lit(name).alias("frame"), key.alias("key"), detail.alias("detail"))
+    out = row("pages", f["pages"], F.col("path"), F.sha2("body", 256)).unionByName(row("chunks", f["chunks"], F.col("chunk_id"), F.sha2("body", 256)))
+    grams = f["postings"].groupBy("chunk_id").agg(F.sum("tf").alias("n"))
+    out = out.unionByName(row("postings", grams, F.col("chunk_id"), F.col("n").cast("string"))).unionByName(row("index", f["index"], F.concat("grp", F.lit("|"), "pos"), F.col("line")))
+    return out.unionByName(row("problems", f["problems"], F.concat("problem", F.lit("|"), "path"), F.col("detail")))
+
+
+def second_run(spark, d):
+    """A run and its mark, then the gate of the next one: nothing but own outputs changed, a page changed, another head, and no mark at all."""
+    pages = T.linked_docs(spark, d).withColumns({"title": F.col("path"), "description": F.lit("")})
+    chunks, path = T.chunks(spark, d), shared_dir(spark, "run")
+    N.finish_run(pages, chunks, I.gram_postings(chunks, "chunk_id", ["body"]), T.docs(spark, d).filter(F.col("lang") == "en"), path, "r1", "h1")
+    done = N.marks(spark, path)
+    own = T.docs(spark, d).select(F.concat(F.lit(".corpus_kb/"), "path").alias("path"))
+    case = lambda name, changed, finished, head: N.gate(changed, finished, F.lit(head)).withColumn("case", F.lit(name))
+    out = case("same", own, done, "h1").unionByName(case("changed", own.unionByName(T.docs(spark, d).select("path")), done, "h1"))
+    out = out.unionByName(case("head", own, done, "h2")).unionByName(case("none", own, done.filter("false"), "h1"))
+    return out.join(done.select("pages", "chunks", "problems", "pruned"))
 
 
 _SCOPED = """SELECT p.repo, p.path, p.scope, f.rel, f.language, f.size, row_number() OVER (PARTITION BY p.repo, p.path ORDER BY f.rel) AS by_name,
@@ -136,14 +154,16 @@ _OUTLINED = """SELECT repo, path, string_agg(line, '' ORDER BY by_size) AS t FRO
     WHERE used <= 4200 GROUP BY repo, path"""
 _EVIDENCE = with_views(
     """SELECT p.repo, p.path, concat('Sources: ', f.n, '; written in ', CASE WHEN f.langs = '' THEN 'unknown' ELSE f.langs END, chr(10), chr(10), '# From the readme', chr(10), left(f.readme, 900), chr(10),
-          chr(10), '# Modules', chr(10), CASE WHEN f.n > 0 THEN concat('- ', p.repo, ' (`', p.repo, '` → `', p.repo, '/`) · ', f.n, ' files', chr(10)) ELSE '' END,
+          chr(10), '# Manifests', chr(10), m.t, chr(10), '# Modules', chr(10), CASE WHEN f.n > 0 THEN concat('- ', p.repo, ' (`', p.repo, '` → `', p.repo, '/`) · ', f.n, ' files', chr(10)) ELSE '' END,
           chr(10), '# Planned pages', chr(10), l.t, chr(10), '# Files of the ', CASE WHEN p.scope = '' THEN 'repository' ELSE 'module' END, chr(10), coalesce(x.t, ''),
           chr(10), '# Declarations by line', chr(10), coalesce(o.t, '- none' || chr(10))) AS evidence
-       FROM plan p JOIN facts f ON p.repo = f.repo JOIN (SELECT repo, string_agg(concat('- [', title, '](', path, ') — d', chr(10)), '' ORDER BY path) AS t FROM plan GROUP BY repo) l ON p.repo = l.repo
+       FROM plan p JOIN facts f ON p.repo = f.repo JOIN (SELECT repo, string_agg(concat('- `', rel, '` · dep: ', lang, ', serde · package: ', repo, chr(10)), '' ORDER BY rel) AS t
+          FROM (SELECT source AS repo, lang, concat(source, '/', doc_id, '/Cargo.toml') AS rel FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY rel) <= 12) GROUP BY repo) m ON m.repo = p.repo
+       JOIN (SELECT repo, string_agg(concat('- [', title, '](', path, ') — d', chr(10)), '' ORDER BY path) AS t FROM plan GROUP BY repo) l ON p.repo = l.repo
        LEFT JOIN (SELECT repo, path, string_agg(CASE WHEN by_name = 61 THEN '- and more' || chr(10) ELSE concat('- ', rel, ' (', language, ', ', size, ' B)', chr(10)) END, '' ORDER BY by_name) AS t
                   FROM scoped WHERE by_name <= 61 GROUP BY repo, path) x ON x.repo = p.repo AND x.path = p.path
        LEFT JOIN outlined o ON o.repo = p.repo AND o.path = p.path""",
-    txt="SELECT * FROM f_files WHERE language IS NULL OR language IN ('rust', 'python')",
+    txt="SELECT * FROM f_files",
     plan="SELECT DISTINCT repo, concat(repo, '/', split_part(rel, '/', 2), '.md') AS path, split_part(rel, '/', 2) AS title, CASE WHEN split_part(rel, '/', 2) <> 'en' THEN concat(repo, '/', split_part(rel, '/', 2)) ELSE '' END AS scope FROM txt",
     facts="SELECT repo, count(language) AS n, coalesce(array_to_string(list_sort(list(DISTINCT language) FILTER (language IS NOT NULL)), ', '), '') AS langs, min(rel) AS readme FROM txt GROUP BY repo",
     decl=_DECL, scoped=_SCOPED, outlined=_OUTLINED,
@@ -152,13 +172,15 @@ _EVIDENCE = with_views(
 
 def evidence(spark, d):
     """Evidence of one page per language folder and one per repository; sizes and hashes stand for the texts."""
-    texts = T.source_texts(spark, d).filter(F.col("language").isNull() | F.col("language").isin("rust", "python"))
+    texts = T.source_texts(spark, d)
     plan = texts.select("repo", F.split_part("rel", F.lit("/"), F.lit(2)).alias("lang")).distinct().select(
         "repo", F.concat("repo", F.lit("/"), "lang", F.lit(".md")).alias("path"), F.col("lang").alias("title"), F.lit("d").alias("description"),
         F.when(F.col("lang") != "en", F.concat("repo", F.lit("/"), "lang")).alias("module"),
     )
     readmes = texts.groupBy("repo").agg(F.min("rel").alias("excerpt"))
-    return E.evidence(plan, texts, readmes, E.BUDGET)
+    body = F.concat(F.lit('[package]\nname = "'), "source", F.lit('"\n\n[dependencies]\n'), "lang", F.lit(' = "1"\nserde = "1"\n'))
+    manifests = T.table(spark, d, "documents").select(F.col("source").alias("repo"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/Cargo.toml")).alias("rel"), body.alias("text"))
+    return E.evidence(plan, texts, readmes, E.BUDGET, manifests)
 
 
 def claims_round_trip(spark, d):
@@ -187,9 +209,20 @@ def chunk_sink(spark, d):
 ENTRIES = {
     "I5_run_finalisation": (
         finalized,
-        with_views("""SELECT 'pages' AS "table", count(*) AS rows FROM f_docs WHERE lang = 'en' UNION ALL SELECT 'pruned', count(*) FROM f_docs WHERE lang <> 'en'
-            UNION ALL SELECT 'chunks', count(*) FROM f_cut WHERE page_path IN (SELECT path FROM f_docs WHERE lang = 'en')
-            UNION ALL SELECT 'problems', 3 + count(*) FROM f_mdlinks WHERE from_path IN (SELECT path FROM f_docs WHERE lang = 'en') AND to_path NOT IN (SELECT path FROM f_docs WHERE lang = 'en')"""),
+        with_views("""SELECT 'pages' AS frame, path AS key, sha256(linked) AS detail FROM kept
+            UNION ALL SELECT 'chunks', chunk_id, sha256(body) FROM f_chunks WHERE page_path IN (SELECT path FROM kept)
+            UNION ALL SELECT 'postings', chunk_id, cast(length(body) - 2 AS varchar) FROM f_chunks WHERE page_path IN (SELECT path FROM kept) AND length(body) > 2
+            UNION ALL SELECT 'index', 'd|' || path, concat('- [', path, '](', path, ') — ') FROM kept UNION ALL SELECT DISTINCT 'index', 'd|', '## d' FROM kept
+            UNION ALL SELECT 'problems', 'missing|' || v.p, '' FROM (VALUES ('index.md'), ('quickstart.md'), ('README.md')) v(p)
+            UNION ALL SELECT 'problems', 'broken link|' || from_path, target FROM f_mdlinks WHERE from_path IN (SELECT path FROM kept) AND to_path NOT IN (SELECT path FROM kept)""",
+            kept="SELECT d.path, concat('See [next](', target, '#top \"Next\").', chr(10), body) AS linked FROM f_docs d JOIN f_mdlinks l ON l.from_path = d.path WHERE lang = 'en'"),
+    ),
+    "I4_I5_second_run": (
+        second_run,
+        with_views("""SELECT * FROM (VALUES ('same', 0::bigint, true), ('changed', (SELECT count(*) FROM f_docs), false), ('head', 0::bigint, false), ('none', 0::bigint, false)) v("case", relevant, no_op),
+            (SELECT count(*) FILTER (lang = 'en') AS pages, count(*) FILTER (lang <> 'en') AS pruned FROM f_docs),
+            (SELECT count(*) AS chunks FROM f_cut WHERE page_path IN (SELECT path FROM f_docs WHERE lang = 'en')),
+            (SELECT 3 + count(*) AS problems FROM f_mdlinks WHERE from_path IN (SELECT path FROM f_docs WHERE lang = 'en') AND to_path NOT IN (SELECT path FROM f_docs WHERE lang = 'en'))"""),
     ),
     "I6_evidence_bundle": (evidence, _EVIDENCE),
     "S8_claims_round_trip": (

@@ -46,6 +46,26 @@ def page_set(spark, d):
     return p.select(name.alias("path"), F.when(F.col("path") == "d/src0/0.md", "short").otherwise(F.col("body")).alias("body"))
 
 
+_CITES = """SELECT path, coalesce(len(list_filter(list_filter(string_split(full_text, '`'), lambda x, i: i % 2 = 0), lambda s: octet_length(encode(trim(s, chr(32)||chr(10)))) >= 4 AND NOT regexp_matches(trim(s, chr(32)||chr(10)), '\\s')
+              AND ((regexp_matches(s, '\\pL') AND regexp_matches(s, '[/.(]|::')) OR (regexp_full_match(trim(s, chr(32)||chr(10)), '[\\pL\\pN_]+') AND regexp_matches(s, '_|\\p{Lu}'))))), 0) AS citations FROM
+            (SELECT path, concat(body, CASE WHEN doc_id % 2 = 0 THEN '| a | b |' || chr(10) || '| - | - |' || chr(10) || '| c | d |' || chr(10) ELSE '' END,
+               CASE WHEN doc_id % 3 = 0 THEN repeat('see `src/a.rs` and `snake_case`' || chr(10), 4) ELSE '`short x`' || chr(10) END, CASE WHEN doc_id % 7 = 0 THEN 'TBD' || chr(10) ELSE '' END,
+               CASE WHEN doc_id % 11 = 0 THEN '<tool_call>' || chr(10) ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN '```mermaid' || chr(10) || 'graph LR' || chr(10) || '```' || chr(10) ELSE '' END,
+               CASE WHEN doc_id % 5 < 3 THEN '## Claims' || chr(10) || repeat('- one more fact' || chr(10), (doc_id % 8)::int) ELSE '' END) AS full_text FROM base)"""
+_ALL_FEATURES = """SELECT f.* EXCLUDE (own_citations), citations, contains(b.body, '职责') AND contains(b.body, '非职责') AS has_duties,
+    regexp_matches(b.body, '上手要点|先读') AS has_first_steps, regexp_matches(b.body, '术语|Glossary') AS has_glossary
+    FROM feats f JOIN cites c ON f.path = c.path JOIN base b ON f.path = b.path"""
+FEATURES = (lambda s, d: Q.depth_features(typed(s, d)), with_views("SELECT * FROM features", base=_BASE, feats=_FEATURES, cites=_CITES, features=_ALL_FEATURES))
+REPORT = (
+    lambda s, d: Q.quality_report(typed(s, d)).withColumn("gaps", F.array_join("gaps", ",")),
+    with_views("""SELECT *, array_to_string(list_filter([CASE WHEN chars < CASE WHEN page_type = 'Quickstart' THEN 1000 ELSE 1200 END THEN 'chars' END, CASE WHEN sections < CASE WHEN page_type = 'Module' THEN 5 ELSE 4 END THEN 'sections' END,
+        CASE WHEN citations < 8 THEN 'citations' END, CASE WHEN placeholder IS NOT NULL THEN 'placeholder' END, CASE WHEN pollution IS NOT NULL THEN 'pollution' END,
+        CASE WHEN page_type = 'Module' AND NOT has_duties THEN 'duties' END, CASE WHEN page_type = 'Module' AND NOT has_first_steps THEN 'first_steps' END,
+        CASE WHEN page_type = 'Business' AND NOT has_glossary THEN 'glossary' END, CASE WHEN page_type = 'Workflow' AND NOT has_diagram THEN 'stages' END, CASE WHEN table_lines < 3 THEN 'table' END,
+        CASE WHEN page_type IN ('Workflow', 'Module') AND NOT has_diagram THEN 'diagram' END, CASE WHEN NOT has_claims THEN 'claims_section' END, CASE WHEN has_claims AND claims < 5 THEN 'claims' END], lambda x: x IS NOT NULL), ',') AS gaps FROM features""",
+        base=_BASE, feats=_FEATURES, cites=_CITES, features=_ALL_FEATURES),
+)
+
 ENTRIES = {
     "P12_draft_filter": (
         lambda s, d: T.docs(s, d).withColumn("body", F.when(F.col("n_chars") % 3 == 0, F.concat("body", F.lit(DRAFT_MARKER))).when(F.col("n_chars") % 3 == 1, F.lit(" \n")).otherwise(F.col("body")))
@@ -62,33 +82,12 @@ ENTRIES = {
     ),
     "A13_code_citations": (
         lambda s, d: typed(s, d).select("path", F.size(M.code_citations(F.col("body"))).cast("bigint").alias("citations")),
-        with_views("""SELECT path, coalesce(len(list_filter(list_filter(string_split(full_text, '`'), lambda x, i: i % 2 = 0), lambda s: octet_length(encode(trim(s, chr(32)||chr(10)))) >= 4 AND NOT regexp_matches(trim(s, chr(32)||chr(10)), '\\s')
-              AND ((regexp_matches(s, '\\pL') AND regexp_matches(s, '[/.(]|::')) OR (regexp_full_match(trim(s, chr(32)||chr(10)), '[\\pL\\pN_]+') AND regexp_matches(s, '_|\\p{Lu}'))))), 0) AS citations FROM
-            (SELECT path, concat(body, CASE WHEN doc_id % 2 = 0 THEN '| a | b |' || chr(10) || '| - | - |' || chr(10) || '| c | d |' || chr(10) ELSE '' END,
-               CASE WHEN doc_id % 3 = 0 THEN repeat('see `src/a.rs` and `snake_case`' || chr(10), 4) ELSE '`short x`' || chr(10) END, CASE WHEN doc_id % 7 = 0 THEN 'TBD' || chr(10) ELSE '' END,
-               CASE WHEN doc_id % 11 = 0 THEN '<tool_call>' || chr(10) ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN '```mermaid' || chr(10) || 'graph LR' || chr(10) || '```' || chr(10) ELSE '' END,
-               CASE WHEN doc_id % 5 < 3 THEN '## Claims' || chr(10) || repeat('- one more fact' || chr(10), (doc_id % 8)::int) ELSE '' END) AS full_text FROM base)""", base=_BASE),
-    ),
-    "A12_depth_features": (
-        lambda s, d: Q.depth_features(typed(s, d)).drop("citations", "has_duties", "has_first_steps", "has_glossary"),
-        with_views("SELECT * EXCLUDE (own_citations) FROM feats", base=_BASE, feats=_FEATURES),
-    ),
-    "Q1_quality_report": (
-        lambda s, d: Q.quality_report(typed(s, d)).select("path", F.array_join(F.filter("gaps", lambda g: g != "citations"), ",").alias("gaps")),
-        with_views("""SELECT path, array_to_string(list_filter([CASE WHEN chars < CASE WHEN page_type = 'Quickstart' THEN 1000 ELSE 1200 END THEN 'chars' END, CASE WHEN sections < CASE WHEN page_type = 'Module' THEN 5 ELSE 4 END THEN 'sections' END,
-            CASE WHEN placeholder IS NOT NULL THEN 'placeholder' END, CASE WHEN pollution IS NOT NULL THEN 'pollution' END, CASE WHEN page_type = 'Module' THEN 'duties' END, CASE WHEN page_type = 'Module' THEN 'first_steps' END,
-            CASE WHEN page_type = 'Business' THEN 'glossary' END, CASE WHEN page_type = 'Workflow' AND NOT has_diagram THEN 'stages' END, CASE WHEN table_lines < 3 THEN 'table' END,
-            CASE WHEN page_type IN ('Workflow', 'Module') AND NOT has_diagram THEN 'diagram' END, CASE WHEN NOT has_claims THEN 'claims_section' END, CASE WHEN has_claims AND claims < 5 THEN 'claims' END], lambda x: x IS NOT NULL), ',') AS gaps FROM feats""",
-            base=_BASE, feats=_FEATURES),
-    ),
-    "A12_depth_features_whole": (
-        lambda s, d: Q.depth_features(typed(s, d)),
-        None,
-    ),
-    "Q1_quality_report_whole": (
-        lambda s, d: Q.quality_report(typed(s, d)),
-        None,
+        with_views("SELECT path, citations FROM cites", base=_BASE, cites=_CITES),
     ),
+    "A12_depth_features": FEATURES,
+    "A12_depth_features_whole": FEATURES,
+    "Q1_quality_report": REPORT,
+    "Q1_quality_report_whole": REPORT,
     "J4_broken_links": (
         lambda s, d: Q.broken_links(T.linked_docs(s, d)),
         with_views("SELECT DISTINCT from_path, target FROM f_mdlinks WHERE to_path NOT IN (SELECT path FROM f_docs)"),

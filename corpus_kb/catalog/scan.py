@@ -47,6 +47,11 @@ def tree_listing(spark, d):
     return S.list_tree(T.docs(spark, d), depth=2, limit=200)
 
 
+FILES = (
+    lambda s, d: R.keep_source_files(T.files(s, d)).select("rel"),
+    with_views("SELECT rel FROM f_files WHERE language IS NOT NULL OR size < 2000000"),
+)
+
 ENTRIES = {
     "S1_file_scan": (scan, with_views("SELECT repo, rel, language, size FROM f_files WHERE (language IS NOT NULL OR size < 2000000) AND repo <> 'src7'")),
     "S2_guarded_text_read": (guarded, "SELECT doc_id, left(text, 100) AS excerpt FROM documents WHERE octet_length(encode(text)) <= 8000"),
@@ -155,14 +160,8 @@ ENTRIES = {
         lambda s, d: S.files_per_hint(S.detect_modules(T.files(s, d), 12).select("repo", "hint"), T.files(s, d)),
         with_views("SELECT repo, repo || '/' AS hint, count(*) AS source_files FROM f_files WHERE language IS NOT NULL GROUP BY repo"),
     ),
-    "L1_files_by_path": (
-        lambda s, d: R.keep_source_files(T.files(s, d), limit=4000).select("rel"),
-        with_views("SELECT rel FROM f_files WHERE language IS NOT NULL OR size < 2000000 ORDER BY rel LIMIT 4000"),
-    ),
-    "L1_files_by_path_whole": (
-        lambda s, d: R.keep_source_files(T.files(s, d)).select("rel"),
-        with_views("SELECT rel FROM f_files WHERE language IS NOT NULL OR size < 2000000"),
-    ),
+    "L1_files_by_path": FILES,
+    "L1_files_by_path_whole": FILES,
     "L8_L9_tree_listing": (
         tree_listing,
         with_views("""SELECT * FROM (SELECT array_to_string(string_split(path, '/')[1:n], '/') AS prefix, n AS depth, true AS is_dir, count(*) AS files

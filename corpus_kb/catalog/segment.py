@@ -64,7 +64,7 @@ def model_docs(spark, d):
     """Documents whose model answer is usable for one language and prose elsewhere."""
     item = F.struct(F.lit(" T ").alias("title"), F.lit("").alias("summary"), F.col("body"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
     answer = F.when(F.col("lang") == "en", F.concat(F.lit("Sure:\n"), F.to_json(F.array(item)), F.lit("\nDone."))).otherwise(F.lit("no chunks"))
-    return T.docs(spark, d).withColumn("answer", answer)
+    return T.markdown_docs(spark, d).withColumn("answer", answer)
 
 
 ENTRIES = {
@@ -125,11 +125,12 @@ ENTRIES = {
             GROUP BY path""", sections=_SECTIONS),
     ),
     "C2_C3_model_chunks": (
-        lambda s, d: G.chunk_pages(model_docs(s, d), "hybrid", answer="answer").filter(F.col("source").startswith("llm"))
-        .select("chunk_id", "page_path", "title", "summary", "start_line", "end_line", "source"),
-        with_views("""SELECT concat('ck_', left(sha256(concat(path, '0', body)), 12)) AS chunk_id, path AS page_path, 'T' AS title, 'T' AS summary,
-            1 AS start_line, 9 AS end_line, 'llm-semantic|hybrid|512|llm=true' AS source
-            FROM (SELECT path, lang, trim(body, chr(32)||chr(9)||chr(10)||chr(13)) AS body FROM f_docs) WHERE lang = 'en' AND body <> ''"""),
+        lambda s, d: G.chunk_pages(model_docs(s, d), "hybrid", answer="answer"),
+        with_views(f"""SELECT concat('ck_', left(sha256(concat(path, '0', body)), 12)) AS chunk_id, path AS page_path, 0::bigint AS ord, 'T' AS title, 'T' AS summary,
+            body, 1::bigint AS start_line, 9::bigint AS end_line, 'llm-semantic|hybrid|512|llm=true' AS source
+            FROM (SELECT t.path, lang, trim(t.body, chr(32)||chr(9)||chr(10)||chr(13)) AS body FROM f_mdtext t JOIN f_docs d ON t.path = d.path) WHERE lang = 'en' AND body <> ''
+            UNION ALL BY NAME SELECT * REPLACE ('structural|hybrid|512|llm=true' AS source) FROM ({_CHUNKED}) WHERE page_path IN (SELECT path FROM f_docs WHERE lang <> 'en')""",
+            walk=_WALK, pieces=_PIECES, grouped=_GROUPED, merged=_MERGED),
     ),
     "C4_chunk_ids": (
         lambda s, d: T.chunks(s, d).select("page_path", "ord", "chunk_id", F.lit(G.signature("hybrid", 512, False)).alias("signature")),

@@ -171,8 +171,9 @@ def _pyproject(text: Column) -> Column:
 
 
 def _go(text: Column) -> Column:
-    block = F.regexp_extract(text, r"(?m)^\s*require \(([^)]*)", 1)
-    names = F.transform(F.filter(F.transform(lines(block), lambda l: strip(l)), lambda l: l != ""), lambda l: F.split(l, r"\s+")[0])
+    blocks = F.regexp_extract_all(text, F.lit(r"(?m)^\s*require \(([^)]*)"), F.lit(1))
+    listed = F.flatten(F.transform(blocks, lambda b: F.transform(lines(b), lambda l: strip(l))))
+    names = F.transform(F.filter(listed, lambda l: l != ""), lambda l: F.split(l, r"\s+")[0])
     return _entries("dep", names)
 
 

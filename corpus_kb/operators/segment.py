@@ -103,7 +103,7 @@ def chunk_pages(
         parsed = F.when(F.col(answer).isNotNull(), model_chunks(F.col(answer), schemas.MODEL_CHUNKS))
         cut = cut.select(
             "path", *keep, F.when(parsed.isNull(), F.lit("structural")).otherwise(F.lit("llm-semantic")).alias("by"),
-            F.coalesce(M.merge_small(parsed), F.col("structural")).alias("items"),
+            F.when(parsed.isNull(), F.col("structural")).otherwise(M.merge_small(parsed)).alias("items"),
         )
     else:
         cut = cut.select("path", *keep, F.lit("structural").alias("by"), F.col("structural").alias("items"))

@@ -358,3 +358,48 @@ def test_whole_queries_return_what_the_others_leave_out(spark, tmp_path):
     assert {"citations", "has_duties", "has_first_steps", "has_glossary"} <= set(run("A12_depth_features_whole").columns)
     assert {r.path: "citations" in r.gaps for r in run("Q1_quality_report_whole").collect()}["d/src2/2.md"]
     assert {r.rel for r in run("L1_files_by_path_whole").collect()} == {"src1/en/1.ts", "src2/en/2.py", "src6/en/6.ts"}
+
+
+def test_grep_redacts_and_guards_sizes(spark):
+    texts = spark.createDataFrame([("a/x.rs", "The one\nno\nthe two"), ("b/x.rs", "the secret"), ("a/big.rs", "the " * 100), ("a/y.md", "the page")], "rel string, text string")
+    got = O.grep(texts, "THE", "**/*.rs", redact=["b/**"], max_bytes=100).collect()
+    assert sorted((r.rel, r.line_no) for r in got) == [("a/x.rs", 1), ("a/x.rs", 3)]
+    assert {r.rel for r in O.grep(texts, "THE").collect()} == {"a/x.rs", "b/x.rs", "a/big.rs", "a/y.md"}
+
+
+def test_pages_without_a_usable_model_answer_keep_their_chunks(spark):
+    good = '[{"title": "T", "summary": "", "body": "whole page", "start_line": 1, "end_line": 2}]'
+    pages = spark.createDataFrame([("a", "# A\ntext", good), ("b", "# B\nother text", "no chunks"), ("c", "# C\nmore", None), ("d", "# D\nlast", "[]"), ("e", "# E\nend", '[{"body": " "}]')], "path string, body string, answer string")
+    got = {r.page_path: (r.body, r.source.split("|")[0]) for r in C.chunk_pages(pages, "hybrid", answer="answer").collect()}
+    assert got["a"] == ("whole page", "llm-semantic") and {k: v[1] for k, v in got.items() if k != "a"} == dict.fromkeys("bcde", "structural")
+    assert got["b"][0].startswith("# B")
+
+
+def test_manifest_lines_are_capped_by_rank(spark):
+    from corpus_kb.plans.evidence import manifest_lines
+
+    deps = "\n".join(f'd{i:02d} = "1"' for i in range(5))
+    rows = [("r", f"r/{i}/Cargo.toml", f'[package]\nname = "p{i}"\n[dependencies]\n{deps}\n') for i in range(3)] + [("r", "r/9/go.mod", "module m\nrequire (\n\ta v1\n)\nrequire (\n\tb v1\n)\n"), ("q", "q/pyproject.toml", "nothing")]
+    got = {r.repo: r.manifests for r in manifest_lines(spark.createDataFrame(rows, "repo string, rel string, text string"), 2, 3).collect()}
+    assert got["r"] == "".join(f"- `r/{i}/Cargo.toml` · dep: d00, d01, d02, … · package: p{i}\n" for i in range(2)) and got["q"] == "- `q/pyproject.toml`\n"
+    every = manifest_lines(spark.createDataFrame(rows, "repo string, rel string, text string"), 9, 9).where("repo = 'r'").first().manifests
+    assert every.endswith("- `r/9/go.mod` · dep: a, b\n")
+
+
+def test_a_run_without_its_mark_is_not_trusted(spark):
+    from corpus_kb.plans import maintenance as N
+    from corpus_kb.session import shared_dir
+
+    path = shared_dir(spark, "run")
+    pages = spark.createDataFrame([("README.md", "R", "", "x" * 300), ("old.md", "O", "", "y")], "path string, title string, description string, body string")
+    chunks = spark.createDataFrame([("c1", "README.md"), ("c2", "old.md")], "chunk_id string, page_path string")
+    postings = spark.createDataFrame([("abc", "c1"), ("abd", "c2")], "gram string, chunk_id string")
+    files = pages.filter("path = 'README.md'")
+    for run, head in (("r1", "h1"), ("r2", "h2"), ("r2", "h2")):  # the second one is repeated
+        frames = N.finish_run(pages, chunks, postings, files, path, run, head)
+    assert [frames[n].count() for n in ("pages", "chunks", "postings")] == [1, 1, 1]
+    done = N.marks(spark, path).orderBy("run_id").collect()
+    assert [(r.run_id, r.pages, r.pruned) for r in done] == [("r1", 1, 1), ("r2", 1, 1)] and done[0].problems == frames["problems"].count()
+    changed = pages.limit(0).select("path")
+    last = lambda head: N.gate(changed, N.marks(spark, path), F.lit(head)).first().no_op
+    assert last("h2") and not last("h1")
