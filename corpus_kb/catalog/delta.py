@@ -141,7 +141,7 @@ def second_run(spark, d):
     case = lambda name, changed, finished, head: N.gate(changed, finished, F.lit(head)).withColumn("case", F.lit(name))
     out = case("same", own, done, "h1").unionByName(case("changed", own.unionByName(T.docs(spark, d).select("path")), done, "h1"))
     out = out.unionByName(case("head", own, done, "h2")).unionByName(case("none", own, done.filter("false"), "h1"))
-    return out.join(done.select("pages", "chunks", "problems", "pruned"))
+    return out.withColumns({n: done.select(n).scalar() for n in ("pages", "chunks", "problems", "pruned")})
 
 
 _SCOPED = """SELECT p.repo, p.path, p.scope, f.rel, f.language, f.size, row_number() OVER (PARTITION BY p.repo, p.path ORDER BY f.rel) AS by_name,

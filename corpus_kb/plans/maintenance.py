@@ -63,6 +63,5 @@ def marks(spark: SparkSession, path: str) -> DataFrame:
 
 def gate(changed: DataFrame, finished: DataFrame, head: Column) -> DataFrame:
     """One row: whether a run has nothing to do, by the newest mark and the paths changed since (column ``path``); without a mark it has."""
-    last = finished.agg(F.max_by("head", F.struct("finished", "run_id")).alias("last_head"))
-    known = delta.is_no_op(changed, F.lit(None).cast("string"), head).select("relevant")
-    return known.join(last).select("relevant", F.coalesce((F.col("relevant") == 0) & (F.col("last_head") == head), F.lit(False)).alias("no_op"))
+    last = finished.agg(F.max_by("head", F.struct("finished", "run_id")).alias("last_head")).scalar()
+    return delta.is_no_op(changed, last, head).select("relevant", F.coalesce("no_op", F.lit(False)).alias("no_op"))
