@@ -51,7 +51,10 @@ _CHUNKED = f"""SELECT concat('ck_', left(sha256(concat(page_path, ord::bigint, b
 
 def claim_docs(spark, d):
     """Markdown pages in which every second heading announces claims and prose lines are bullets."""
-    md = T.markdown_docs(spark, d)
+    return with_claims(T.markdown_docs(spark, d))
+
+
+def with_claims(md):
     marked = F.regexp_replace("body", r"(?m)^## ([A-M])", "## Claims $1")
     return md.withColumn("body", F.regexp_replace(marked, r"(?m)^([^#`\n])", "- $1"))
 

@@ -8,10 +8,13 @@ from pyspark.sql import types as TY
 from corpus_kb import schemas
 from corpus_kb.catalog.base import with_views
 from corpus_kb.catalog.conversation import _DELTAS, _ROUNDS
+from corpus_kb.catalog.delta import _CLAIMS as CLAIMS
+from corpus_kb.catalog.segment import _CHUNKED as CHUNKED, _GROUPED as GROUPED, _MERGED as MERGED, _PIECES as PIECES, _WALK as WALK, with_claims
 from corpus_kb.operators import runs as U
 from corpus_kb.session import shared_dir
 from corpus_kb.sources import tables as T
 from corpus_kb.streaming import ingest as S
+from corpus_kb.streaming import landing as L
 
 _ORDERS = TY.StructType([
     TY.StructField("o_orderkey", TY.LongType()), TY.StructField("o_orderstatus", TY.StringType()),
@@ -24,10 +27,22 @@ _LINEITEM = TY.StructType([
 
 
 def ingest(spark, d):
-    out = shared_dir(spark, "ingest")
+    """Markdown pages with claims land as they come; one row per page over all tables that landed."""
+    land = L.Landing(spark, shared_dir(spark, "ingest"))
     docs = S.table_stream(spark, d, "documents", schemas.DOCUMENTS)
-    S.ingest_pages(docs.select(T.doc_path(F.col("source"), F.col("doc_id")).alias("path"), F.col("text").alias("body")), out, target_tokens=10**9)
-    return S.current_chunks(spark, out).groupBy("page_path").agg(F.count("*").alias("chunks"), F.min("start_line").alias("first"), F.max("end_line").alias("last"))
+    pages = with_claims(T.markdown(T.as_docs(docs)))
+    module = F.when(F.col("lang") != "fr", F.col("source"))
+    L.land_stream(land, pages.select("path", F.col("lang").alias("repo"), module.alias("module"), "body"))
+    chunks = land.current("chunks")
+    cut = chunks.groupBy("page_path").agg(
+        F.count("*").alias("chunks"), F.min("start_line").alias("first"), F.max("end_line").alias("last"), F.min("chunk_id").alias("least_chunk"), F.max("chunk_id").alias("greatest_chunk"))
+    grams = land.index().postings().groupBy("chunk_id").agg(F.count("*").alias("n")).join(chunks.select("chunk_id", "page_path"), "chunk_id").groupBy("page_path").agg(F.sum("n").alias("grams"))
+    stated = land.current("claims").groupBy("page_path").agg(F.count("*").alias("claims"), F.sum(F.length("statement")).alias("claim_chars"))
+    edges = land.current("describes").select(F.col("path").alias("page_path"), F.col("dst").alias("describes"))
+    found = land.current("pages").select(F.col("path").alias("page_path"), "body_hash")
+    for part in (cut, grams, stated, edges):
+        found = found.join(part, "page_path", "left")
+    return found.na.fill(0, ["chunks", "grams", "claims", "claim_chars"])
 
 
 def silent(spark, d):
@@ -92,12 +107,16 @@ _SESSIONS = """SELECT user_id, count(*) AS beats, max(ts) AS last_ts FROM (SELEC
 ENTRIES = {
     "T1_stream_ingest": (
         ingest,
-        with_views("""SELECT path AS page_path, count(*) FILTER (opens) AS chunks, min(start_line) AS first, max(end_line) AS last FROM
-            (SELECT *, prev IS NULL OR length(trim(body, chr(32)||chr(10))) >= 400 OR ends_with(rtrim(prev, chr(32)||chr(10)), '```') AS opens FROM
-              (SELECT *, lag(body) OVER (PARTITION BY path ORDER BY sec) AS prev FROM
-                (SELECT path, sec, min(line_no) AS start_line, max(line_no) AS end_line, string_agg(line, chr(10) ORDER BY line_no) AS body FROM
-                  (SELECT *, sum(CASE WHEN line_no = 1 OR starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS sec FROM f_lines) GROUP BY path, sec)
-               WHERE trim(body, chr(32)||chr(10)) <> '')) GROUP BY path"""),
+        with_views("""SELECT d.path AS page_path, h.body_hash, coalesce(chunks, 0) AS chunks, first, last, least_chunk, greatest_chunk, coalesce(grams, 0)::bigint AS grams, coalesce(claims, 0) AS claims,
+              coalesce(claim_chars, 0)::bigint AS claim_chars, CASE WHEN lang <> 'fr' THEN concat('module:', lang, '/', source) END AS describes FROM f_docs d
+            LEFT JOIN (SELECT path, sha256(string_agg(line, chr(10) ORDER BY line_no) || chr(10)) AS body_hash FROM claim_lines GROUP BY path) h ON h.path = d.path
+            LEFT JOIN (SELECT page_path, count(*) AS chunks, min(start_line) AS first, max(end_line) AS last, min(chunk_id) AS least_chunk, max(chunk_id) AS greatest_chunk FROM cut GROUP BY page_path) c ON c.page_path = d.path
+            LEFT JOIN (SELECT page_path, count(*) AS grams FROM (SELECT DISTINCT page_path, chunk_id, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram FROM
+                (SELECT page_path, chunk_id, lower(unnest([title, summary, body])) || chr(1) || chr(1) AS t FROM cut)) GROUP BY page_path) g ON g.page_path = d.path
+            LEFT JOIN (SELECT page_path, count(*) AS claims, sum(length(statement)) AS claim_chars FROM claims GROUP BY page_path) s ON s.page_path = d.path""",
+            claim_lines="""SELECT path, line_no, CASE WHEN regexp_matches(line, '^## [A-M]') THEN '## Claims ' || substr(line, 4) WHEN line <> '' AND NOT regexp_matches(line, '^[#`]') THEN '- ' || line ELSE line END AS line FROM f_md""",
+            fence="SELECT path, line_no, line, sum(CASE WHEN starts_with(ltrim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) % 2 = 1 AS in_fence FROM claim_lines",
+            walk=WALK.replace("f_fence", "fence"), pieces=PIECES, grouped=GROUPED, merged=MERGED, cut=CHUNKED, claims=CLAIMS),
     ),
     "T2_stream_silent_holders": (
         silent,

@@ -53,10 +53,10 @@ def seed_relations(files: DataFrame) -> DataFrame:
     )
 
 
-def describes_relations(pages: DataFrame) -> DataFrame:
-    """``describes`` edges from pages to the module they are about (``repo, path, module``)."""
+def describes_relations(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``describes`` edges from pages to the module they are about (``repo, path, module``), with the page's columns ``keep``."""
     return pages.filter(F.col("module").isNotNull()).select(
-        _key("page", "path").alias("src"), _key("module", "module").alias("dst"), F.lit("describes").alias("rel"), F.lit(1.0).alias("confidence"),
+        *keep, _key("page", "path").alias("src"), _key("module", "module").alias("dst"), F.lit("describes").alias("rel"), F.lit(1.0).alias("confidence"),
     ).distinct()
 
 

@@ -34,7 +34,12 @@ def doc_path(source: Column, doc_id: Column) -> Column:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wiki pages: ``path, body, lang, source, doc_id, n_chars``."""
-    return spread(table(spark, sf_dir, "documents")).select(
+    return as_docs(spread(table(spark, sf_dir, "documents")))
+
+
+def as_docs(documents: DataFrame) -> DataFrame:
+    """A table or stream of documents in the shape of wiki pages."""
+    return documents.select(
         doc_path(F.col("source"), F.col("doc_id")).alias("path"), F.col("text").alias("body"),
         "lang", "source", "doc_id", "n_chars",
     )
@@ -77,6 +82,10 @@ def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown(docs(spark, sf_dir))
+
+
+def markdown(pages: DataFrame) -> DataFrame:
     """Pages with headings, fences and blank lines at fixed line numbers."""
 
     def md_line(line: Column, i: Column) -> Column:
@@ -93,7 +102,7 @@ def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(lines(F.col("body")), md_line),
         lambda a: F.when(F.size(a) > 0, F.concat(F.array_join(a, "\n"), F.lit("\n"))).otherwise(F.lit("")),
     )
-    return docs(spark, sf_dir).withColumn("body", built)
+    return pages.withColumn("body", built)
 
 
 def chunks(spark: SparkSession, sf_dir: str, signature: str = "structural|hybrid|512|llm=false") -> DataFrame:
