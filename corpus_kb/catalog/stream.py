@@ -65,15 +65,15 @@ def run_status(spark, d):
     o = S.table_stream(spark, d, "orders", _ORDERS)
     final = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "succeeded").otherwise("failed")
     steps = F.array(F.struct(F.lit(0).alias("seq"), F.lit("running").alias("status")), F.struct(F.lit(1).alias("seq"), final.alias("status")))
-    S.fold_batches(S.run_status(o.select(F.col("o_orderkey").alias("run_id"), F.inline(steps))), out, "update", S.write_rows)
-    return S.newest_per_key(spark.read.parquet(f"{out}/rows"), ["run_id"]).select("run_id", "status")
+    S.fold_parts(o.select(F.col("o_orderkey").alias("run_id"), F.inline(steps)), out, S.run_status)
+    return S.run_status(spark.read.parquet(f"{out}/rows")).select("run_id", "status")
 
 
 def progress(spark, d):
     out = shared_dir(spark, "progress")
     c = S.table_stream(spark, d, "lineitem", _LINEITEM)
-    S.fold_batches(S.progress(c.select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("outcome"))), out, "update", S.write_rows)
-    return S.newest_per_key(spark.read.parquet(f"{out}/rows"), ["run_id", "outcome"])
+    S.fold_parts(c.select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("outcome")), out, S.progress)
+    return S.total_progress(spark.read.parquet(f"{out}/rows"))
 
 
 def fresh(spark, d):

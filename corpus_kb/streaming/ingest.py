@@ -80,16 +80,28 @@ def silent_holders(beats: DataFrame, holder: str, at: str, gap: str = "90 second
     )
 
 
+def fold_parts(rows: DataFrame, out: str, fold: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Land what ``fold`` makes of each micro-batch. The stream keeps no state at all: ``fold`` is mergeable, its parts are folded again when they are read.
+
+    Ended runs therefore cost nothing any more, and rows that come late or out of order count as in one batch.
+    """
+    return fold_batches(rows, out, "append", lambda batch, path: write_rows(fold(batch), path))
+
+
 def run_status(events: DataFrame) -> DataFrame:
-    """Latest status per run, for update mode."""
-    return events.groupBy("run_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
+    """Latest status per run; mergeable. Of statuses with one ``seq`` the greatest counts."""
+    return events.groupBy("run_id").agg(F.max_by("status", F.struct("seq", "status")).alias("status"), F.max("seq").alias("seq"))
 
 
 def progress(reports: DataFrame) -> DataFrame:
-    """Counters per run and outcome, for update mode."""
+    """Counters per run and outcome; :func:`total_progress` adds up the parts."""
     return reports.groupBy("run_id", "outcome").agg(F.count("*").alias("n"))
 
 
+def total_progress(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("run_id", "outcome").agg(F.sum("n").alias("n"))
+
+
 def fresh_calls(calls: DataFrame, at: str = "ts") -> DataFrame:
     """Calls without repeats of the same name and arguments, whatever the order of their keys, in a conversation within the watermark."""
     keyed = calls.withColumn("call_key", canonical_arguments(F.col("args")))
@@ -106,38 +118,47 @@ def token_accounts(calls: DataFrame, at: str = "created_at", width: str = "7 day
 
 
 class _Rollback(StatefulProcessor):
-    """Holds the deltas since a conversation's last mark; a mark releases them, a reset drops them."""
+    """Holds the deltas since a conversation's last mark; a mark releases them, a reset drops them.
+
+    The next mark or reset after a delta decides it, found for all rows of a trigger at once by binary search. Held deltas are only read
+    when one comes; until then new ones are appended.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._open = handle.getListState("open", "seq bigint, text string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        held = list(self._open.get()) if self._open.exists() else []
-        done: list[tuple] = []
-        for seq, kind, text in batch[["seq", "kind", "text"]].itertuples(index=False):
-            if kind == "delta":
-                held.append((int(seq), text))
-            elif kind == "mark":
-                done += held
-                held = []
-            else:
-                held = []
-        if held:
-            self._open.put(held)
+        seq, kind, text = batch["seq"].to_numpy(), batch["kind"].to_numpy(), batch["text"].to_numpy(dtype=object)
+        deltas, decisive = np.flatnonzero(kind == "delta"), np.flatnonzero(kind != "delta")
+        decided_by = np.searchsorted(decisive, deltas)
+        still_open = deltas[decided_by == len(decisive)]
+        left = list(zip(seq[still_open].tolist(), text[still_open]))
+        if not len(decisive):
+            self._open.appendList(left)
+            return
+        held = list(self._open.get()) if kind[decisive[0]] == "mark" and self._open.exists() else []
+        if left:
+            self._open.put(left)
         else:
             self._open.clear()
-        if done:
-            yield pd.DataFrame({"conv": key[0], "seq": [s for s, _ in done], "text": [t for _, t in done]})
+        decided = decided_by < len(decisive)
+        released = deltas[decided][kind[decisive[decided_by[decided]]] == "mark"]
+        if held or len(released):
+            yield pd.DataFrame({
+                "conv": key[0], "seq": np.concatenate([np.array([h[0] for h in held], dtype="int64"), seq[released]]),
+                "text": np.concatenate([np.array([h[1] for h in held], dtype=object), text[released]]),
+            })
 
     def close(self) -> None:
         pass
 
 
 def committed_deltas(events: DataFrame) -> DataFrame:
-    """Deltas closed by a mark, as they commit: ``conv, seq, text``.
+    """Deltas closed by a mark, as they commit: ``conv, seq, text``. Triggers come in ``seq`` order of each conversation.
 
     State holds one open round per conversation, not its text; size a trigger with ``maxFilesPerTrigger``.
     """

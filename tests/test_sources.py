@@ -1,5 +1,8 @@
 """File readers and sinks on a temporary tree; streams against their batch twins over several files."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpus_kb import schemas
@@ -89,3 +92,31 @@ def test_stream_chunks_equal_batch_chunks(spark, tmp_path):
     S.ingest_pages(spark.readStream.schema("path string, body string").parquet(str(tmp_path / "in")), str(tmp_path / "out"))
     got = sorted(map(tuple, S.current_chunks(spark, str(tmp_path / "out")).select("chunk_id", "ord").collect()))
     assert got == sorted(map(tuple, C.chunk_pages(pages).select("chunk_id", "ord").collect()))
+
+
+@pytest.mark.parametrize("per_trigger", [1, 3])
+def test_one_conversation_with_a_third_of_the_rows(spark, tmp_path, per_trigger):
+    rng = random.Random(per_trigger)
+    rows = [(7 if rng.random() < 0.34 else rng.randrange(100, 400), i, rng.choices(["delta", "mark", "reset"], [90, 4, 3])[0], None if i % 50 == 0 else f"t{i}") for i in range(6000)]
+    schema = "conv bigint, seq bigint, kind string, text string"
+    for part in range(6):
+        spark.createDataFrame(rows[part * 1000 : part * 1000 + 1000], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(str(tmp_path / "in"))
+    S.run_to_end(S.committed_deltas(stream), str(tmp_path / "out"))
+    twin = V.fold_deltas(spark.createDataFrame(rows, schema), committed_only=True)
+    got = sorted(map(repr, spark.read.parquet(str(tmp_path / "out/rows")).collect()))
+    assert got == sorted(map(repr, twin.collect())) and len(got) > 1000
+
+
+def test_status_and_progress_keep_no_state(spark, tmp_path):
+    rows = [(run, seq, status, outcome) for run in range(50) for seq, status, outcome in ((1, "running", "a"), (2, "running", "b"), (3, "succeeded" if run % 2 else "failed", "a"))]
+    random.Random(3).shuffle(rows)  # statuses arrive in any order over the triggers
+    schema = "run_id bigint, seq bigint, status string, outcome string"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 50 : part * 50 + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for name, fold, total, columns in (("status", S.run_status, S.run_status, ["run_id", "status", "seq"]), ("progress", S.progress, S.total_progress, ["run_id", "outcome", "n"])):
+        query = S.fold_parts(stream, str(tmp_path / name), fold)
+        assert len(query.recentProgress) >= 3 and all(not p["stateOperators"] for p in query.recentProgress)
+        landed = total(spark.read.parquet(str(tmp_path / name / "rows")))
+        assert sorted(map(tuple, landed.select(columns).collect())) == sorted(map(tuple, fold(spark.createDataFrame(rows, schema)).select(columns).collect()))
