@@ -144,29 +144,48 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2, relations: list[st
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 3) -> DataFrame:
     """A shortest path for each (src, dst) pair, smallest node sequence on ties: ``src, dst, hops, path``.
 
-    Search runs per source; of all paths to a node only the smallest is carried on. Sources whose pairs are all found stop, and the
-    last hop only takes edges into a wanted node, so a hub in front of the goal is never fanned out.
+    Both ends search towards each other, once per distinct source and goal. Each hop moves the side whose frontier has fewer edges, so
+    a hub between them is reached from both sides and fanned out from neither; the last hop only takes edges into the other side's
+    frontier. Of all paths to a node only the smallest is carried on: every shortest path of a pair passes one node where the sides
+    meet, so the smallest first half and the smallest second half make the smallest path. Pairs that are found leave both searches.
     """
-    steps = _both_ways(edges).select("node", "other").distinct()
-    wanted = pairs.select("src", "dst").distinct()
+    steps = materialize(_both_ways(edges).select("node", "other").distinct(), "steps")
+    degrees = materialize(steps.groupBy("node").agg(F.count("*").alias("edges")), "degrees")
+    wanted = pairs.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
     found = wanted.filter(F.col("src") == F.col("dst")).select("src", "dst", F.lit(0).cast("bigint").alias("hops"), F.array("src").alias("path"))
-    missing = wanted.filter(F.col("src") != F.col("dst"))
-    seen = missing.select("src", F.col("src").alias("node")).distinct()
-    frontier = seen.withColumn("path", F.array("src"))
+    missing = materialize(wanted.filter(F.col("src") != F.col("dst")), "pairs")
+    sides = {}
+    for end in ("src", "dst"):
+        start = missing.select(F.col(end).alias("end"), F.col(end).alias("node")).distinct()
+        sides[end] = (start, start.withColumn("path", F.array("node")))
+
+    def moved(end: str, goals: DataFrame | None) -> DataFrame:
+        """Nodes one edge further from their ``end``, with the smallest path that lies between, written from source to goal."""
+        seen, frontier = sides[end]
+        usable = steps if goals is None else steps.join(goals.select(F.col("node").alias("other")).distinct(), "other", "left_semi")
+        longer = F.concat("path", F.array("other")) if end == "src" else F.concat(F.array("other"), "path")
+        return (
+            frontier.join(usable, "node").groupBy("end", F.col("other").alias("node")).agg(F.min(longer).alias("path"))
+            .join(seen, ["end", "node"], "left_anti")
+        )
+
     for hop in range(1, max_hops + 1):
-        usable = steps.join(missing.select(F.col("dst").alias("other")).distinct(), "other", "left_semi") if hop == max_hops else steps
-        reached = (
-            frontier.join(usable, "node").groupBy("src", F.col("other").alias("node"))
-            .agg(F.min(F.concat("path", F.array("other"))).alias("path")).join(seen, ["src", "node"], "left_anti")
+        cost = {end: frontier.join(degrees, "node").agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0] for end, (_, frontier) in sides.items()}
+        end, other = ("src", "dst") if cost["src"] <= cost["dst"] else ("dst", "src")
+        reached = materialize(moved(end, sides[other][1] if hop == max_hops else None), "paths")
+        sides[end] = (sides[end][0].unionByName(reached.select("end", "node")), reached)
+        first, second = sides["src"][1], sides["dst"][1]
+        # the meeting node stands in both halves
+        whole = F.concat("first", F.slice("second", F.lit(2), F.lit(2147483647)))
+        hits = materialize(
+            missing.join(first.select(F.col("end").alias("src"), "node", F.col("path").alias("first")), "src")
+            .join(second.select(F.col("end").alias("dst"), "node", F.col("path").alias("second")), ["dst", "node"])
+            .groupBy("src", "dst").agg(F.min(whole).alias("path")), "hits",
         )
-        if hop == max_hops:
-            reached = reached.join(missing.select("src", F.col("dst").alias("node")), ["src", "node"], "left_semi")
-        reached = materialize(reached, "paths")
-        hits = missing.join(reached.withColumnRenamed("node", "dst"), ["src", "dst"])
         found = found.unionByName(hits.select("src", "dst", F.lit(hop).cast("bigint").alias("hops"), "path"))
         missing = missing.join(hits.select("src", "dst"), ["src", "dst"], "left_anti")
-        seen = seen.unionByName(reached.select("src", "node"))
-        frontier = reached.join(missing.select("src").distinct(), "src", "left_semi")
+        for e, (seen, frontier) in sides.items():
+            sides[e] = (seen, frontier.join(missing.select(F.col(e).alias("end")).distinct(), "end", "left_semi"))
     return pairs.join(found, ["src", "dst"]).select("src", "dst", "hops", "path")
 
 
