@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpus_kb.catalog.base import with_views
 from corpus_kb.functions.text import clip, lines
+from corpus_kb.operators import graph as G
 from corpus_kb.operators import outline as O
 from corpus_kb.sources import tables as T
 
@@ -88,6 +89,11 @@ ENTRIES = {
         lambda s, d: O.symbol_table(T.source_texts(s, d)),
         with_views(f"SELECT repo, rel, kind, name FROM ({_DECL}) x WHERE (kind = 'fn') OR ends_with(rel, '.py')"),
     ),
+    "G10_symbol_rows": (
+        lambda s, d: G.symbol_rows(O.symbol_table(T.source_texts(s, d))),
+        with_views(f"""SELECT DISTINCT concat('sym_', left(sha256(concat_ws(chr(10), repo, rel, kind, name)), 16)) AS id, repo, rel AS path, name, kind,
+            concat('ent_', left(sha256(concat('symbol:', repo, '/', rel)), 16)) AS entity_id FROM ({_DECL}) x WHERE kind = 'fn' OR ends_with(rel, '.py')"""),
+    ),
     "P18_F22_file_outline": OUTLINE,
     "P18_F22_file_outline_whole": OUTLINE,
     "A19_outline_summary": (

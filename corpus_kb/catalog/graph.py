@@ -44,6 +44,14 @@ def path_pairs(spark, d):
     return T.table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_name").alias("src"), F.concat(F.lit("region:"), first).alias("dst"))
 
 
+def nation_pairs(spark, d):
+    """Every supplier with the nation of the first name in its region: one hop, or three by way of the region."""
+    nation = T.table(spark, d, "nation")
+    first = nation.groupBy("n_regionkey").agg(F.concat(F.lit("nation:"), F.min("n_name")).alias("dst"))
+    home = T.table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return home.join(first, "n_regionkey").select(F.concat(F.lit("supplier:"), "s_name").alias("src"), "dst")
+
+
 def retired(spark, d):
     e = T.entities(spark, d).withColumn("path", F.when(F.col("kind").isin("customer", "supplier"), F.col("name")))
     known = T.table(spark, d, "orders").join(T.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("path"))
@@ -113,6 +121,11 @@ ENTRIES = {
     "G4_export_nodes": (
         lambda s, d: G.export_nodes(T.entities(s, d), 1000), with_views("SELECT * FROM f_entities WHERE status = 'active' ORDER BY name, canonical_key LIMIT 1000"),
     ),
+    "G4_export_whole": (
+        lambda s, d: G.export_edges(T.edges(s, d)).select("src", "dst", "rel").unionByName(
+            G.export_nodes(T.entities(s, d)).select(F.col("canonical_key").alias("src"), F.col("name").alias("dst"), F.col("kind").alias("rel"))),
+        with_views("SELECT src, dst, rel FROM f_edges UNION ALL SELECT canonical_key, name, kind FROM f_entities WHERE status = 'active'"),
+    ),
     "G5_k_hop_neighbourhood": (
         lambda s, d: G.k_hop(T.edges(s, d), regions(s, d), 3, ["part_of"]),
         with_views("""SELECT seed, node, min(hop)::bigint AS hop FROM (
@@ -158,6 +171,12 @@ ENTRIES = {
             concat('supplier:', s_name, ' > nation:', n_name, ' > ', r) AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey,
             (SELECT 'region:' || min(r_name) AS r, arg_min(r_regionkey, r_name) AS rk FROM region) WHERE n_regionkey = rk"""),
     ),
+    "G12_paths_across_regions": (
+        lambda s, d: G.shortest_paths(T.edges(s, d), nation_pairs(s, d), 3).withColumn("path", F.array_join("path", " > ")),
+        with_views("""SELECT src, dst, CASE WHEN n = t THEN 1 ELSE 3 END::bigint AS hops, CASE WHEN n = t THEN concat(src, ' > ', dst) ELSE concat(src, ' > nation:', n, ' > region:', r_name, ' > ', dst) END AS path FROM
+            (SELECT 'supplier:' || s_name AS src, n_name AS n, t, 'nation:' || t AS dst, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+             JOIN (SELECT n_regionkey AS k, min(n_name) AS t FROM nation GROUP BY n_regionkey) ON k = n_regionkey)"""),
+    ),
     "G13_retire_vanished_entities": (
         retired,
         with_views("""SELECT canonical_key, CASE WHEN kind IN ('customer', 'supplier') AND name NOT IN (SELECT c_name FROM orders JOIN customer ON o_custkey = c_custkey) THEN 'retired' ELSE status END AS status FROM f_entities"""),

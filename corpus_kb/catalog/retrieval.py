@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpus_kb.catalog.base import with_views
-from corpus_kb.functions.terms import SEPARATORS, match_expression, query_terms
+from corpus_kb.functions.terms import FILLER, SEPARATORS, match_expression, query_terms
 from corpus_kb.operators import delta as D
 from corpus_kb.operators import graph as G
 from corpus_kb.operators import index as I
@@ -186,7 +186,30 @@ def stored_index(spark, d):
 _GRAMS = """SELECT gram, chunk_id, count(*) AS tf FROM (SELECT chunk_id, substr(t, unnest(range(1, length(t) - 1)), 3) AS gram
     FROM (SELECT chunk_id, lower(unnest([title, summary, body])) AS t FROM f_chunks)) GROUP BY gram, chunk_id"""
 
+# fixed value: "how are database indexes built and queried", without spaces
+_RUN = "数据库索引怎么构建查询"
+_KNOWN = ", ".join(f"'{w}'" for w in FILLER)
+
+
+def cjk_questions(spark, d):
+    """Questions that open with a run of 5 to 10 characters without spaces."""
+    q = T.questions(spark, d)
+    return q.select("query_id", F.concat(F.left(F.lit(_RUN), (5 + F.col("query_id") % 6).cast("int")), F.lit(" "), "query").alias("query"))
+
+
+def _run_windows(n: int, quota: int) -> str:
+    return f"list_filter(list_transform(range(1, length(s) - {n - 2}), lambda i: substr(s, i::int, {n})), lambda w: w NOT IN ({_KNOWN}))[:{quota}]"
+
+
+_CJK_TERMS = f"""SELECT query_id, pos - 1 AS pos, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM
+    (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(k)) AS pos FROM
+      (SELECT query_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS k FROM
+        (SELECT query_id, list_concat({_run_windows(4, 4)}, {_run_windows(3, 4)}, {_run_windows(2, 10)},
+            regexp_split_to_array(translate(lower(query), '%"*''\\', ''), '[\\s{_CLASS}]+')) AS tokens FROM (SELECT *, left('{_RUN}', (5 + query_id % 6)::int) AS s FROM questions)))
+      WHERE length(term) >= 2 GROUP BY query_id, term)"""
+
 ENTRIES = {
+    "F23_cjk_query_terms": (lambda s, d: S.query_terms(cjk_questions(s, d)), with_views(_CJK_TERMS, questions="SELECT * FROM f_bench")),
     "F7_query_terms": (
         lambda s, d: S.query_terms(T.questions(s, d), max_terms=MAX_TERMS), _sql("SELECT * FROM terms", _BENCH, *_UP_TO_TERMS),
     ),
@@ -252,7 +275,7 @@ ENTRIES = {
             grams=_GRAMS, now="SELECT c.* FROM f_chunks c JOIN f_docs d ON c.page_path = d.path WHERE d.lang <> 'de' AND (d.lang <> 'es' OR c.ord = 0)"),
     ),
     "R7_context_assembly": (
-        lambda s, d: C.contexts(hits(s, d)),
+        lambda s, d: C.contexts(hits(s, d), C.EXCERPT_CHARS),
         _sql("""SELECT query_id, string_agg(concat('### [', pos, '] ', kind, ' · ', CASE WHEN page_path IS NULL THEN '(repository graph)' ELSE concat(page_path, ':', start_line, '-', end_line) END,
             chr(10), 'Title: ', title, chr(10), 'Summary: ', summary, chr(10), CASE WHEN body IS NULL THEN '' ELSE concat('Content:', chr(10), left(body, 2400), chr(10)) END, chr(10)), '' ORDER BY pos) AS context
             FROM detailed GROUP BY query_id""", _BENCH, *_ALL),

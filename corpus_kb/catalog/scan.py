@@ -168,7 +168,7 @@ ENTRIES = {
             FROM f_docs, (VALUES (1), (2)) v(n) GROUP BY ALL) ORDER BY prefix LIMIT 200"""),
     ),
     "L10_largest_files": (
-        lambda s, d: T.files(s, d).filter(F.col("language").isNotNull()).orderBy(F.desc("size"), "rel").limit(14).select("rel", "size"),
+        lambda s, d: S.largest_files(T.files(s, d), 14),
         with_views("SELECT rel, size FROM f_files WHERE language IS NOT NULL ORDER BY size DESC, rel LIMIT 14"),
     ),
     "F10_path_functions": (

@@ -70,7 +70,19 @@ def model_docs(spark, d):
     return T.markdown_docs(spark, d).withColumn("answer", answer)
 
 
+def front_pages(spark, d):
+    """Page files with front matter, but for one language."""
+    head = F.concat(F.lit("---\ntitle: "), "source", F.lit("\ntype: "), "lang", F.lit("\n---\n\n"))
+    return T.docs(spark, d).withColumn("file", F.concat(F.when(F.col("lang") != "fr", head).otherwise(F.lit("")), "body"))
+
+
 ENTRIES = {
+    "F11_front_matter_split": (
+        lambda s, d: front_pages(s, d).select("path", M.front_matter(F.col("file")).alias("fields"), M.strip_front_matter(F.col("file")).alias("rest")).select(
+            "path", F.col("fields")["title"].alias("title"), F.col("fields")["type"].alias("page_type"), F.sha2("rest", 256).alias("rest")),
+        with_views("""SELECT path, CASE WHEN lang <> 'fr' THEN source END AS title, CASE WHEN lang <> 'fr' THEN lang END AS page_type,
+            sha256(CASE WHEN lang <> 'fr' THEN ltrim(body, chr(10)||chr(13)) ELSE body END) AS rest FROM f_docs"""),
+    ),
     "W2_chunk_ordinals": (
         lambda s, d: T.chunks(s, d).select("page_path", "ord", "start_line", "end_line"),
         with_views("SELECT page_path, ord, start_line, end_line FROM f_cut"),

@@ -60,6 +60,17 @@ def describes_relations(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     ).distinct()
 
 
+def symbol_rows(symbols: DataFrame) -> DataFrame:
+    """Stored symbols of ``repo, rel, kind, name`` rows: ``id, repo, path, name, kind, entity_id``.
+
+    A symbol that a file declares more than once is one row; ``entity_id`` is the vertex that :func:`seed_entities` makes of its file.
+    """
+    return symbols.select("repo", "rel", "kind", "name").distinct().select(
+        F.concat(F.lit("sym_"), F.left(F.sha2(F.concat_ws("\n", "repo", "rel", "kind", "name"), 256), F.lit(16))).alias("id"),
+        "repo", F.col("rel").alias("path"), "name", "kind", entity_id(_key("symbol", "rel")).alias("entity_id"),
+    )
+
+
 def upsert_entities(existing: DataFrame, incoming: DataFrame, merge_props: bool = False) -> DataFrame:
     """Entities after a batch of writes (``seq`` orders them): first id kept, last writer's fields.
 

@@ -115,6 +115,12 @@ def detect_modules(files: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked.select("repo", "key", label.alias("label"), "hint", "files")
 
 
+def largest_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Source files by size, largest first and ties by path: ``rel, size``; with a limit each task keeps its own first rows only."""
+    order = files.filter(F.col("language").isNotNull()).select("rel", "size")
+    return order if limit is None else order.orderBy(F.desc("size"), "rel").limit(limit)
+
+
 def module_representatives(files: DataFrame) -> DataFrame:
     """First file of each top folder that holds code of the main languages."""
     top = F.split_part("rel", F.lit("/"), F.lit(1))
