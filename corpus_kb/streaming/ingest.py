@@ -1,6 +1,6 @@
 """Structured Streaming jobs. Each equals its batch twin on replayed input.
 
-State that could grow for ever is bounded by a watermark of ten minutes; later rows are dropped there.
+State that could grow for ever is bounded by a watermark of ten minutes, where later rows are dropped, or is not kept at all.
 Checkpoints and outputs live in folders the caller names, on storage all executors share.
 """
 
@@ -50,12 +50,6 @@ def write_rows(batch: DataFrame, path: str) -> None:
     batch.write.mode("overwrite").parquet(path)
 
 
-def newest_per_key(landed: DataFrame, keys: list[str]) -> DataFrame:
-    """Current view of an update-mode stream: the row of the last batch per key."""
-    rest = [c for c in landed.columns if c not in (*keys, "batch")]
-    return landed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, *[F.col("v")[c].alias(c) for c in rest])
-
-
 def ingest_pages(pages: DataFrame, out: str, target_tokens: int = 512) -> StreamingQuery:
     """Chunk pages (``path, body``) as they land. Chunking is stateless; each batch also logs its pages."""
 
