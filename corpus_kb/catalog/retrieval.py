@@ -93,7 +93,7 @@ def entities(spark, d):
 def _matches(spark, d):
     terms = S.query_terms(T.questions(spark, d), max_terms=MAX_TERMS)
     chunks = T.chunks(spark, d)
-    found = S.match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"])
+    found = S.match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"], by_words=True)
     return terms, chunks, materialize(found, "matches")
 
 

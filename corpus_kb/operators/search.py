@@ -6,7 +6,10 @@ against its text. No term-by-text product is ever formed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -25,6 +28,8 @@ ENTITY_TEXT = ["name", "canonical_key"]
 MODES = ("auto", "fts5", "like")
 # terms are at most a few hundred bytes each, so a broadcast dictionary stays in the tens of megabytes
 MAX_BROADCAST_TERMS = 100_000
+# ASCII characters that are neither letters nor digits
+SEPARATORS = r"[\x00-/:-@\[-`{-\x7f]+"
 # scores are rounded to nine digits; bounds keep well clear of that
 MARGIN = 1e-6
 
@@ -92,26 +97,56 @@ def _match_by_index(dictionary: DataFrame, index: DataFrame, texts: DataFrame, i
     return _verified(candidates.join(texts, id_col), id_col)
 
 
+def _match_by_words(dictionary: DataFrame, match: Callable[[DataFrame, DataFrame, str], DataFrame], texts: DataFrame, id_col: str) -> DataFrame:
+    """Terms meet the distinct words of all texts, and texts meet the words found: no text is searched for a term.
+
+    A term of letters and digits lies inside one run of them, so it occurs in a text where it occurs in the text's words, as often as in all of
+    them together. Words are written once; the vocabulary is counted with map-side combine, and ``match`` is asked about it alone.
+    """
+    def words(text: str, in_head: bool) -> Column:
+        runs = F.filter(F.split(F.col(text), SEPARATORS), lambda w: w != "")
+        return F.transform(runs, lambda w: F.struct(w.alias("word"), F.lit(in_head).alias("in_head")))
+
+    held = materialize(texts.select(
+        F.monotonically_increasing_id().alias("_row"), id_col, "doc_len", words("_head", True).alias("_head"), words("_text", False).alias("_text")), "words")
+    vocabulary = held.select(F.explode("_text").alias("w")).select(F.col("w.word").alias("word")).distinct()
+    as_texts = vocabulary.select("word", F.lit(0).cast("bigint").alias("doc_len"), F.lit("").alias("_head"), F.col("word").alias("_text"))
+    known = materialize(match(dictionary, as_texts, "word").select("word", "term", "tf"), "found_words")
+    placed = held.select("_row", id_col, "doc_len", F.explode(F.concat("_head", "_text")).alias("w")).select("_row", id_col, "doc_len", "w.*")
+    # words of the head stand in the text as well, so only those of the text count
+    times = F.sum(F.when(F.col("in_head"), 0).otherwise(F.col("tf")))
+    # all of an item in the key: values of fixed width are aggregated by hash, strings would be sorted
+    return placed.join(known, "word").groupBy("_row", id_col, "doc_len", "term").agg(F.max("in_head").alias("in_head"), times.alias("_times")).select("term", id_col, "doc_len", "in_head", F.when(F.length("term") >= GRAM, F.col("_times")).otherwise(1).cast("bigint").alias("tf"))
+
+
 def match_terms(
     dictionary: DataFrame, items: DataFrame, id_col: str, head: list[str], body: list[str], postings: DataFrame | None = None,
-    max_broadcast_terms: int = MAX_BROADCAST_TERMS, store: IndexStore | None = None,
+    max_broadcast_terms: int = MAX_BROADCAST_TERMS, store: IndexStore | None = None, by_words: bool = False,
 ) -> DataFrame:
     """Every (term, item) with the term as a substring: ``term, id, doc_len, in_head, tf``.
 
     ``store`` is a stored index of the items, of which only the buckets that the terms need are read; ``postings`` is a :func:`gram_sets`
-    index that is read whole. Without one, a dictionary whose
-    counted size is within ``max_broadcast_terms`` is matched in a single scan; a larger one goes through
-    grams derived from the items.
+    index that is read whole. Without one, a dictionary whose counted size is within ``max_broadcast_terms`` is matched in a single scan; a
+    larger one goes through grams derived from the items. ``by_words`` looks terms of letters and digits up in the items' distinct
+    words instead of the items: one exchange of the matches, but no text is searched, which pays for many terms.
     """
     texts = _texts(items, id_col, head, body)
     if store is not None:
         return _verified(candidates(store, dictionary).join(texts, id_col), id_col)
     if postings is not None:
         return _match_by_index(dictionary, postings, texts, id_col)
-    size = dictionary.limit(max_broadcast_terms + 1).agg(F.count("*").alias("n"), F.min(F.length("term")).alias("shortest")).first()
-    if size["n"] <= max_broadcast_terms:
-        return _match_by_scan(dictionary, size["shortest"] or GRAM, texts, id_col)
-    return _match_by_index(dictionary, gram_sets(items, id_col, head + body), texts, id_col)
+    plain = ~F.col("term").rlike(SEPARATORS) & F.lit(by_words)
+    size = dictionary.agg(F.count("*").alias("n"), F.count_if(plain).alias("plain"), F.min(F.length("term")).alias("shortest")).first()
+
+    def match(dictionary: DataFrame, texts: DataFrame, id_col: str) -> DataFrame:
+        if size["n"] <= max_broadcast_terms:
+            return _match_by_scan(dictionary, size["shortest"] or GRAM, texts, id_col)
+        return _match_by_index(dictionary, gram_sets(texts, id_col, ["_text"]), texts, id_col)
+
+    parts = [_match_by_words(dictionary.filter(plain), match, texts, id_col)] if size["plain"] else []
+    if size["plain"] < size["n"] or not parts:
+        parts.append(match(dictionary.filter(~plain) if parts else dictionary, texts, id_col))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def bm25_hits(terms: DataFrame, matches: DataFrame, items: DataFrame, id_col: str, columns: list[str], limit: int) -> DataFrame:
@@ -209,7 +244,7 @@ def search(
     # matches and ranked hits are each read several times below: written once, narrow rows only
     terms = query_terms(queries, compat, max_terms)
     matches = materialize(
-        match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"], postings, store=store), "matches"
+        match_terms(terms.select("term").distinct(), chunks, "chunk_id", ["title", "summary"], ["body"], postings, store=store, by_words=True), "matches"
     )
     if mode == "like":
         ranked = None

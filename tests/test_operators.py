@@ -1,6 +1,7 @@
 """Operators on small tables: golden cases, replay, brute force, skew."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -82,6 +83,22 @@ def test_scan_index_and_brute_force_agree(spark, tmp_path):
         assert {tuple(r) for r in got.select(*cols).collect()} == brute
 
 
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_matching_by_words_against_brute_force(spark, most):
+    """Terms that hold marks are searched in the texts, all others in the distinct words; rows of equal ids stay apart."""
+    rows = [(c, p, t, s, re.sub("alpha beta", "alpha.beta/beta", b)) for c, p, t, s, b in random_texts(90, 5)]
+    rows += [("ck_000", "p0", "Anana", "a", "ananana banana_ana"), ("ck_zzz", "p1", "", "", "")]
+    table = chunk_table(spark, rows)
+    wanted = ["alpha", "a", "be", "lta", "ünï", "灯塔", "塔", "ana", "zzz", "alpha.beta", "a b"]
+    terms = spark.createDataFrame([(w,) for w in wanted], "term string")
+    got = S.match_terms(terms, table, "chunk_id", ["title", "summary"], ["body"], max_broadcast_terms=most, by_words=True)
+    brute = []
+    for cid, _, title, summary, body in rows:
+        head, text = f"{title}\n{summary}".lower(), f"{title}\n{summary}\n{body}".lower()
+        brute += [(w, cid, w in head, text.count(w) if len(w) >= 3 else 1) for w in wanted if w in text]
+    assert sorted(tuple(r) for r in got.select("term", "chunk_id", "in_head", "tf").collect()) == sorted(brute)
+
+
 def random_page(rng):
     out = []
     for _ in range(rng.randint(0, 60)):
