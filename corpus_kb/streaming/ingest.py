@@ -21,11 +21,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet table of a folder as a file stream with an explicit schema."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A parquet table of a folder, one file or a folder of parts, as a file stream with an explicit schema.
+
+    The path is a pattern that only the table matches: a stream reads a single file by a pattern only.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
 
 
 def run_to_end(rows: DataFrame, out: str, mode: str = "append") -> StreamingQuery:

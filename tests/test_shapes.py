@@ -1,7 +1,9 @@
 """Table shapes on rows that larger inputs bring: shared addresses, chunks without grams."""
 
+from corpus_kb import schemas
 from corpus_kb.catalog import retrieval as queries
 from corpus_kb.sources import tables as T
+from corpus_kb.streaming import ingest
 
 
 def test_links_of_pages_that_share_an_address(spark, tmp_path):
@@ -22,3 +24,16 @@ def test_indexed_chunks_without_grams_are_not_missing(spark, tmp_path):
     want = {r.chunk_id for r in T.chunks(spark, d).collect() if r.page_path in ("d/src2/2.md", "d/src3/3.md")}
     got = [r.chunk_id for r in queries.index_gap(spark, d).collect()]
     assert sorted(got) == sorted(want) and len(got) == 2
+
+
+def test_table_streams_read_folders_of_parts_and_single_files(spark, tmp_path):
+    documents(spark, tmp_path, [("one", "en"), ("two", "fr"), ("three", "de")])
+    parts = tmp_path / "documents.parquet"
+    single = tmp_path / "single"
+    single.mkdir()
+    spark.read.parquet(str(parts)).coalesce(1).write.parquet(f"{tmp_path}/whole")
+    next((tmp_path / "whole").glob("*.parquet")).rename(single / "documents.parquet")
+    for k, folder in enumerate((tmp_path, single)):
+        stream = ingest.table_stream(spark, str(folder), "documents", schemas.DOCUMENTS)
+        ingest.run_to_end(stream, f"{tmp_path}/out{k}")
+        assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out{k}/rows").collect()) == ["one", "three", "two"]
