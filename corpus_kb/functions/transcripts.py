@@ -38,33 +38,38 @@ def _containers() -> list[tuple[str, str]]:
     return [(re.escape(o) + ("(?!s)" if o.endswith("_call") else ""), re.escape(c)) for o, c in CONTAINERS]
 
 
+def _any_of(patterns: list[str]) -> str:
+    """The patterns in their order, looked at only where the first character of one stands."""
+    return rf"(?=[{''.join(sorted({p.lstrip(chr(92))[0] for p in patterns}))}])(?:{'|'.join(patterns)})"
+
+
 def _container_regex() -> str:
     closed = [f"{o}(?s:.*?){c}" for o, c in _containers()]
-    unclosed = "(?:" + "|".join(o for o, _ in _containers()) + r")[^\n]*(?:\n|\z)"
-    return "|".join([*closed, unclosed])
+    return _any_of([*closed, *[rf"{o}[^\n]*(?:\n|\z)" for o, _ in _containers()]])
 
 
 def _line_regex() -> str:
     starts = "|".join(re.escape(s) for s in TRANSCRIPT_LINE_STARTS)
-    tags = "|".join(re.escape(t) for t in TRANSCRIPT_LINE_TAGS)
-    return rf"^\s*(?:{starts})|{tags}"
+    return rf"^\s*(?:{starts})|{_any_of([re.escape(t) for t in TRANSCRIPT_LINE_TAGS])}"
 
 
 def has_transcript(text: Column) -> Column:
-    opening = "|".join(o for o, _ in _containers())
+    opening = _any_of([o for o, _ in _containers()])
     return text.rlike(rf"(?m){opening}|{_line_regex()}")
 
 
 def strip_calls(text: Column) -> Column:
     """Remove textual tool calls; an unclosed one loses only its own line. Clean text is unchanged."""
-    cleaned = F.filter(lines(F.regexp_replace(text, _container_regex(), "")), lambda l: ~l.rlike(_line_regex()))
-    return F.when(has_transcript(text), strip(F.array_join(cleaned, "\n"))).otherwise(text)
+    def kept(rest: Column) -> Column:
+        return F.array_join(F.filter(lines(rest), lambda l: ~l.rlike(_line_regex())), "\n")
+
+    return bind(text, lambda t: F.when(has_transcript(t), strip(bind(F.regexp_replace(t, _container_regex(), ""), kept))).otherwise(t))
 
 
 def sanitize_body(text: Column) -> Column:
     """Generated body without transcripts, JSON call lines, draft marks and piled-up blank lines."""
-    marks = "|".join(re.escape(m) for m in (*JSON_CALL_MARKS, DRAFT_MARKER))
-    kept = F.filter(lines(strip_calls(text)), lambda l: ~l.rlike(marks))
+    marks = _any_of([re.escape(m) for m in (*JSON_CALL_MARKS, DRAFT_MARKER)])
+    kept = bind(strip_calls(text), lambda t: F.filter(lines(t), lambda l: ~l.rlike(marks)))
     return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 

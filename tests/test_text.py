@@ -224,3 +224,10 @@ def test_deep_page_has_no_gaps(spark):
     got = {r["path"]: r["gaps"] for r in Q.quality_report(spark.createDataFrame(rows, "path string, page_type string, body string")).collect()}
     assert got["deep"] == [] and got["placeholder"] == ["placeholder"]
     assert {"chars", "sections", "table", "diagram", "claims_section", "duties"} <= set(got["thin"])
+
+
+def test_a_body_is_cleaned_once(spark):
+    """The patterns of containers and lines stand once in the plan, however often the cleaned text is used."""
+    df = spark.createDataFrame([("x",)], "t string").select(R.sanitize_body(F.col("t")).alias("t"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(?s:.*?)</tool_calls>") == 1 and plan.count("rlike") + plan.count("RLIKE") <= 3
