@@ -61,8 +61,9 @@ def replace_pages(
     One path for replacing pages, deleting them (no incoming chunks) and appending new ones: rows of the pages' old chunks leave all three
     tables, and only the incoming chunks are indexed (``index``) and searched for names (``mention``).
     """
-    gone = pages.select("page_path").distinct()
-    old = chunks.join(gone, "page_path", "left_semi").select("chunk_id")
+    # the narrow keys are held by hash, so neither bodies nor postings are sorted for a join
+    gone = pages.select("page_path").distinct().hint("shuffle_hash")
+    old = chunks.join(gone, "page_path", "left_semi").select("chunk_id").hint("shuffle_hash")
     return (
         chunks.join(gone, "page_path", "left_anti").unionByName(incoming.select(*chunks.columns)),
         postings.join(old, "chunk_id", "left_anti").unionByName(index(incoming).select(*postings.columns)),

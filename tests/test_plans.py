@@ -71,3 +71,15 @@ def test_no_query_forms_a_product(spark):
         if not name.startswith(skipped):
             text = plan(fn(spark, "/root/testdata/sf0.001"))
             assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_replacing_pages_sorts_no_postings(spark):
+    chunks = spark.createDataFrame([("c1", "p1", "aa"), ("c2", "p2", "bb")], "chunk_id string, page_path string, body string")
+    rows = lambda c: c.select("chunk_id", F.lit("g").alias("gram"))
+    pages = spark.createDataFrame([("p1",)], "page_path string")
+    c, p, m = D.replace_pages(chunks, rows(chunks), rows(chunks), chunks.limit(0), pages, rows, rows)
+    assert [r.chunk_id for r in p.collect()] == ["c2"] == [r.chunk_id for r in m.collect()]
+    for df in (c, p, m):
+        # held by hash from the start, before any run-time statistics
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
