@@ -83,3 +83,21 @@ def test_replacing_pages_sorts_no_postings(spark):
         # held by hash from the start, before any run-time statistics
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_details_of_hits_shuffle_no_chunk_and_no_entity_within_the_bound(spark, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(S, "MAX_BROADCAST_HITS", most)
+    chunks = spark.range(300).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), F.lit("t").alias("title"), F.lit("s").alias("summary"), F.lit("p").alias("page_path"),
+                                     F.lit("body").alias("body"), F.col("id").alias("start_line"), F.col("id").alias("end_line"))
+    entities = spark.range(300).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"), F.lit("n").alias("name"), F.lit("k").alias("canonical_key"))
+    top = spark.createDataFrame([(1, 1, "chunk", "c7", 1.0, 1.0), (1, 2, "nation", "e9", 1.0, 1.0), (2, 1, "chunk", "c7", 1.0, 1.0)], "query_id long, pos long, kind string, id string, score double, rank double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = S._with_details(top, chunks, entities)
+        assert sorted((r.query_id, r.pos, r.id, r.title, r.body) for r in df.collect()) == [(1, 1, "c7", "t", "body"), (1, 2, "e9", "n", None), (2, 1, "c7", "t", "body")]
+        text = plan(S._with_details(top, chunks, None))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("SortMergeJoin" in text) == (most == 0) and ("hashpartitioning" in text) == (most == 0)
