@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,9 @@ ORDER = 8
 DISCOUNT, PRIOR, SHARE, CALIBRATION_ROWS = 0.75, 4.0, 0.01, 20_000
 #: Slots of the bit map of labelled ids.
 SLOT_BITS = 23
-#: Distinct words that a worker keeps the ratio of; bytes of text whose words are looked up together; rows of a batch that leaves a worker.
-KEPT_WORDS, SLICE_BYTES, OUT_ROWS = 100_000, 1 << 20, 200_000
+#: Distinct words that a batch keeps the figure of; bytes of text whose words are looked up together; rows of a batch that leaves a worker. Small, since
+#: workers serve later stages and keep what they once took from the system.
+KEPT_WORDS, SLICE_BYTES, OUT_ROWS = 30_000, 1 << 17, 50_000
 _MARKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 CLASSES = ("toxic", "ordinary")
 
@@ -76,10 +77,6 @@ class Ratio:
     grams: np.ndarray
     ratios: np.ndarray
     unseen: np.ndarray
-    known: dict[bytes, float] = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
 
     def of_grams(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.grams):
@@ -95,8 +92,7 @@ class Ratio:
         grams, starts = letter_grams(words)
         return np.add.reduceat(self.of_grams(grams).astype(np.float64), starts) if words else np.zeros(0)
 
-    def _figures(self, texts: list[list[bytes]]) -> list[float]:
-        known = self.known
+    def _figures(self, texts: list[list[bytes]], known: dict[bytes, float]) -> list[float]:
         if len(known) > KEPT_WORDS:
             known.clear()
         new = list({w for words in texts for w in words if w not in known})
@@ -107,14 +103,15 @@ class Ratio:
     def figures(self, texts: Iterable[bytes]) -> np.ndarray:
         """Length-normalised log-likelihood difference of each text."""
         out: list[float] = []
+        known: dict[bytes, float] = {}
         held, size = [], 0
         for text in texts:
             held.append(model_words(text))
             size += len(text)
             if size > SLICE_BYTES:
-                out += self._figures(held)
+                out += self._figures(held, known)
                 held, size = [], 0
-        return np.array(out + self._figures(held), float)
+        return np.array(out + self._figures(held, known), float)
 
 
 @dataclass
@@ -280,6 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
     counted = arrow_map(chosen, "doc_id long, label int, x double",
                         lambda b: {"doc_id": b["doc_id"], "label": b["label"], "x": shared.value.figures(t.as_py() for t in b["text"])})
     figures = counted.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("s")).orderBy("doc_id").select("s.*").toPandas()
+    shared.unpersist()
     return ratio, calibrate(figures["x"].to_numpy(float), figures["label"].to_numpy(float))
 
 
