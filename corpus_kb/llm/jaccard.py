@@ -15,9 +15,10 @@ for the dear ones; the same order on both sides makes the guarantee hold for any
   H + 1 smallest shingles, of which any two similar sets share one.
 
 Entries of equal sets are collapsed first, and those of one batch of documents before the exchange, so groups of copies and frequent passages
-reach the exchange once a batch. In each group of equal entries every member is compared exactly with the smallest. The links give components;
-then in each group that still spans several components members of different components are compared through bit maps whose
-difference is a lower bound of that of the sets, and the rest exactly. Members of one component need no further comparison,
+reach the exchange once a batch. Entries are told by 48 bits of their hash and exchanged in packs, one for each batch and bucket of hashes; two that share these bits
+become one group, which adds comparisons and loses none. In each group of equal entries every member is compared with the smallest, through bit maps whose
+difference is a lower bound of that of the sets, and exactly where these leave it open. The links give components;
+then in each group that still spans several components members of different components are compared in the same two steps. Members of one component need no further comparison,
 so every link that matters for the components is found, and no group is expanded into all its pairs.
 
 Rows: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer words than a shingle is one shingle; rows that
@@ -44,6 +45,10 @@ NUM, DEN, WORDS = 85, 100, 4
 SAMPLE_DOCS, DEAR = 20_000, 20
 #: Texts whose entries are combined before the exchange, words a worker keeps, slots of id bit maps, rows of one block comparison.
 COMBINE, KEPT_WORDS, SLOT_BITS, BLOCK = 1000, 100_000, 23, 1500
+#: Bytes of an entry's hash in a pack, members that one task found in a pack, and the buckets: so many where that keeps them above the least size, more where they would pass the greatest (shingles).
+KEY_BYTES, PACK, BUCKETS, LEAST_BUCKET, MOST_BUCKET = 6, 50_000, 1024, 20_000, 500_000
+#: Ids that are broadcast, some 50 bytes each.
+SENT_IDS = 1_000_000
 #: Words of a set's bit map.
 BITS = tuple(f"b{i}" for i in range(16))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -217,13 +222,32 @@ def dear_entries(docs: DataFrame, firsts: DataFrame, rows: int = SAMPLE_DOCS, le
     return np.sort(counted.select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
 
-def groups(docs: DataFrame, ids: DataFrame, dear: np.ndarray, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def buckets_of(shingles: int) -> int:
+    """Buckets of entries for so many shingles in all: a task holds one at a time."""
+    return max(1, min(BUCKETS, shingles // LEAST_BUCKET), -(-shingles // MOST_BUCKET))
+
+
+def _planes(x: np.ndarray, width: int) -> np.ndarray:
+    """The last ``width`` bytes of each number, the first bytes of all numbers first: those are equal or in order and compress well."""
+    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T)
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    rows = np.zeros((planes.shape[1], 8), np.uint8)
+    rows[:, 8 - len(planes) :] = planes.T
+    return rows.view(">u8").reshape(-1).astype(np.int64)
+
+
+def groups(docs: DataFrame, ids: DataFrame, dear: np.ndarray, words: int = WORDS, num: int = NUM, den: int = DEN, buckets: int = BUCKETS) -> DataFrame:
     """(entry, id, center): members of groups of equal entries, each with a smaller member of the group; chains end at its smallest.
 
     Only documents of ``ids`` are indexed (a few others may slip in through the bit map; they are copies and find their own kind).
     """
     shared = docs.sparkSession.sparkContext.broadcast((dear, slot_bits(ids)))
 
+    def packs(bucket: list[int], settled: bool, pack: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([settled] * len(pack), pa.bool_()), pa.array(pack, pa.binary())], names=["bucket", "settled", "pack"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dear, bits = shared.value
         for whole in batches:
@@ -236,24 +260,67 @@ def groups(docs: DataFrame, ids: DataFrame, dear: np.ndarray, words: int = WORDS
                     if len(found):
                         band = band_of(len(found), num, den)
                         both = np.concatenate([entries(found, band, dear, num, den)[0], entries(found, band + 1, dear, num, den)[0]])
-                        keys.append(both)
+                        keys.append(both >> np.uint64(64 - 8 * KEY_BYTES))
                         ids.append(np.full(len(both), doc_id, np.int64))
-                key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                doc = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+                if not sum(map(len, keys)):
+                    continue
+                key, doc = np.concatenate(keys), np.concatenate(ids)
                 order = np.lexsort((doc, key))
                 key, doc = key[order], doc[order]
-                head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-                center = doc[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else doc
-                keep = head | (doc != center)
+                head = np.concatenate([[True], key[1:] != key[:-1]])
+                center = doc[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
                 # members found here go to places of their own, so a frequent entry is not exchanged to one task
-                place = np.where(head, key, mix(key ^ mix(doc.view(np.uint64))))
-                at = pa.array(center[keep], mask=head[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(place[keep].view(np.int64)), pa.array(key[keep].view(np.int64), mask=head[keep]), pa.array(doc[keep]), at], names=["place", "entry", "id", "center"])
-
-    rows = narrow_texts(docs).mapInArrow(run, "place long, entry long, id long, center long")
-    ranked = rows.withColumn("least", F.min(F.when(F.col("center").isNull(), F.col("id"))).over(Window.partitionBy("place")))
-    member = ranked.where(F.col("center").isNotNull() | (F.col("id") != F.col("least")))
-    return member.select(F.coalesce("entry", "place").alias("entry"), "id", F.coalesce("center", "least").alias("center"))
+                settled = np.flatnonzero(~head & (doc != center))
+                planes = np.concatenate([_planes(x, w) for x, w in ((key[settled], KEY_BYTES), (doc[settled], 8), (center[settled], 8))])
+                cuts = range(0, len(settled), PACK)
+                yield packs([int(mix(np.uint64([doc[0] & 0x7FFFFFFFFFFFFFFF, k]))[0] % np.uint64(buckets)) for k in cuts], True, [planes[:, k : k + PACK].tobytes() for k in cuts])
+                key, doc = key[head], doc[head]
+                bucket = (key.astype(float) * (buckets / 2 ** (8 * KEY_BYTES))).astype(np.int64)
+                planes = np.concatenate([_planes(key, KEY_BYTES), _planes(doc, 8)])
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                yield packs(bucket[first].tolist(), False, [planes[:, i:j].tobytes() for i, j in zip(first, [*first[1:], len(key)], strict=True)])
+
+    def members(key: np.ndarray, doc: np.ndarray, center: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, center)], names=["entry", "id", "center"])
+
+    def met(held: list[bytes]) -> pa.RecordBatch:
+        planes = np.concatenate([np.frombuffer(x, np.uint8).reshape(KEY_BYTES + 8, -1) for x in held], 1)
+        key, doc = _numbers(planes[:KEY_BYTES]), _numbers(planes[KEY_BYTES:])
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        least = doc[np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))]
+        other = doc != least
+        return members(key[other], doc[other], least[other])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for bucket, settled, pack in zip(batch["bucket"].to_pylist(), batch["settled"].to_pylist(), batch["pack"], strict=True):
+                if settled:
+                    planes = np.frombuffer(pack.as_py(), np.uint8).reshape(KEY_BYTES + 16, -1)
+                    yield members(*map(_numbers, (planes[:KEY_BYTES], planes[KEY_BYTES:-8], planes[-8:])))
+                    continue
+                if bucket != at and held:
+                    yield met(held)
+                    held = []
+                at = bucket
+                held.append(pack.as_py())
+        if held:
+            yield met(held)
+
+    rows = narrow_texts(docs).mapInArrow(run, "bucket long, settled boolean, pack binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "entry long, id long, center long")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Pairs (a, b) that sizes and bit maps do not tell apart; an id with several texts is held by any of them."""
+    def of(name: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in ("n", *BITS)))
+
+    both = F.col("n_a") + F.col("n_b")
+    apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in BITS), F.lit(0))
+    near = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (apart * (den + num) <= both * (den - num))
+    return pairs.join(of("b").hint("merge"), "b").join(of("a").hint("merge"), "a").where(near).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -363,20 +430,34 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
         found = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         firsts = materialize(found.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("first")), "firsts")
         dear = dear_entries(docs, firsts, words=words, num=num, den=den)
-        members = materialize(groups(docs, firsts.select(F.col("first").alias("id")), dear, words, num, den), "groups")
+        total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        members = materialize(groups(docs, firsts.select(F.col("first").alias("id")), dear, words, num, den, buckets_of(total)), "groups")
         direct = materialize(members.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-        # everyone that is in a group is in a direct pair, so these texts serve the later comparisons too
-        texts = materialize(texts_of(docs, direct.select(F.explode(F.array("a", "b")).alias("id"))), "texts")
-        links = materialize(verified(direct, texts, words, num, den), "links")
+
+        def compared(pairs: DataFrame) -> DataFrame:
+            texts = materialize(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "texts")
+            return materialize(verified(pairs, texts, words, num, den), "links")
+
+        links = compared(materialize(possible(direct, sets, num, den), "possible"))
         cross = materialize(crossing(members, direct, components(links), sets, num, den).join(direct, ["a", "b"], "left_anti"), "pairs")
-        labels = components(links.unionByName(verified(cross, texts, words, num, den)))
+        labels = components(links.unionByName(compared(cross)))
     named = firsts.join(labels.withColumnRenamed("id", "first"), "first", "left").select("n", "s0", "s1", F.coalesce("component", "first").alias("component"))
     return sets.join(named, ["n", "s0", "s1"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The row with the smallest id of each component, with all columns; of rows that repeat an id one stays; rows with a null id all stay."""
-    ids = materialize(join(docs, words, num, den).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
-    kept = docs.where(F.col("doc_id").isNotNull()).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+def keep_one(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, most: int = SENT_IDS) -> DataFrame:
+    """The row with the smallest id of each component, with all columns; of rows that repeat an id one stays; rows with a null id all stay.
+
+    Ids that are dropped or repeated go to the rows where their counted number is at most ``most``; beyond it rows and kept ids are shuffled.
+    """
+    rows = join(docs, words, num, den).where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    found = materialize(rows.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n")), "kept")
+    named, kept = docs.where(F.col("doc_id").isNotNull()), found.where("kept").select("doc_id")
+    moved = found.where("n > 1 or not kept").select("doc_id")
+    if moved.count() <= most:
+        again = named.join(F.broadcast(found.where("n > 1 and kept").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        one = named.join(F.broadcast(moved), "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    else:
+        one = named.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -129,3 +129,32 @@ def test_edges(edge_docs, no_docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 9, 11, 12]
     assert kept.where("doc_id IS NULL").count() == 2
     assert jaccard.join(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("key_bytes, pack", [(1, 3), (6, 50_000)])
+def test_entries_that_share_their_bits_lose_no_link(spark, monkeypatch, key_bytes, pack):
+    """With one byte of hash nearly all documents fall into common groups; packs of members are cut."""
+    monkeypatch.setattr(jaccard, "KEY_BYTES", key_bytes)
+    monkeypatch.setattr(jaccard, "PACK", pack)
+    monkeypatch.setattr(jaccard, "LEAST_BUCKET", 100)
+    rows = [(-i if i % 3 else 2**40 + i, t) for i, t in variants(8, 120)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_entries_are_exchanged_in_packs(spark):
+    """A row for each batch and bucket instead of one for each entry: shuffled before were some 300 rows of 21 bytes a document."""
+    docs = spark.createDataFrame([(i, t) for i, t in variants(3, 300)], "doc_id long, text string").coalesce(2)
+    found = jaccard.groups(docs, docs.select(jaccard.F.col("doc_id").alias("id")), np.zeros(0, np.uint64), buckets=10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "pack" in plan and "Window" not in plan
+
+
+def test_kept_rows_are_not_shuffled(spark):
+    """Texts of rows that stay are not exchanged; beyond the bound the same rows come by a join."""
+    rows = variants(4, 200)
+    docs = spark.createDataFrame([*rows, *rows[:2], (None, "no id")], "doc_id long, text string").repartition(3).localCheckpoint()
+    kept = jaccard.keep_one(docs)
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    want = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert want == sorted([("None", "no id"), *((str(i), dict(rows)[i]) for i, _, c in brute(rows) if i == c)])
+    assert want == sorted((str(r.doc_id), r.text) for r in jaccard.keep_one(docs, most=0).collect())
